@@ -33,8 +33,13 @@ GRID_DEFAULTS = {
     column: default for _, _, columns, default in GRID_RATES for column in columns.values()
 }
 GRID_KEYS = {column: key for _, key, columns, _ in GRID_RATES for column in columns.values()}
+FLOATING = tuple(name for name, key in GRID_KEYS.items() if key == "cal_year")
 BY_GENDER = "coi_rate"
-MAX_CURVE_SPAN = 1000
+
+# Curves by policy year and age cover all years and ages a policy can reach;
+# calendar years start at the table's first year.
+CURVE_DOMAINS = {"year": (1, codes.MAX_POLICY_YEARS), "age": (0, codes.MATURITY_AGE[1])}
+MAX_CALENDAR_SPAN = 1000
 
 
 def with_prem_rate(policies: DataFrame, book: RateBook) -> DataFrame:
@@ -145,16 +150,17 @@ def with_grid_rates(grid: DataFrame, book: RateBook) -> DataFrame:
     return grid
 
 
-def rate_curves(book: RateBook) -> tuple[DataFrame, DataFrame]:
-    """The yearly rates as one array per curve, by product and by product and gender.
+def rate_curves(book: RateBook) -> DataFrame:
+    """The yearly rates as arrays, one row per supported product and gender.
 
-    Each curve is ``<name>_first``, its first key, and ``<name>``, the rates from
-    there on without holes. Arrays let a policy carry its rates without a grid.
+    A curve holds its rates without holes: by policy year from 1, by age from 0,
+    by calendar year from ``<name>_first``. Arrays let a policy carry its rates
+    without a grid. No curve is null.
     """
     entries = reduce(DataFrame.unionByName, [
         book.tables[name].select(
             "product",
-            F.col("gender") if name == BY_GENDER else F.lit(None).cast("int").alias("gender"),
+            F.col("gender") if name == BY_GENDER else F.explode(_genders()).alias("gender"),
             F.lit(result).alias("curve"),
             F.col(key).alias("key"),
             F.col(source).alias("rate"),
@@ -162,52 +168,58 @@ def rate_curves(book: RateBook) -> tuple[DataFrame, DataFrame]:
         for name, key, columns, _ in GRID_RATES
         for source, result in columns.items()
     ])
-    by_name = {result: F.col("curve") == result for result in GRID_DEFAULTS}
-    gathered = entries.groupBy("product", "gender").agg(*[
-        aggregate
-        for name, chosen in by_name.items()
-        for aggregate in (
-            F.min(F.when(chosen, F.col("key"))).alias(f"{name}_first"),
-            F.max(F.when(chosen, F.col("key"))).alias(f"{name}_last"),
+    spark = book.tables["coi_rate"].sparkSession
+    keys = product_terms(spark).select(
+        "product", F.explode(_genders()).alias("gender"),
+        F.lit(None).cast("string").alias("curve"), F.lit(None).cast("int").alias("key"),
+        F.lit(None).cast("double").alias("rate"),
+    )
+    chosen = {name: F.col("curve") == name for name in GRID_DEFAULTS}
+    gathered = entries.unionByName(keys).groupBy("product", "gender").agg(
+        *[
             F.map_from_entries(
-                F.collect_list(F.when(chosen, F.struct("key", "rate")))
-            ).alias(name),
-        )
-    ])
-    dense = gathered.select("product", "gender", *[
-        column
-        for name, default in GRID_DEFAULTS.items()
-        for column in (F.col(f"{name}_first"), _dense(name, default).alias(name))
-    ])
-    shared = [c for c in GRID_DEFAULTS if c != BY_GENDER]
-    return (
-        dense.where(F.col("gender").isNull()).select(
-            "product", *[c for name in shared for c in (f"{name}_first", name)]
-        ),
-        dense.where(F.col("gender").isNotNull()).select(
-            "product", "gender", f"{BY_GENDER}_first", BY_GENDER
-        ),
+                F.collect_list(F.when(is_curve, F.struct("key", "rate")))
+            ).alias(name)
+            for name, is_curve in chosen.items()
+        ],
+        *[
+            F.coalesce(edge(F.when(chosen[name], F.col("key"))), F.lit(0)).alias(f"{name}_{end}")
+            for name in FLOATING
+            for end, edge in (("first", F.min), ("last", F.max))
+        ],
+    )
+    return gathered.select(
+        "product", "gender", *[f"{name}_first" for name in FLOATING],
+        *[_dense(name, default).alias(name) for name, default in GRID_DEFAULTS.items()],
     )
 
 
+def _genders() -> Column:
+    return F.array(*[F.lit(code) for code in codes.GENDER_CODES.values()])
+
+
 def _dense(name: str, default: float) -> Column:
-    first, last = F.col(f"{name}_first"), F.col(f"{name}_last")
-    keys = F.when(
-        last - first >= MAX_CURVE_SPAN,
-        F.raise_error(F.lit(f"keys of {name} span over {MAX_CURVE_SPAN} steps")).cast("array<int>"),
-    ).otherwise(F.sequence(first, last))
+    if name in FLOATING:
+        first, last = F.col(f"{name}_first"), F.col(f"{name}_last")
+        keys = F.when(last - first < MAX_CALENDAR_SPAN, F.sequence(first, last)).otherwise(
+            F.raise_error(F.lit(f"{name} spans {MAX_CALENDAR_SPAN} years")).cast("array<int>")
+        )
+        keys = F.coalesce(keys, F.array().cast("array<int>"))
+    else:
+        keys = F.sequence(*[F.lit(end) for end in CURVE_DOMAINS[GRID_KEYS[name]]])
     return F.transform(keys, lambda key: F.coalesce(F.col(name)[key], F.lit(default)))
 
 
 def with_rate_curves(policies: DataFrame, book: RateBook) -> DataFrame:
-    tables = [name for name, _, _, _ in GRID_RATES]
-    shared, by_gender = rate_curves(book)
-    return policies.join(
-        book.side(*tables, using=shared), "product", "left"
-    ).join(book.side(*tables, using=by_gender), ["product", "gender"], "left")
-
-
-def curve_at(name: str, key: Column) -> Column:
-    """The rate of curve ``name`` at ``key``, or its default outside the curve."""
-    found = F.get(F.col(name), key - F.col(f"{name}_first"))
-    return F.coalesce(found, F.lit(GRID_DEFAULTS[name]))
+    """Attach the curves; policies of unsupported products drop out."""
+    side = book.side(*[name for name, _, _, _ in GRID_RATES], using=rate_curves(book))
+    return policies.join(side, ["product", "gender"])
+
+
+def curve_at(name: str, within: str = "") -> Column:
+    """The rate of a grid row read from its curve, a field of struct ``within``."""
+    key, curve = F.col(GRID_KEYS[name]), F.col(within + name)
+    if name in FLOATING:
+        found = F.get(curve, key - F.col(f"{name}_first"))
+        return F.coalesce(found, F.lit(GRID_DEFAULTS[name]))
+    return curve[key - F.lit(CURVE_DOMAINS[GRID_KEYS[name]][0])]

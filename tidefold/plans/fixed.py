@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidefold import codes
 from tidefold.operators.lookups import with_grid_rates
 from tidefold.plans.terms import withdrawal_at
 from tidefold.sources.rates import RateBook
@@ -22,10 +21,8 @@ FIXED_COLUMNS = TIME_COLUMNS + RATE_COLUMNS
 
 
 def with_years(terms: DataFrame) -> DataFrame:
-    """One row per policy year from 1 to the term; a term under 1 has no rows."""
-    last = F.least(F.col("term"), F.lit(codes.MAX_POLICY_YEARS))
-    years = F.when(last >= 1, F.sequence(F.lit(1), last))
-    return terms.select("*", F.explode(years).alias("year"))
+    """One row per policy year from 1 to the term, which is 1 or more."""
+    return terms.select("*", F.explode(F.sequence(F.lit(1), F.col("term"))).alias("year"))
 
 
 def with_time_columns(grid: DataFrame) -> DataFrame:
@@ -33,7 +30,7 @@ def with_time_columns(grid: DataFrame) -> DataFrame:
     return grid.select(
         "*",
         (F.col("entry_age") - 1 + year).alias("age"),
-        (F.year("rcd") - 1 + year).alias("cal_year"),
+        (F.col("rcd_year") - 1 + year).alias("cal_year"),
         (year <= F.col("term")).alias("pol_term_flag"),
         (year <= F.col("acc_ben_term")).alias("acc_ben_term_flag"),
         (year <= F.col("em_load_term")).alias("em_load_term_flag"),
@@ -43,7 +40,7 @@ def with_time_columns(grid: DataFrame) -> DataFrame:
 
 def fixed_init(terms: DataFrame) -> DataFrame:
     """Year, age, calendar year and term flags of every policy year."""
-    return with_time_columns(with_years(terms))
+    return with_time_columns(with_years(terms.where(F.col("term") >= 1)))
 
 
 def fixed_mapping(grid: DataFrame, book: RateBook) -> DataFrame:

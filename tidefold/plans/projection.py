@@ -6,9 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidefold import codes
-from tidefold.operators.lookups import GRID_KEYS, curve_at, with_rate_curves
-from tidefold.plans.fixed import FIXED_COLUMNS, with_time_columns, with_years
-from tidefold.plans.formulas import ACCOUNT_LAYERS, END_LAYERS, PREMIUM_LAYERS, add_layers
+from tidefold.operators.lookups import FLOATING, GRID_KEYS, curve_at, with_rate_curves
+from tidefold.plans.fixed import FIXED_COLUMNS, TIME_COLUMNS, with_time_columns
+from tidefold.plans.formulas import (
+    ACCOUNT_LAYERS,
+    END_LAYERS,
+    PREMIUM_LAYERS,
+    ColumnOps,
+    add_layers,
+)
 from tidefold.plans.options import ProjectionOptions
 from tidefold.plans.roll import CURVE_COLUMNS, SCALARS, STATE_COLUMNS, WITHDRAWALS, roll_forward
 from tidefold.plans.scenarios import SCENARIO_COLUMNS, with_scenarios
@@ -32,7 +38,21 @@ VARIED_COLUMNS = (
     "lb", "sb_rate", "sb_tav_withdrawal_review", "sb_flag", "sb", "bonus", "end_si",
     "end_eav", "end_tav", "end_pav",
 )
-FLAG_COLUMNS = ("deduction_flag", "lb_flag", "sb_flag")
+# Premiums and charges go on after lapse, so these results need an explicit stop.
+# All others start from empty accounts or a refused deduction and are 0 by then.
+STOPPED_COLUMNS = (
+    "alloc_chrg", "alloc", "eav_after_wdrl_and_alloc", "tav_after_wdrl_and_alloc",
+    "pav_after_wdrl_and_alloc", "plan_nom_deduction", "plan_deduction",
+)
+_ARRAYS = STATE_COLUMNS + tuple(GRID_KEYS) + (WITHDRAWALS,)
+# What a rolled path keeps for its yearly results.
+PATH_COLUMNS = KEY_COLUMNS + SCENARIO_COLUMNS + (
+    "ep_term", "last_year", "term", "entry_age", "rcd_year", "acc_ben_term", "em_load_term",
+    "pm_load_term", "tp_1", "ep_1", "big_case_bonus", "tp_term", "ep_paid_term", "risk_flag",
+    "option_a", "acc_ben_coeff", "em_load_pct", "pm_load_rate", "extra_prem_rate",
+    "acc_coi_rate", "min_si", "has_special_bonus", "sb_year_offset", "annual_int_rate",
+    "due_a_n1_m12",
+) + tuple(f"{name}_first" for name in FLOATING) + _ARRAYS
 RESULT_COLUMNS = FIXED_COLUMNS + PREMIUM_COLUMNS + VARIED_COLUMNS
 OUTCOME_TEXTS = (
     codes.NO_WITHDRAWAL, codes.OVER_ACCOUNT, codes.LOW_ACCOUNT, codes.LOW_SI, codes.WITHDRAWN,
@@ -76,35 +96,41 @@ def scenario_paths(
         F.col("em_load").alias("em_load_pct"),
         F.col("pm_load").alias("pm_load_rate"),
         (F.col("death_tpd_option") == codes.BENEFIT_OPTIONS[0]).alias("option_a"),
-        F.year("rcd").alias("rcd_year"),
         F.lit(options.sb_year_offset).alias("sb_year_offset"),
         _withdrawals_by_year().alias(WITHDRAWALS),
     )
     paths = with_scenarios(inputs, options)
     return with_rate_curves(paths, book).select(
-        *KEY_COLUMNS, *SCENARIO_COLUMNS, "product", "gender", "rcd", "ep_term",
+        *KEY_COLUMNS, *SCENARIO_COLUMNS, "product", "gender", "ep_term",
         *SCALARS, WITHDRAWALS, *CURVE_COLUMNS,
     )
 
 
 def _withdrawals_by_year() -> Column:
-    """The plan as one amount per policy year; empty where there is no plan."""
+    """The plan as one amount per policy year."""
     planned = F.size("withdrawal_plan") > 0
-    last = F.least(F.col("term"), F.lit(codes.MAX_POLICY_YEARS))
-    return F.when(
-        planned, F.transform(F.sequence(F.lit(1), last), withdrawal_at)
-    ).otherwise(F.array().cast("array<double>"))
+    years = F.sequence(F.lit(1), F.col("term"))
+    return F.when(planned, F.transform(years, withdrawal_at)).otherwise(
+        F.transform(years, lambda year: F.lit(0.0))
+    )
 
 
 def year_results(rolled: DataFrame) -> DataFrame:
     """Expand rolled paths to years and compute every result column."""
-    years = with_time_columns(with_years(rolled))
+    # A path crosses the expansion as one struct: the code generated for the rows
+    # then takes a few arguments, where one per column would keep it from being
+    # compiled.
+    paths = rolled.select(F.struct(*PATH_COLUMNS).alias("path"))
+    years = paths.select("path", F.explode(F.sequence(F.lit(1), F.col("path.term"))).alias("year"))
+    scalars = [c for c in PATH_COLUMNS if c not in _ARRAYS]
     at_year = F.col("year") - 1
-    state = years.select(
-        *[c for c in years.columns if c not in STATE_COLUMNS + CURVE_COLUMNS + (WITHDRAWALS,)],
-        *[F.coalesce(F.get(name, at_year), F.lit(0.0)).alias(name) for name in STATE_COLUMNS],
-        *[curve_at(name, F.col(key)).alias(name) for name, key in GRID_KEYS.items()],
-        F.coalesce(F.get(WITHDRAWALS, at_year), F.lit(0.0)).alias("withdrawal_input"),
+    state = with_time_columns(
+        years.select("path", "year", *[F.col(f"path.{name}") for name in scalars])
+    ).select(
+        "year", *scalars, *TIME_COLUMNS[1:],
+        *[F.col(f"path.{name}")[at_year].alias(name) for name in STATE_COLUMNS],
+        *[curve_at(name, within="path.").alias(name) for name in GRID_KEYS],
+        F.col(f"path.{WITHDRAWALS}")[at_year].alias("withdrawal_input"),
         (F.col("year") <= F.col("last_year")).alias("cont_flag"),
     )
     computed = add_layers(state, PREMIUM_LAYERS + ACCOUNT_LAYERS + END_LAYERS)
@@ -119,15 +145,9 @@ def year_results(rolled: DataFrame) -> DataFrame:
 def _until_lapse(name: str) -> Column:
     """A result up to and including the lapse year, its default after it."""
     cont = F.col("cont_flag")
-    if name in ("cont_flag",) + STATE_COLUMNS:
-        return F.col(name)
+    if name in STOPPED_COLUMNS:
+        return ColumnOps.where(cont, F.col(name), 0.0)
     if name == "withdrawal_log":
-        text = F.lit(OUTCOME_TEXTS[0])
-        for outcome, label in enumerate(OUTCOME_TEXTS[1:], start=1):
-            text = F.when(
-                cont & (F.col("withdrawal_outcome") == outcome), label
-            ).otherwise(text)
-        return text
-    if name in FLAG_COLUMNS:
-        return cont & F.col(name)
-    return F.when(cont, F.col("interest" if name == "int" else name)).otherwise(0.0)
+        texts = F.array(*[F.lit(text) for text in OUTCOME_TEXTS])
+        return texts[ColumnOps.where(cont, F.col("withdrawal_outcome"), 0)]
+    return F.col("interest" if name == "int" else name)

@@ -16,7 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tidefold.operators.lookups import GRID_DEFAULTS, GRID_KEYS
+from tidefold.operators.lookups import (
+    CURVE_DOMAINS,
+    FLOATING,
+    GRID_DEFAULTS,
+    GRID_KEYS,
+)
 from tidefold.plans.formulas import (
     ACCOUNT_LAYERS,
     END_LAYERS,
@@ -32,7 +37,7 @@ STATE_COLUMNS = (
     "lb_tav_withdrawal_review", "sb_tav_withdrawal_review",
 )
 WITHDRAWALS = "withdrawal_plan_by_year"
-CURVE_COLUMNS = tuple(c for name in GRID_DEFAULTS for c in (f"{name}_first", name))
+CURVE_COLUMNS = tuple(GRID_DEFAULTS) + tuple(f"{name}_first" for name in FLOATING)
 SCALARS = (
     "term", "entry_age", "rcd_year", "acc_ben_term", "em_load_term", "pm_load_term", "si",
     "tp_1", "ep_1", "big_case_bonus", "tp_term", "ep_paid_term", "risk_flag", "option_a",
@@ -50,14 +55,19 @@ _ACCOUNTS = needed(
 
 
 def roll_forward(paths: DataFrame) -> DataFrame:
-    """Add ``last_year``, the lapse or last year, and the state by year up to it.
+    """Add ``last_year``, the lapse or last year, and the state by year, 0 after it.
 
     Rate curves are dropped from the result; join them again where needed.
     """
-    kept = [f for f in paths.schema.fields if f.name not in CURVE_COLUMNS]
-    states = [T.StructField(name, T.ArrayType(T.DoubleType())) for name in STATE_COLUMNS]
-    schema = T.StructType(kept + [T.StructField("last_year", T.IntegerType())] + states)
-    names = [f.name for f in kept]
+    names = [name for name in paths.columns if name not in CURVE_COLUMNS]
+    doubles = T.ArrayType(T.DoubleType(), containsNull=False)
+    kinds = {name: paths.schema[name].dataType for name in names}
+    kinds[WITHDRAWALS] = doubles
+    kinds["last_year"] = T.IntegerType()
+    kinds.update(dict.fromkeys(STATE_COLUMNS, doubles))
+    # Accepted policies have no null term. Saying so keeps null checks out of
+    # the code generated for the result columns, which halves its size.
+    schema = T.StructType([T.StructField(name, kind, False) for name, kind in kinds.items()])
 
     def roll(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -65,7 +75,7 @@ def roll_forward(paths: DataFrame) -> DataFrame:
                 part = batch.slice(first, SLICE_ROWS)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(name) for name in names] + _roll_slice(part),
-                    names=[f.name for f in schema.fields],
+                    names=list(kinds),
                 )
 
     return paths.mapInArrow(roll, schema)
@@ -73,8 +83,8 @@ def roll_forward(paths: DataFrame) -> DataFrame:
 
 def _roll_slice(part: pa.RecordBatch) -> list[pa.Array]:
     values = {name: part.column(name).to_numpy(zero_copy_only=False) for name in SCALARS}
-    curves = {name: _Curve(part, name, default) for name, default in GRID_DEFAULTS.items()}
-    withdrawals = _Curve(part, WITHDRAWALS, 0.0)
+    curves = {name: _Curve(part, name) for name in GRID_DEFAULTS}
+    withdrawals = _Curve(part, WITHDRAWALS)
     rows, years = part.num_rows, int(values["term"].max(initial=0))
     lb_span, sb_span = values["lb_review_period"], values["sb_review_period"]
     history = np.zeros((rows, years))
@@ -93,7 +103,9 @@ def _roll_slice(part: pa.RecordBatch) -> list[pa.Array]:
             "age": values["entry_age"] - 1 + year,
             "cal_year": values["rcd_year"] - 1 + year,
         }
-        now = dict(values, year=year, start_si=si, start_eav=eav, start_tav=tav)
+        now = dict(
+            values, year=year, cont_flag=alive, start_si=si, start_eav=eav, start_tav=tav
+        )
         for name, curve in curves.items():
             now[name] = curve.at(keys[GRID_KEYS[name]])
         now["withdrawal_input"] = withdrawals.at(keys["year"])
@@ -108,13 +120,16 @@ def _roll_slice(part: pa.RecordBatch) -> list[pa.Array]:
 
         for name in STATE_COLUMNS:
             state[name][:, year - 1] = now[name]
-        si, eav, tav = now["end_si"], now["end_eav"], now["end_tav"]
-        alive = alive & now["deduction_flag"]
+        alive = now["deduction_flag"]
+        si = np.where(alive, now["end_si"], 0.0)
+        eav, tav = now["end_eav"], now["end_tav"]
 
-    lived = np.arange(years) < last_year[:, None]
-    offsets = pa.array(np.concatenate(([0], np.cumsum(last_year))).astype(np.int32))
+    terms = values["term"]
+    in_term = np.arange(years) < terms[:, None]
+    offsets = pa.array(np.concatenate(([0], np.cumsum(terms))).astype(np.int32))
     return [pa.array(last_year)] + [
-        pa.ListArray.from_arrays(offsets, pa.array(values[lived])) for values in state.values()
+        pa.ListArray.from_arrays(offsets, pa.array(by_year[in_term]))
+        for by_year in state.values()
     ]
 
 
@@ -130,17 +145,16 @@ def _review(history: np.ndarray, year: int, span: np.ndarray, due: np.ndarray) -
 class _Curve:
     """A list column read at a key per row."""
 
-    def __init__(self, part: pa.RecordBatch, name: str, default: float):
+    def __init__(self, part: pa.RecordBatch, name: str):
         lists = part.column(name)
         offsets = lists.offsets.to_numpy()
         self.start, self.length = offsets[:-1], np.diff(offsets)
         self.rates = lists.values.to_numpy(zero_copy_only=False)
-        self.default = default
-        if f"{name}_first" in part.schema.names:
-            firsts = part.column(f"{name}_first").fill_null(0)
-            self.first = firsts.to_numpy(zero_copy_only=False)
+        self.default = GRID_DEFAULTS.get(name, 0.0)
+        if name in FLOATING:
+            self.first = part.column(f"{name}_first").to_numpy()
         else:
-            self.first = 1
+            self.first = CURVE_DOMAINS[GRID_KEYS.get(name, "year")][0]
 
     def at(self, key: np.ndarray) -> np.ndarray:
         position = key - self.first

@@ -37,6 +37,7 @@ def flatten(policies: DataFrame) -> DataFrame:
         code_of(base["insured"]["gender"], codes.GENDER_CODES).alias("gender"),
         base["insured"]["dob"].alias("dob"),
         base["rcd"].alias("rcd"),
+        F.year(base["rcd"]).alias("rcd_year"),
         *[base["load"][f].alias(f) for f in
           ("em_load", "em_load_term", "pm_load", "pm_load_term")],
         *[base[f].alias(f) for f in
