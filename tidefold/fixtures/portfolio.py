@@ -188,6 +188,7 @@ def flawed_portfolio(spark: SparkSession, sf_dir: str) -> DataFrame:
             (17, 2, F.array(_fund("F000", 90, 100))),
             (17, 3, F.array().cast("array<struct<fund: string, tp_pct: int, ep_pct: int>>")),
             (17, 5, F.array(_fund("F003", 120, -20), _fund("F000", -20, 120))),
+            (17, 6, F.array(_fund("F000", 100, 80))),
         ))
         .withField("withdrawal_plan", flaw(
             base["withdrawal_plan"],

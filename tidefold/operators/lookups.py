@@ -135,9 +135,13 @@ def with_age_limits(covers: DataFrame, book: RateBook) -> DataFrame:
     return covers.join(book.side("age_limits", using=limits), "product", "left")
 
 
-def with_grid_rates(grid: DataFrame, book: RateBook) -> DataFrame:
+def with_grid_rates(
+    grid: DataFrame, book: RateBook, only: tuple[str, ...] | None = None
+) -> DataFrame:
     """The join form of the yearly rates: one left join per table, nulls defaulted."""
     for name, key, columns, default in GRID_RATES:
+        if only and name not in only:
+            continue
         keys = ["product", "gender", key] if name == BY_GENDER else ["product", key]
         side = book.tables[name].select(
             *keys, *[F.col(source).alias(f"found_{result}") for source, result in columns.items()]
