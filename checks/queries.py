@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks.oracle import VARIED_DOUBLES, VARIED_FLAGS
 from tidefold import codes
-from tidefold.fixtures.portfolio import flawed_portfolio, portfolio
-from tidefold.fixtures.rates import demo_book
+from tidefold.fixtures import portfolio as portfolios
+from tidefold.fixtures import rates as demo_rates
 from tidefold.functions.dates import age_months, age_years
 from tidefold.operators import lookups
 from tidefold.operators.dimensions import decode_dimensions, decode_int_rate_scenario
@@ -35,10 +37,31 @@ from tidefold.sources.sinks import write_result
 POLICY_KEYS = ("policy_id", "product", "gender", "entry_age")
 
 
+# Plans are built once per session and data set; every run reads the data anew.
+plan_once = lru_cache(maxsize=None)
+
+
+@plan_once
+def demo_book(spark: SparkSession) -> RateBook:
+    return demo_rates.demo_book(spark)
+
+
+@plan_once
+def portfolio(spark: SparkSession, sf: str) -> DataFrame:
+    return portfolios.portfolio(spark, sf)
+
+
+@plan_once
+def flawed_portfolio(spark: SparkSession, sf: str) -> DataFrame:
+    return portfolios.flawed_portfolio(spark, sf)
+
+
+@plan_once
 def _aged(spark: SparkSession, sf: str) -> DataFrame:
     return with_ages(flatten(portfolio(spark, sf)))
 
 
+@plan_once
 def _terms(spark: SparkSession, sf: str) -> DataFrame:
     return policy_terms(portfolio(spark, sf), demo_book(spark))
 
@@ -52,9 +75,11 @@ def _paths(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _spread(spark: SparkSession) -> int:
-    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(spark.sparkContext.defaultParallelism, shuffle)
 
 
+@plan_once
 def projection(spark: SparkSession, sf: str) -> DataFrame:
     return project_portfolio(
         portfolio(spark, sf), demo_book(spark), partitions=_spread(spark)
@@ -63,10 +88,18 @@ def projection(spark: SparkSession, sf: str) -> DataFrame:
 
 # -- digests -----------------------------------------------------------------
 
+def _weighted_cents(name: str) -> Column:
+    return F.floor(F.nanvl(F.col(name), F.lit(0.0)) * 100.0 + 0.5) * F.col("year")
+
+
 def digest(name: str) -> Column:
     """Sum over years of year times value in cents; exact in any order."""
-    cents = F.floor(F.nanvl(F.col(name), F.lit(0.0)) * 100.0 + 0.5)
-    return F.sum((cents * F.col("year")).cast("decimal(20,0)")).cast("double").alias(name)
+    return F.sum(_weighted_cents(name).cast("decimal(20,0)")).cast("double").alias(name)
+
+
+def path_digest(name: str) -> Column:
+    """The same within one path, whose 100 years at most fit a long."""
+    return F.sum(_weighted_cents(name)).cast("double").alias(name)
 
 
 def flag_digest(name: str) -> Column:
@@ -75,7 +108,7 @@ def flag_digest(name: str) -> Column:
 
 def by_path(frame: DataFrame, columns=(), flags=(), extra=()) -> DataFrame:
     return frame.groupBy("policy_id", "scenario_no").agg(
-        *[digest(c) for c in columns], *[flag_digest(c) for c in flags], *extra
+        *[path_digest(c) for c in columns], *[flag_digest(c) for c in flags], *extra
     )
 
 

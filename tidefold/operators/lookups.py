@@ -81,7 +81,8 @@ def modal_factors(book: RateBook) -> DataFrame:
 
 def with_modal_factors(policies: DataFrame, book: RateBook) -> DataFrame:
     return policies.join(
-        book.side("modal_factor", using=modal_factors(book)), "product", "left"
+        book.side("modal_factor", using=book.derived("modal", lambda: modal_factors(book))),
+        "product", "left",
     )
 
 
@@ -113,8 +114,10 @@ def int_rates(book: RateBook, zero_rate_is_one: bool = False) -> DataFrame:
 def with_int_rates(
     policies: DataFrame, book: RateBook, zero_rate_is_one: bool = False
 ) -> DataFrame:
-    side = book.side("int_rate", using=int_rates(book, zero_rate_is_one))
-    return policies.join(side, "product", "left")
+    rates = book.derived(
+        ("int_rate", zero_rate_is_one), lambda: int_rates(book, zero_rate_is_one)
+    )
+    return policies.join(book.side("int_rate", using=rates), "product", "left")
 
 
 def product_terms(spark: SparkSession) -> DataFrame:
@@ -216,7 +219,8 @@ def _dense(name: str, default: float) -> Column:
 
 def with_rate_curves(policies: DataFrame, book: RateBook) -> DataFrame:
     """Attach the curves; policies of unsupported products drop out."""
-    side = book.side(*[name for name, _, _, _ in GRID_RATES], using=rate_curves(book))
+    curves = book.derived("curves", lambda: rate_curves(book))
+    side = book.side(*[name for name, _, _, _ in GRID_RATES], using=curves)
     return policies.join(side, ["product", "gender"])
 
 

@@ -8,7 +8,8 @@ by shuffle.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, field
 from functools import reduce
 
 import pyarrow as pa
@@ -132,6 +133,7 @@ class RateBook:
 
     tables: dict[str, DataFrame]
     rows: dict[str, int]
+    _derived: dict[object, DataFrame] = field(default_factory=dict)
 
     @classmethod
     def from_csv(cls, spark: SparkSession, folder: str, files: dict[str, str] | None = None) -> RateBook:
@@ -175,6 +177,12 @@ class RateBook:
             table = table.where(F.col(column) == F.lit(value))
         return table
 
+    def derived(self, key: object, build: Callable[[], DataFrame]) -> DataFrame:
+        """A small frame computed from rate tables, kept for the book's later queries."""
+        if key not in self._derived:
+            self._derived[key] = build().persist()
+        return self._derived[key]
+
     def side(self, *names: str, using: DataFrame | None = None) -> DataFrame:
         """The table, or a frame derived from ``names``, as a join side."""
         frame = self.tables[names[0]] if using is None else using
