@@ -206,9 +206,11 @@ RATES = (
 )
 TIME_FLAGS = ("pol_term_flag", "acc_ben_term_flag", "em_load_term_flag", "pm_load_term_flag")
 CHECK = (
-    "SELECT count_if(year NOT IN (3, 4)) AS matched, count_if(year = 3) AS only_left, "
-    "CAST(0 AS BIGINT) AS only_right, count_if(year = 4) AS repeated, "
-    "count_if(year % 5 = 0) AS diff_coi_rate, count_if(year % 9 = 0) AS diff_pol_term_flag, "
+    "SELECT CAST(count_if(year NOT IN (3, 4)) AS BIGINT) AS matched, "
+    "CAST(count_if(year = 3) AS BIGINT) AS only_left, "
+    "CAST(0 AS BIGINT) AS only_right, CAST(count_if(year = 4) AS BIGINT) AS repeated, "
+    "CAST(count_if(year % 5 = 0) AS BIGINT) AS diff_coi_rate, "
+    "CAST(count_if(year % 9 = 0) AS BIGINT) AS diff_pol_term_flag, "
     "CAST(0 AS BIGINT) AS diff_admin_chrg FROM fixed"
 )
 
