@@ -72,17 +72,14 @@ def project_portfolio(
     the source has few, large splits: policies then spread evenly, round-robin,
     while they are still small. Nothing after that shuffles.
     """
-    return project_terms(accepted(policy_terms(policies, book, options)), book, options, partitions)
+    if partitions:
+        policies = policies.repartition(partitions)
+    return project_terms(accepted(policy_terms(policies, book, options)), book, options)
 
 
 def project_terms(
-    terms: DataFrame,
-    book: RateBook,
-    options: ProjectionOptions = ProjectionOptions(),
-    partitions: int | None = None,
+    terms: DataFrame, book: RateBook, options: ProjectionOptions = ProjectionOptions()
 ) -> DataFrame:
-    if partitions:
-        terms = terms.repartition(partitions)
     rolled = roll_forward(scenario_paths(terms, book, options))
     return year_results(with_rate_curves(rolled, book))
 
