@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from tidefold import codes
 from tidefold.functions.dates import age_years
-from tidefold.operators.lookups import with_product_terms
+from tidefold.operators.lookups import with_age_limits, with_product_terms
+from tidefold.sources.rates import RateBook
 
 PERCENT = 100
 SSN_LENGTH = 12
@@ -114,13 +115,11 @@ def age_limit_rules() -> list[tuple[str, str, Column]]:
     ]
 
 
-def validate(policies: DataFrame, book=None) -> DataFrame:
+def validate(policies: DataFrame, book: RateBook | None = None) -> DataFrame:
     """Policies with ``violations``, an array of (rule, message), empty if valid.
 
     With a rate book, the age limits of its table are checked as well.
     """
-    from tidefold.operators.lookups import with_age_limits
-
     base = F.col("base")
     rules = field_rules() + product_rules()
     keyed = with_product_terms(policies.withColumn("product", base["id"])).withColumn(

@@ -87,8 +87,8 @@ def _roll_slice(part: pa.RecordBatch) -> list[pa.Array]:
     withdrawals = _Curve(part, WITHDRAWALS)
     rows, years = part.num_rows, int(values["term"].max(initial=0))
     lb_span, sb_span = values["lb_review_period"], values["sb_review_period"]
-    history = np.zeros((rows, years))
-    state = {name: np.zeros((rows, years)) for name in STATE_COLUMNS}
+    history = np.zeros((years, rows))
+    state = {name: np.zeros((years, rows)) for name in STATE_COLUMNS}
     si, eav, tav = values["si"].astype(float), np.zeros(rows), np.zeros(rows)
     alive = np.ones(rows, dtype=bool)
     last_year = np.zeros(rows, dtype=np.int32)
@@ -113,13 +113,13 @@ def _roll_slice(part: pa.RecordBatch) -> list[pa.Array]:
             now[f"{cover}_term_flag"] = year <= values[f"{cover}_term"]
         evaluate(_ACCOUNTS, now)
 
-        history[:, year - 1] = now["tav_withdrawal"]
+        history[year - 1] = now["tav_withdrawal"]
         now["lb_tav_withdrawal_review"] = _review(history, year, lb_span, now["lb_reviewed"])
         now["sb_tav_withdrawal_review"] = _review(history, year, sb_span, now["sb_rate"] > 0.0)
         evaluate(_TO_END, now)
 
         for name in STATE_COLUMNS:
-            state[name][:, year - 1] = now[name]
+            state[name][year - 1] = now[name]
         alive = now["deduction_flag"]
         si = np.where(alive, now["end_si"], 0.0)
         eav, tav = now["end_eav"], now["end_tav"]
@@ -128,7 +128,7 @@ def _roll_slice(part: pa.RecordBatch) -> list[pa.Array]:
     in_term = np.arange(years) < terms[:, None]
     offsets = pa.array(np.concatenate(([0], np.cumsum(terms))).astype(np.int32))
     return [pa.array(last_year)] + [
-        pa.ListArray.from_arrays(offsets, pa.array(by_year[in_term]))
+        pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(by_year.T)[in_term]))
         for by_year in state.values()
     ]
 
@@ -138,7 +138,7 @@ def _review(history: np.ndarray, year: int, span: np.ndarray, due: np.ndarray) -
     total = np.zeros(len(span))
     if due.any():
         for back in range(min(int(span.max()), year) - 1, -1, -1):
-            total = total + np.where(due & (back < span), history[:, year - 1 - back], 0.0)
+            total = total + np.where(due & (back < span), history[year - 1 - back], 0.0)
     return total
 
 
@@ -158,7 +158,9 @@ class _Curve:
 
     def at(self, key: np.ndarray) -> np.ndarray:
         position = key - self.first
+        if not len(self.rates):
+            return np.full(len(key), self.default)
         inside = (position >= 0) & (position < self.length)
-        found = np.full(len(key), self.default)
-        found[inside] = self.rates[(self.start + position)[inside]]
-        return found
+        # Clipping only keeps the reads in bounds; rows outside take the default.
+        found = self.rates.take(self.start + position, mode="clip")
+        return np.where(inside, found, self.default)
