@@ -7,6 +7,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -107,7 +108,7 @@ def shingle_sets(texts: list[str], width: int, memory: Remembered) -> list[np.nd
 
 def chunks_of(batch: pa.RecordBatch, column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with some ``most`` bytes of text each, so that memory is bounded."""
-    lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0)
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0)
     ends = np.cumsum(lengths.to_numpy(zero_copy_only=False))
     start = 0
     while start < batch.num_rows:
