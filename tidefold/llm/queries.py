@@ -1,8 +1,8 @@
 """Queries of this subpackage and their SQL, by name."""
 
-from tidefold.llm import mixing, near_dedup, order_minhash, quality, urls
+from tidefold.llm import mixing, near_dedup, order_minhash, pitman_yor, quality, urls
 
-_MODULES = (near_dedup, urls, quality, mixing, order_minhash)
+_MODULES = (near_dedup, urls, quality, mixing, pitman_yor, order_minhash)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLE = {name: text for module in _MODULES for name, text in module.SQL.items()}
