@@ -1,8 +1,12 @@
 """Queries of this subpackage and their SQL, by name."""
 
-from tidefold.llm import line_dedup, mixing, near_dedup, order_minhash, packing, pitman_yor, quality, urls
+from tidefold.llm import (
+    chat, line_dedup, mixing, near_dedup, order_minhash, packing, pitman_yor, quality, search, urls,
+)
 
-_MODULES = (near_dedup, line_dedup, urls, quality, mixing, packing, pitman_yor, order_minhash)
+_MODULES = (
+    near_dedup, line_dedup, urls, chat, search, quality, mixing, packing, pitman_yor, order_minhash,
+)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLE = {name: text for module in _MODULES for name, text in module.SQL.items()}
