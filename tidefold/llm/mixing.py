@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 import heapq
+import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidefold.llm.common import WORD, table
+from tidefold.llm.common import WORD, chunks_of, table, words
 
 #: Tokens of a block, shards of a source, share of all tokens that the mix holds,
 #: and how often a source may be repeated.
@@ -21,6 +24,8 @@ MOST_REPEATS = 2
 #: Weights of sources in order; they repeat.
 WEIGHTS = (3, 1, 2)
 
+_WORDS = re.compile(WORD)
+
 
 def sainte_lague(weights: list[float], most: list[int], seats: int) -> list[int]:
     """Seats of each party by highest quotients weight / (2 k + 1), none above ``most``.
@@ -113,14 +118,31 @@ def plan(sizes: list[int], names: list, blocks: list[int], share: float, repeats
     return list(zip(goal, quota))
 
 
-def _shard_quotas(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:  # the rows of a source are one group, SHARDS rows at most
-        frame = frame.sort_values("shard")
-        frame["shard_quota"] = sainte_lague(
-            frame["shard_size"].astype(float).tolist(), frame["shard_blocks"].tolist(),
-            int(frame["quota"].iloc[0]),
-        )
-        yield frame
+def _shard_plan(frame: pd.DataFrame, repeats: int, block_tokens: int, seed: int) -> pd.DataFrame:
+    """Blocks of each shard of one source (``SHARDS`` rows at most), by pass.
+
+    Pass p holds the blocks that begin in [p, p + 1) times the shard's size: ``first_p`` is
+    the number of its first block, ``n_p`` how many it has, ``r_p`` how many are taken,
+    ``o_p`` a seeded offset in [0, n_p).
+    """
+    frame = frame.sort_values("shard")
+    quotas = sainte_lague(
+        frame["shard_size"].astype(float).tolist(), frame["shard_blocks"].tolist(), int(frame["quota"].iloc[0]))
+    rows = []
+    for row, quota in zip(frame.itertuples(index=False), quotas):
+        mark = hashlib.md5(f"{seed}|{row.p_source}|{row.shard}".encode()).hexdigest()
+        firsts = [-(-row.shard_size * p // block_tokens) for p in range(repeats + 1)]
+        values = [row.p_source, row.shard, row.source_size, row.target, row.shard_size]
+        for first, after in zip(firsts[:-1], firsts[1:]):
+            n = after - first
+            values += [first, n, min(n, max(0, quota - first)), int(mark[:8], 16) % max(n, 1)]
+        rows.append(values)
+    names = ["p_source", "p_shard", "source_size", "target", "shard_size"]
+    return pd.DataFrame(rows, columns=names + _pass_columns(repeats))
+
+
+def _pass_columns(repeats: int) -> list[str]:
+    return [f"{c}_{p}" for p in range(repeats) for c in ("first", "n", "r", "o")]
 
 
 def mix(docs: DataFrame, share: float = SHARE, repeats: int = MOST_REPEATS,
@@ -165,12 +187,10 @@ def mix(docs: DataFrame, share: float = SHARE, repeats: int = MOST_REPEATS,
     shares = by_shard.join(quotas, F.col("source").eqNullSafe(F.col("p_source"))).groupBy(
         "p_source"
     ).applyInPandas(
-        lambda frame: next(_shard_quotas(iter([frame])))[
-            ["p_source", "shard", "source_size", "target", "shard_size", "shard_quota"]
-        ],
-        "p_source string, shard int, source_size long, target double, shard_size long,"
-        " shard_quota long",
-    ).withColumnRenamed("shard", "p_shard")
+        lambda frame: _shard_plan(frame, repeats, block_tokens, seed),
+        "p_source string, p_shard int, source_size long, target double, shard_size long, "
+        + ", ".join(f"{c} long" for c in _pass_columns(repeats)),
+    )
 
     line = Window.partitionBy("source", "shard").orderBy("mark", "doc_id", "size").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
@@ -180,20 +200,6 @@ def mix(docs: DataFrame, share: float = SHARE, repeats: int = MOST_REPEATS,
         F.col("source").eqNullSafe(F.col("p_source")) & (F.col("shard") == F.col("p_shard")),
     )
 
-    blocks = F.expr(f"cast(ceil(shard_size * {repeats} / {block_tokens}) as long)")
-    # Pass p holds the blocks that begin in [p * shard_size, (p + 1) * shard_size).
-    first = [F.expr(f"cast(ceil(shard_size * {p} / {block_tokens}) as long)") for p in range(repeats)]
-    first.append(blocks)
-    offset = F.conv(F.substring(F.md5(F.concat_ws(
-        "|", F.lit(str(seed)), "p_source", F.col("p_shard").cast("string"))), 1, 8), 16, 10).cast("long")
-    for p in range(repeats):
-        size = first[p + 1] - first[p]
-        picked = F.greatest(F.lit(0), F.least(size, F.col("shard_quota") - first[p]))
-        placed = placed.withColumns({
-            f"first_{p}": first[p], f"n_{p}": size, f"r_{p}": picked,
-            f"o_{p}": F.when(size > 0, offset % F.greatest(size, F.lit(1))).otherwise(F.lit(0)),
-        })
-
     def picked_before(p: int, block) -> F.Column:
         """How many of pass p's first blocks, up to this one, are taken (evenly spaced)."""
         inside = F.greatest(F.lit(0), F.least(F.col(f"n_{p}"), block - F.col(f"first_{p}")))
@@ -219,6 +225,52 @@ def mix(docs: DataFrame, share: float = SHARE, repeats: int = MOST_REPEATS,
     )
 
 
+def _first_words(text: str, n: int) -> str:
+    """The text up to the end of its n-th word."""
+    for i, found in enumerate(_WORDS.finditer(text), 1):
+        if i == n:
+            return text[: found.end()]
+    return text
+
+
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs``, with all their columns, as often as the mix takes them: whole
+    copies for whole sizes taken, then the first words for the rest; none that it does not
+    take. Copies carry the id of their document. Documents without words go.
+
+    Rows that repeat an id take as much as the row of that id of which most is taken,
+    but no more than the repeats of their own text.
+    """
+    taken = mix(docs.select("doc_id", "text", "source"), **options).where("taken > 0").groupBy("doc_id").agg(
+        F.max("taken").alias("taken")).select(F.col("doc_id").alias("taken_id"), "taken")
+    repeats = options.get("repeats", MOST_REPEATS)
+    names = ["_" * max(map(len, docs.columns)) + n for n in ("id", "taken")]
+    joined = docs.join(
+        taken.toDF(*names), docs["doc_id"].eqNullSafe(F.col(names[0]))
+    ).select(*docs.columns, names[1])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks_of(batch, "text"):
+                rows, texts = [], []
+                for i, (text, n) in enumerate(zip(part.column("text").to_pylist(), part.column(-1).to_pylist())):
+                    size = len(words(text or ""))
+                    n = min(n, repeats * size)
+                    for _ in range(n // size if size else 0):
+                        rows.append(i)
+                        texts.append(text)
+                    if size and n % size:
+                        rows.append(i)
+                        texts.append(_first_words(text, n % size))
+                out = part.take(pa.array(rows, pa.int64()))
+                place = part.schema.get_field_index("text")
+                columns = out.columns[:-1]
+                columns[place] = pa.array(texts, pa.string())
+                yield pa.record_batch(columns, names=part.schema.names[:-1])
+
+    return joined.mapInArrow(run, docs.schema)
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document."""
     return mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
