@@ -240,6 +240,25 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
     return stats.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that score at least ``threshold``.
+
+    Scores as ``score_quality`` does, where the rows are: no text is shuffled. Without
+    labels all rows stay.
+    """
+    model = fit(with_statistics(docs), labels)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if model is None or not batch.num_rows:
+                yield batch
+                continue
+            x = np.vstack([statistics(t.as_py()) for t in batch.column("text")])
+            yield batch.filter(pa.array(model.scores(x) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A quality score of every document."""
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
