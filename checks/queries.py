@@ -14,6 +14,7 @@ from tidefold.fixtures import rates as demo_rates
 from tidefold.functions.dates import age_months, age_years
 from tidefold.operators import lookups
 from tidefold.operators.dimensions import decode_dimensions, decode_int_rate_scenario
+from tidefold.operators.lookups import with_product_terms
 from tidefold.operators.reconcile import compare_frames, reconcile
 from tidefold.operators.riders import rated_riders
 from tidefold.operators.validation import first_failures, quarantined, validate, violations
@@ -63,7 +64,7 @@ def _aged(spark: SparkSession, sf: str) -> DataFrame:
 
 @plan_once
 def _terms(spark: SparkSession, sf: str) -> DataFrame:
-    return policy_terms(portfolio(spark, sf), demo_book(spark))
+    return policy_terms(portfolio(spark, sf), demo_book(spark), partitions=_spread(spark))
 
 
 def _grid(spark: SparkSession, sf: str) -> DataFrame:
@@ -203,7 +204,7 @@ def portfolio_totals(spark: SparkSession, sf: str) -> DataFrame:
 # -- sources and sinks -------------------------------------------------------
 
 def read_policies(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents written as JSON, some broken, read back with their errors."""
+    """Documents as JSON text, some broken, parsed with their errors."""
     k = F.col("id").cast("bigint")
     text = F.to_json(F.struct("id", "owner", "created_date", "base", "rider"))
     broken = (
@@ -283,6 +284,14 @@ def _policy_query(*columns: str):
     return run
 
 
+def _product_query(*columns: str):
+    """Ages and product terms need no rate table and no premium."""
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        return with_product_terms(_aged(spark, sf)).select(*POLICY_KEYS, *columns)
+
+    return run
+
+
 def prem_rate(spark: SparkSession, sf: str) -> DataFrame:
     return lookups.with_prem_rate(_aged(spark, sf), demo_book(spark)).select(
         *POLICY_KEYS, "prem_rate"
@@ -310,7 +319,7 @@ def _grid_rate(table: str, *columns: str):
 
 
 def int_rate(spark: SparkSession, sf: str) -> DataFrame:
-    """High and low rates of every policy, and the guaranteed one where it exists."""
+    """High and low rates of every policy."""
     rated = lookups.with_int_rates(_aged(spark, sf), demo_book(spark))
     return rated.select("policy_id", "product", "int_rate_high", "int_rate_low")
 
@@ -354,16 +363,20 @@ def rejected_policies(spark: SparkSession, sf: str) -> DataFrame:
     return rejects(_terms(spark, sf))
 
 
+def _validated(spark: SparkSession, sf: str) -> DataFrame:
+    return validate(flawed_portfolio(spark, sf), partitions=_spread(spark))
+
+
 def broken_rules(spark: SparkSession, sf: str) -> DataFrame:
-    return violations(validate(flawed_portfolio(spark, sf))).select("policy_id", "rule")
+    return violations(_validated(spark, sf)).select("policy_id", "rule")
 
 
 def first_broken_rule(spark: SparkSession, sf: str) -> DataFrame:
-    return first_failures(validate(flawed_portfolio(spark, sf)))
+    return first_failures(_validated(spark, sf))
 
 
 def quarantine(spark: SparkSession, sf: str) -> DataFrame:
-    held = quarantined(validate(flawed_portfolio(spark, sf)))
+    held = quarantined(_validated(spark, sf))
     return held.select(F.col("id").alias("policy_id"), F.size("violations").alias("n_rules"))
 
 
@@ -475,16 +488,16 @@ QUERIES = {
     "int_rate": int_rate,
     "int_rate_tuple": int_rate_tuple,
     "age_limits": age_limits,
-    "acc_coi_rate": _policy_query("acc_coi_rate"),
+    "acc_coi_rate": _product_query("acc_coi_rate"),
     "age_years": policy_ages,
     "age_months": policy_month_ages,
-    "entry_age": _policy_query("entry_month_age"),
-    "policy_term": _policy_query("maturity_age", "term", "acc_ben_term"),
+    "entry_age": _product_query("entry_month_age"),
+    "policy_term": _product_query("maturity_age", "term", "acc_ben_term"),
     "withdrawal_years": planned_withdrawals,
     "modal_tp": _policy_query("tp_1", "tp_2", "tp_4", "tp_12"),
     "modal_ep": _policy_query("ep_1", "ep_2", "ep_4", "ep_12"),
     "big_case_bonus": _policy_query("tp_1", "big_case_bonus"),
-    "product_params": _policy_query(
+    "product_params": _product_query(
         "must_pay_period", "lb_review_period", "sb_review_period", "min_si",
         "withdrawal_start_year",
     ),

@@ -7,21 +7,24 @@ from pyspark.sql import functions as F
 
 from tidefold.functions.dates import age_months, age_years
 from tidefold.functions.premiums import annuity_due_monthly
-from tidefold.operators.validation import first_failures, valid, validate, violations
+from tidefold.operators.validation import first_failures, valid, validate, violations, wrong_ssn
 from tidefold.plans.options import ProjectionOptions
 from tidefold.plans.terms import flatten, policy_terms, withdrawal_years
 from tidefold.sources.policies import loadable, read_policies, unreadable
 from tidefold.sources.rates import TABLES, RateBook, local_table, load_rate_csv
 
+# Birth, date, completed years, completed months: the day before, on and after a
+# birthday; the same for a month; leap days; month ends; the future.
 AGES = [
-    ("2000-02-12", "2025-04-15", 25, 302),
-    ("2000-02-21", "2025-04-15", 25, 301),
-    ("2025-02-14", "2025-04-15", 0, 2),
-    ("2024-07-28", "2025-04-15", 0, 8),
-    ("2025-02-28", "2025-04-15", 0, 1),
-    ("2024-02-29", "2025-02-28", 0, 11),
-    ("2024-08-31", "2025-02-28", 0, 5),
-    ("2025-04-16", "2025-04-15", None, None),
+    ("1987-09-10", "2023-09-09", 35, 431),
+    ("1987-09-10", "2023-09-10", 36, 432),
+    ("1987-09-10", "2023-09-11", 36, 432),
+    ("2023-05-19", "2023-11-18", 0, 5),
+    ("2023-05-19", "2023-11-19", 0, 6),
+    ("2020-02-29", "2023-02-28", 2, 35),
+    ("2020-02-29", "2023-03-01", 3, 36),
+    ("2023-01-31", "2023-06-30", 0, 4),
+    ("2023-07-01", "2023-06-30", None, None),
 ]
 
 
@@ -66,28 +69,30 @@ def test_both_file_layouts(spark, tmp_path):
 def test_withdrawal_years(spark):
     rows = withdrawal_years(flatten(policies(spark, policy()))).collect()
     assert sorted((r["year"], r["withdrawal_input"]) for r in rows) == (
-        [(y, 1e6) for y in (5, 6, 7)] + [(y, 5e6) for y in (12, 13, 14, 15)]
+        [(y, 2e6) for y in (6, 7, 8)] + [(y, 4e6) for y in (14, 15)]
     )
 
 
+def _load(**changes):
+    return dict(policy()["base"]["load"], **changes)
+
+
+# One broken rule each, just outside its limit.
 CASES = {
-    "em_load_range": policy(load={"em_load": 3.5, "em_load_term": 20, "pm_load": 2,
-                                  "pm_load_term": 20}),
-    "em_load_step": policy(load={"em_load": 2.15, "em_load_term": 20, "pm_load": 2,
-                                 "pm_load_term": 20}),
-    "pm_load_range": policy(load={"em_load": 0.75, "em_load_term": 20, "pm_load": 18,
-                                  "pm_load_term": 20}),
-    "insured_ssn": policy(insured=person(ssn="12")),
-    "tp_term": policy(opted_tp_term=101),
-    "ep_term": policy(opted_ep_term=36),
+    "em_load_range": policy(load=_load(em_load=2.75)),
+    "em_load_step": policy(load=_load(em_load=0.6)),
+    "pm_load_range": policy(load=_load(pm_load=16)),
+    "insured_ssn": policy(insured=person(ssn="9000000000170")),
+    "tp_term": policy(opted_tp_term=72),
+    "ep_term": policy(opted_ep_term=29),
     "must_pay": policy(opted_ep_term=3),
-    "default_fund": policy(fund_alloc=[{"fund": "F001", "tp_pct": 100, "ep_pct": 100}]),
-    "fund_ep_total": policy(fund_alloc=[{"fund": "F000", "tp_pct": 100, "ep_pct": 90}]),
-    "withdrawal_start": policy(withdrawal_plan=[{"from": 1, "to": 2, "amount": 1.0}]),
-    "withdrawal_reversed": policy(withdrawal_plan=[{"from": 6, "to": 2, "amount": 1.0}]),
-    "withdrawal_order": policy(withdrawal_plan=[{"from": 3, "to": 5, "amount": 1.0},
-                                                {"from": 5, "to": 6, "amount": 1.0}]),
-    "term_unknown": policy(id="ILP03"),
+    "default_fund": policy(fund_alloc=[{"fund": "F004", "tp_pct": 100, "ep_pct": 100}]),
+    "fund_ep_total": policy(fund_alloc=[{"fund": "F000", "tp_pct": 100, "ep_pct": 99}]),
+    "withdrawal_start": policy(withdrawal_plan=[{"from": 1, "to": 1, "amount": 7.0}]),
+    "withdrawal_reversed": policy(withdrawal_plan=[{"from": 4, "to": 3, "amount": 7.0}]),
+    "withdrawal_order": policy(withdrawal_plan=[{"from": 4, "to": 9, "amount": 7.0},
+                                                {"from": 9, "to": 9, "amount": 7.0}]),
+    "term_unknown": policy(id="ILP02"),
 }
 
 
@@ -106,20 +111,26 @@ def test_validation_rules(spark):
 
 
 def test_age_limits_are_an_extra_rule(spark, book):
-    old = dict(policy(insured=person(dob="1960-01-01")), id="old")
+    old = dict(policy(insured=person(dob="1950-01-01")), id="old")
     plain = violations(validate(policies(spark, old))).collect()
     extra = violations(validate(policies(spark, old), book)).collect()
     assert {r["rule"] for r in extra} - {r["rule"] for r in plain} == {"max_entry_age"}
 
 
+def _without(book, **gone):
+    """The book without the rows of a table that a condition names."""
+    return RateBook.of(dict(book.tables, **{
+        name: book.tables[name].where(f"not ({condition})") for name, condition in gone.items()
+    }))
+
+
 def test_reject_reasons(spark, book):
-    load = {"em_load": 0.0, "em_load_term": 0, "pm_load": 0, "pm_load_term": 1}
     overlapping = [{"from": 3, "to": 5, "amount": 1.0}, {"from": 4, "to": 6, "amount": 1.0}]
     docs = [
         dict(policy(), id="fine"),
-        dict(policy(insured=person(dob="2025-02-24")), id="unborn"),
+        dict(policy(insured=person(dob="2023-07-01")), id="unborn"),
         dict(policy(id="ILP02"), id="product"),
-        dict(policy(load=load), id="no extra"),
+        dict(policy(load=_load(em_load_term=0)), id="no extra"),
         dict(policy(id="ILP01"), id="small"),
         dict(policy(withdrawal_plan=overlapping), id="overlap"),
         dict(policy(insured=person(dob="1950-01-01"), maturity_option=2), id="over"),
@@ -127,7 +138,7 @@ def test_reject_reasons(spark, book):
     terms = policy_terms(policies(spark, *docs), book)
     reasons = {r["policy_id"]: r["reject_reason"] for r in terms.collect()}
     assert reasons == {
-        "fine": None, "unborn": "birth date missing or after contract date",
+        "fine": None, "unborn": "birth date after contract date",
         "product": "unsupported product", "no extra": "no extra premium rate",
         "small": "no big-case bonus tier", "overlap": "overlapping withdrawal years",
         "over": "no policy year",
@@ -138,6 +149,46 @@ def test_reject_reasons(spark, book):
     assert lenient["reject_reason"] is None and lenient["big_case_bonus"] == 0.0
 
 
+def test_books_with_missing_rates_reject_policies(spark, book):
+    def reason(changed):
+        return policy_terms(policies(spark, policy()), changed).first()["reject_reason"]
+
+    assert reason(_without(book, int_rate="product = 'UVL01' and scenario = 1")) == "no interest rate"
+    assert reason(_without(book, modal_factor="product = 'UVL01' and mode = 4")) == "modal factors incomplete"
+    assert reason(_without(book, prem_rate="product = 'UVL01'")) == "no premium rate"
+
+
+def test_a_charge_of_everything_rejects_its_product_only(spark, book):
+    whole = book.tables["alloc_chrg_rate"].withColumn(
+        "ep_rate", F.when(F.expr("product = 'UVL01' and year = 2"), 1.0).otherwise(F.col("ep_rate")))
+    strict = RateBook.of(dict(book.tables, alloc_chrg_rate=whole))
+    docs = [dict(policy(), id="a"), dict(policy(id="UVL02"), id="b")]
+    reasons = {r["policy_id"]: r["reject_reason"]
+               for r in policy_terms(policies(spark, *docs), strict).collect()}
+    assert reasons == {"a": "excess premium charge of 100%", "b": None}
+
+
+@pytest.mark.parametrize("path", [
+    "base.si", "base.opted_tp_term", "base.rcd", "base.insured.dob", "base.insured.gender",
+    "base.load.em_load_term", "base.load.pm_load", "base.id", "base.death_tpd_option",
+])
+def test_missing_fields_are_rejected(spark, book, path):
+    top, *inner = path.split(".")
+    column = F.col(top).withField(".".join(inner), F.lit(None))
+    holed = policies(spark, policy()).withColumn(top, column)
+    assert policy_terms(holed, book).first()["reject_reason"] == "missing field"
+
+
+def test_last_load_term_reads_the_last_rate(spark, book):
+    """A load term of 100 reads term 99, and so do longer ones."""
+    rates = book.tables["extra_prem_rate"].where("product = 'UVL01' and term <> 99").unionByName(
+        local_table(spark, [("UVL01", 1, 29, 99, 4.25)], TABLES["extra_prem_rate"].columns))
+    long_book = RateBook.of(dict(book.tables, extra_prem_rate=rates))
+    docs = [dict(policy(load=_load(em_load_term=n)), id=str(n)) for n in (100, 120)]
+    found = policy_terms(policies(spark, *docs), long_book).collect()
+    assert [r["extra_prem_rate"] for r in found] == [4.25, 4.25]
+
+
 def test_csv_fix_ups(spark, tmp_path):
     modal = tmp_path / "modal_factor.csv"
     modal.write_text("id,product,mode, rate\n1,UVL01,1,1\n2,UVL01,2,0.5\n")
@@ -174,3 +225,10 @@ def test_local_tables_keep_their_schema(spark):
     frame = local_table(spark, [("A", 1, 2, 3.0)], TABLES["coi_rate"].columns)
     assert frame.dtypes == [("product", "string"), ("gender", "int"), ("age", "int"),
                             ("rate", "double")]
+
+
+def test_ssn_rule_takes_any_person(spark):
+    people = spark.createDataFrame(
+        [("agent", "900000000001"), ("beneficiary", "90")], "role string, ssn string")
+    found = people.select("role", wrong_ssn(F.struct("ssn")).alias("wrong")).collect()
+    assert {r["role"]: r["wrong"] for r in found} == {"agent": False, "beneficiary": True}

@@ -1,5 +1,8 @@
 import math
+import os
 import re
+import subprocess
+import sys
 
 import pytest
 from conftest import person, policies, policy
@@ -8,9 +11,13 @@ from pyspark.sql import functions as F
 
 from checks.queries import portfolio, projection
 from tidefold.fixtures.portfolio import PLAN_RANGES, withdrawal_plans
+from tidefold.operators.lookups import DENSE
 from tidefold.operators.reconcile import compare_frames, reconcile
+from tidefold.plans.fixed import fixed_table
 from tidefold.plans.options import ProjectionOptions
-from tidefold.plans.projection import RESULT_COLUMNS, project_portfolio
+from tidefold.plans.projection import RESULT_COLUMNS, project_portfolio, scenario_paths
+from tidefold.plans.terms import accepted, policy_terms
+from tidefold.sources.rates import TABLES, RateBook, local_table
 from tidefold.sources.sinks import write_result
 
 
@@ -103,7 +110,7 @@ def _project(spark, book, options=ProjectionOptions(), **changes):
 
 def test_policy_without_plan_or_long_term(spark, book):
     rows = _project(
-        spark, book, withdrawal_plan=None, maturity_option=2, insured=person(dob="1961-01-01"),
+        spark, book, withdrawal_plan=None, maturity_option=2, insured=person(dob="1958-12-01"),
         load={"em_load": 0.0, "em_load_term": 1, "pm_load": 0, "pm_load_term": 0},
     ).where("scenario_no = 1").orderBy("year").collect()
     assert [r["year"] for r in rows] == [1, 2]
@@ -115,8 +122,8 @@ def test_options(spark, book):
         frame = _project(spark, book, ProjectionOptions(**options), id="UVL02")
         return [r[0] for r in frame.where("scenario_no = 2").orderBy("year").select(name).collect()]
 
-    assert [y for y, v in enumerate(column("ep"), 1) if v > 0][-1] == 35
-    assert [y for y, v in enumerate(column("ep", ep_uses_ep_term=True), 1) if v > 0][-1] == 24
+    assert [y for y, v in enumerate(column("ep"), 1) if v > 0][-1] == 28
+    assert [y for y, v in enumerate(column("ep", ep_uses_ep_term=True), 1) if v > 0][-1] == 17
     assert [y for y, v in enumerate(column("sb_rate"), 1) if v > 0] == [11, 21]
     assert [y for y, v in enumerate(column("sb_rate", sb_year_offset=1), 1) if v > 0] == [10, 20]
 
@@ -172,6 +179,8 @@ def test_reconcile_counts(spark):
     exact = reconcile(left, right, ["k"], rel_tol=0.0).first()
     assert exact["diff_v"] == 3
     assert compare_frames(left, left, ["k"]).first()["equal"]
+    close = left.withColumn("v", F.col("v") + F.when(F.col("k") == 1, 1e-16).otherwise(0.0))
+    assert compare_frames(left, close, ["k"]).first()["equal"]
     assert not compare_frames(left, right, ["k"]).first()["equal"]
     assert not compare_frames(left, left.drop("s"), ["k"]).first()["equal"]
 
@@ -180,3 +189,66 @@ def test_reconcile_never_pairs_up_repeats(spark):
     hot = spark.range(5000).select(F.lit(1).alias("k"), F.col("id").alias("v"))
     counts = reconcile(hot, hot, ["k"]).first()
     assert counts["repeated"] == 1 and counts["matched"] == 0
+
+
+def test_comparison_takes_repeats_as_multisets(spark):
+    def frame(*rows):
+        return spark.createDataFrame(rows, "k int, v double")
+
+    def equal(a, b):
+        return compare_frames(a, b, ["k"]).first()["equal"]
+
+    repeated = frame((1, 1.0), (1, 1.0), (1, 2.0), (2, 5.0))
+    assert equal(repeated, frame((1, 2.0), (2, 5.0), (1, 1.0), (1, 1.0)))
+    assert not equal(repeated, frame((1, 2.0), (2, 5.0), (1, 1.0), (1, 2.0)))
+    assert not equal(repeated, frame((1, 1.0), (1, 2.0), (2, 5.0)))
+    assert not equal(frame((1, 1.0)), frame((1, 1.0), (2, 1.0)))
+    whole = spark.createDataFrame([(1, 5)], "k int, v int")
+    assert not equal(whole, whole.withColumn("v", F.col("v").cast("double")))
+
+
+def test_charges_of_far_years_change_nothing(spark, book):
+    far = local_table(spark, [("UVL01", 9999, 1.0), ("UVL01", -44, 1.0)], TABLES["admin_chrg"].columns)
+    wide = RateBook.of(dict(book.tables, admin_chrg=book.tables["admin_chrg"].unionByName(far)))
+    plain = _project(spark, book)
+    assert compare_frames(plain, _project(spark, wide), ["policy_id", "scenario_no", "year"]).first()["equal"]
+    grid = fixed_table(accepted(policy_terms(policies(spark, policy()), wide)), wide)
+    same = plain.where("scenario_no = 1").select(grid.columns)
+    assert compare_frames(grid, same, ["policy_id", "year"]).first()["equal"]
+
+
+def test_paths_carry_no_curves(spark, book):
+    paths = scenario_paths(accepted(policy_terms(policies(spark, policy()), book)), book)
+    assert not set(DENSE) & set(paths.columns)
+
+
+def test_policies_with_holes_do_not_stop_a_portfolio(spark, book):
+    two = policies(spark, policy(), dict(policy(id="UVL02"), id="holed"))
+    si = F.when(F.col("id") != "holed", F.col("base.si"))
+    holed = two.withColumn("base", F.col("base").withField("si", si))
+    assert {r[0] for r in project_portfolio(holed, book).select("policy_id").distinct().collect()} == {"p-1"}
+
+
+def test_grid_is_spread_before_it_grows(spark, sf, book):
+    terms = policy_terms(portfolio(spark, sf), book, partitions=7)
+    assert fixed_table(accepted(terms), book).rdd.getNumPartitions() == 7
+
+
+def test_package_reaches_workers_elsewhere(tmp_path):
+    """A session started in another folder, whose workers do not have the package."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = f"""
+import sys
+sys.path[:0] = [{root!r}, {root!r} + "/tests"]
+from tidefold.session import local_session, ship_package
+spark = local_session("elsewhere", cores="2")
+ship_package(spark)
+from conftest import policies, policy
+from tidefold.fixtures.rates import demo_book
+from tidefold.plans.projection import project_portfolio
+print("rows", project_portfolio(policies(spark, policy()), demo_book(spark)).count())
+"""
+    clean = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    run = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=clean, capture_output=True,
+                         text=True, timeout=300)
+    assert "rows 1278" in run.stdout, run.stderr[-2000:]

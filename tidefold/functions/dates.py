@@ -7,6 +7,8 @@ common years, which ``months_between`` does not give.
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidefold import codes
+
 
 def age_years(birth: Column, on: Column) -> Column:
     """Completed years; null if ``birth`` lies after ``on``."""
@@ -19,3 +21,11 @@ def age_months(birth: Column, on: Column) -> Column:
     """Completed months; null if ``birth`` lies after ``on``."""
     months = (F.year(on) - F.year(birth)) * 12 + (F.month(on) - F.month(birth))
     return F.when(birth <= on, months - (F.day(on) < F.day(birth)).cast("int"))
+
+
+def maturity_age(option: Column) -> Column:
+    """The age at which cover ends, by maturity option."""
+    age = F.lit(codes.MATURITY_AGE_OTHERWISE)
+    for chosen, at in codes.MATURITY_AGE.items():
+        age = F.when(option == chosen, at).otherwise(age)
+    return age

@@ -36,10 +36,16 @@ GRID_KEYS = {column: key for _, key, columns, _ in GRID_RATES for column in colu
 FLOATING = tuple(name for name, key in GRID_KEYS.items() if key == "cal_year")
 BY_GENDER = "coi_rate"
 
-# Curves by policy year and age cover all years and ages a policy can reach;
-# calendar years start at the table's first year.
-CURVE_DOMAINS = {"year": (1, codes.MAX_POLICY_YEARS), "age": (0, codes.MATURITY_AGE[1])}
-MAX_CALENDAR_SPAN = 1000
+# Curves by policy year and age cover all years and ages a policy can reach: the
+# latest maturity age bounds both. Rates by calendar year stay keyed by it.
+LAST_AGE = max(*codes.MATURITY_AGE.values(), codes.MATURITY_AGE_OTHERWISE)
+CURVE_DOMAINS = {"year": (1, LAST_AGE), "age": (0, LAST_AGE)}
+DENSE = tuple(name for name in GRID_DEFAULTS if name not in FLOATING)
+# Curves exist for supported products and all genders only, whatever the book holds.
+CURVE_KEYS = tuple(
+    (row[0], gender) for row in codes.PRODUCT_TERMS for gender in codes.GENDER_CODES.values()
+)
+CURVE_NO = "curve_no"
 
 
 def with_prem_rate(policies: DataFrame, book: RateBook) -> DataFrame:
@@ -97,7 +103,7 @@ def int_rates(book: RateBook, zero_rate_is_one: bool = False) -> DataFrame:
         for name, code in codes.INT_RATE_CODES.items()
     ])
     rates = product_terms(spark).select("product", "has_guaranteed_rate").join(
-        F.broadcast(first), "product", "left"
+        book.side("int_rate", using=first), "product", "left"
     ).select(
         "product",
         F.col("High").alias("int_rate_high"),
@@ -117,7 +123,8 @@ def with_int_rates(
     rates = book.derived(
         ("int_rate", zero_rate_is_one), lambda: int_rates(book, zero_rate_is_one)
     )
-    return policies.join(book.side("int_rate", using=rates), "product", "left")
+    return policies.join(
+        book.side("int_rate", using=rates, rows=len(codes.PRODUCT_TERMS)), "product", "left")
 
 
 def product_terms(spark: SparkSession) -> DataFrame:
@@ -160,9 +167,9 @@ def with_grid_rates(
 def rate_curves(book: RateBook) -> DataFrame:
     """The yearly rates as arrays, one row per supported product and gender.
 
-    A curve holds its rates without holes: by policy year from 1, by age from 0,
-    by calendar year from ``<name>_first``. Arrays let a policy carry its rates
-    without a grid. No curve is null.
+    A curve holds its rates without holes, by policy year from 1 or by age from 0.
+    Rates by calendar year are a map, as the table's years may lie anywhere; see
+    ``with_calendar_rates``. No curve is null.
     """
     entries = reduce(DataFrame.unionByName, [
         book.tables[name].select(
@@ -182,22 +189,15 @@ def rate_curves(book: RateBook) -> DataFrame:
         F.lit(None).cast("double").alias("rate"),
     )
     chosen = {name: F.col("curve") == name for name in GRID_DEFAULTS}
-    gathered = entries.unionByName(keys).groupBy("product", "gender").agg(
-        *[
-            F.map_from_entries(
-                F.collect_list(F.when(is_curve, F.struct("key", "rate")))
-            ).alias(name)
-            for name, is_curve in chosen.items()
-        ],
-        *[
-            F.coalesce(edge(F.when(chosen[name], F.col("key"))), F.lit(0)).alias(f"{name}_{end}")
-            for name in FLOATING
-            for end, edge in (("first", F.min), ("last", F.max))
-        ],
-    )
+    supported = F.col("product").isin(*[row[0] for row in codes.PRODUCT_TERMS])
+    gathered = entries.where(supported).unionByName(keys).groupBy("product", "gender").agg(*[
+        F.map_from_entries(
+            F.collect_list(F.when(is_curve, F.struct("key", "rate")))
+        ).alias(name)
+        for name, is_curve in chosen.items()
+    ])
     return gathered.select(
-        "product", "gender", *[f"{name}_first" for name in FLOATING],
-        *[_dense(name, default).alias(name) for name, default in GRID_DEFAULTS.items()],
+        "product", "gender", *FLOATING, *[_dense(name, GRID_DEFAULTS[name]).alias(name) for name in DENSE],
     )
 
 
@@ -206,28 +206,45 @@ def _genders() -> Column:
 
 
 def _dense(name: str, default: float) -> Column:
-    if name in FLOATING:
-        first, last = F.col(f"{name}_first"), F.col(f"{name}_last")
-        keys = F.when(last - first < MAX_CALENDAR_SPAN, F.sequence(first, last)).otherwise(
-            F.raise_error(F.lit(f"{name} spans {MAX_CALENDAR_SPAN} years")).cast("array<int>")
-        )
-        keys = F.coalesce(keys, F.array().cast("array<int>"))
-    else:
-        keys = F.sequence(*[F.lit(end) for end in CURVE_DOMAINS[GRID_KEYS[name]]])
+    keys = F.sequence(*[F.lit(end) for end in CURVE_DOMAINS[GRID_KEYS[name]]])
     return F.transform(keys, lambda key: F.coalesce(F.col(name)[key], F.lit(default)))
 
 
-def with_rate_curves(policies: DataFrame, book: RateBook) -> DataFrame:
-    """Attach the curves; policies of unsupported products drop out."""
+def _curves(book: RateBook) -> DataFrame:
     curves = book.derived("curves", lambda: rate_curves(book))
-    side = book.side(*[name for name, _, _, _ in GRID_RATES], using=curves)
-    return policies.join(side, ["product", "gender"])
+    return book.side(*[name for name, _, _, _ in GRID_RATES], using=curves, rows=len(CURVE_KEYS))
+
+
+def with_rate_curves(policies: DataFrame, book: RateBook) -> DataFrame:
+    """Attach the curves by year and age; policies of unsupported products drop out."""
+    return policies.join(_curves(book).select("product", "gender", *DENSE), ["product", "gender"])
+
+
+def with_calendar_rates(policies: DataFrame, book: RateBook) -> DataFrame:
+    """Attach rates by calendar year as one amount per policy year, and ``curve_no``.
+
+    Only the years of the policy's own term are looked up, so rows of the table that
+    lie centuries away neither fail nor cost anything in the projection.
+    """
+    names = F.array(*[F.lit(f"{product}|{gender}") for product, gender in CURVE_KEYS])
+    place = F.array_position(names, F.concat_ws("|", "product", F.col("gender").cast("string"))) - 1
+    side = _curves(book).select(
+        "product", "gender", place.cast("int").alias(CURVE_NO),
+        *[F.col(n).alias(f"map_{n}") for n in FLOATING])
+
+    def by_year(name: str) -> Column:
+        first, last = F.col("rcd_year"), F.col("rcd_year") + F.col("term") - 1
+        near = F.map_filter(f"map_{name}", lambda key, _: key.between(first, last))
+        return F.transform(F.sequence(first, last), lambda key: F.coalesce(
+            F.try_element_at(near, key), F.lit(GRID_DEFAULTS[name])))
+
+    joined = policies.join(side, ["product", "gender"])
+    return joined.withColumns({name: by_year(name) for name in FLOATING}).drop(*[f"map_{n}" for n in FLOATING])
 
 
 def curve_at(name: str, within: str = "") -> Column:
     """The rate of a grid row read from its curve, a field of struct ``within``."""
-    key, curve = F.col(GRID_KEYS[name]), F.col(within + name)
     if name in FLOATING:
-        found = F.get(curve, key - F.col(f"{name}_first"))
-        return F.coalesce(found, F.lit(GRID_DEFAULTS[name]))
-    return curve[key - F.lit(CURVE_DOMAINS[GRID_KEYS[name]][0])]
+        return F.col(within + name)[F.col("year") - 1]
+    key = GRID_KEYS[name]
+    return F.col(within + name)[F.col(key) - F.lit(CURVE_DOMAINS[key][0])]

@@ -79,11 +79,30 @@ def reconcile(
 
 
 def compare_frames(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """One row, ``equal``: same columns, keys and values, doubles within epsilon."""
-    if left.columns != right.columns:
+    """One row, ``equal``: same columns and types, same rows, doubles within epsilon.
+
+    A key with one row on each side is compared value by value. A key that repeats is
+    equal if both sides have each of its rows equally often; equal rows are counted
+    before anything is compared, so repeats never pair up.
+    """
+    kinds = [[(f.name, f.dataType) for f in frame.schema.fields] for frame in (left, right)]
+    if kinds[0] != kinds[1]:
         return left.sparkSession.range(1).select(F.lit(False).alias("equal"))
-    counts = reconcile(left, right, keys, abs_tol=EPSILON, rel_tol=0.0)
-    return counts.select(
-        (reduce(Column.__add__, [F.col(c) for c in counts.columns if c != "matched"]) == 0)
-        .alias("equal")
+    values = [f for f in left.schema.fields if f.name not in keys]
+    on_side = {side: F.col("side") == side for side in SIDES}
+    rows = left.select("*", F.lit(SIDES[0]).alias("side")).unionByName(
+        right.select("*", F.lit(SIDES[1]).alias("side"))
+    ).groupBy(*left.columns).agg(*[F.count_if(on_side[side]).alias(f"n_{side}") for side in SIDES])
+    by_key = rows.groupBy(*keys).agg(
+        *[F.sum(f"n_{side}").alias(f"total_{side}") for side in SIDES],
+        F.bool_or(F.col("n_left") != F.col("n_right")).alias("unlike"),
+        *[
+            F.min(F.when(F.col(f"n_{side}") > 0, F.col(f.name))).alias(f"{f.name}_{side}")
+            for f in values for side in SIDES
+        ],
     )
+    single = (F.col("total_left") == 1) & (F.col("total_right") == 1)
+    differs = reduce(
+        Column.__or__, [_differs(f.name, f.dataType, EPSILON, 0.0) for f in values], F.lit(False))
+    return by_key.agg(
+        (F.count_if(F.when(single, differs).otherwise(F.col("unlike"))) == 0).alias("equal"))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidefold import codes
-from tidefold.functions.dates import age_years
+from tidefold.functions.dates import age_years, maturity_age
 from tidefold.operators.lookups import with_age_limits, with_product_terms
 from tidefold.sources.rates import RateBook
 
@@ -19,6 +19,11 @@ PERCENT = 100
 SSN_LENGTH = 12
 
 
+def wrong_ssn(person: Column) -> Column:
+    """Whether a person (owner, insured, agent or beneficiary) has an SSN of another length."""
+    return F.length(person["ssn"]) != SSN_LENGTH
+
+
 def _fields() -> dict[str, Column]:
     base = F.col("base")
     return {
@@ -46,9 +51,9 @@ def field_rules() -> list[tuple[str, str, Column]]:
     base, load, plan, funds = f["base"], f["load"], f["plan"], f["funds"]
     return [
         ("owner_ssn", "Owner SSN is not 12 characters.",
-         F.length("owner.ssn") != SSN_LENGTH),
+         wrong_ssn(F.col("owner"))),
         ("insured_ssn", "Insured SSN is not 12 characters.",
-         F.length(f["insured"]["ssn"]) != SSN_LENGTH),
+         wrong_ssn(f["insured"])),
         ("em_load_step", "EM load is not a multiple of 0.25.", load["em_load"] % 0.25 != 0.0),
         ("em_load_range", "EM load is not within 0 and 2.5.",
          ~load["em_load"].between(0.0, 2.5)),
@@ -115,11 +120,16 @@ def age_limit_rules() -> list[tuple[str, str, Column]]:
     ]
 
 
-def validate(policies: DataFrame, book: RateBook | None = None) -> DataFrame:
+def validate(
+    policies: DataFrame, book: RateBook | None = None, partitions: int | None = None
+) -> DataFrame:
     """Policies with ``violations``, an array of (rule, message), empty if valid.
 
     With a rate book, the age limits of its table are checked as well.
+    ``partitions`` deals policies out round-robin first.
     """
+    if partitions:
+        policies = policies.repartition(partitions)
     base = F.col("base")
     rules = field_rules() + product_rules()
     keyed = with_product_terms(policies.withColumn("product", base["id"])).withColumn(
@@ -128,9 +138,7 @@ def validate(policies: DataFrame, book: RateBook | None = None) -> DataFrame:
     if book is not None:
         keyed = with_age_limits(keyed, book)
         rules = rules + age_limit_rules()
-    maturity = F.lit(codes.MATURITY_AGE_OTHERWISE)
-    for option, age in codes.MATURITY_AGE.items():
-        maturity = F.when(base["maturity_option"] == option, age).otherwise(maturity)
+    maturity = maturity_age(base["maturity_option"])
     # A rule that needs the term stays silent where term_unknown fires.
     aged = keyed.withColumn(
         "term", F.when(F.col("must_pay_period").isNotNull(), maturity - F.col("entry_age"))

@@ -6,7 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidefold import codes
-from tidefold.operators.lookups import FLOATING, GRID_KEYS, curve_at, with_rate_curves
+from tidefold.operators.lookups import (
+    CURVE_NO,
+    FLOATING,
+    GRID_KEYS,
+    curve_at,
+    with_calendar_rates,
+    with_rate_curves,
+)
 from tidefold.plans.fixed import FIXED_COLUMNS, TIME_COLUMNS, with_time_columns
 from tidefold.plans.formulas import (
     ACCOUNT_LAYERS,
@@ -16,11 +23,12 @@ from tidefold.plans.formulas import (
     add_layers,
 )
 from tidefold.plans.options import ProjectionOptions
-from tidefold.plans.roll import CURVE_COLUMNS, SCALARS, STATE_COLUMNS, WITHDRAWALS, roll_forward
+from tidefold.plans.roll import SCALARS, STATE_COLUMNS, WITHDRAWALS, Curves, roll_forward
 from tidefold.plans.scenarios import SCENARIO_COLUMNS, with_scenarios
 from tidefold.plans.terms import accepted, policy_terms, withdrawal_at
 from tidefold.sources.rates import RateBook
 
+# Names and order of the result columns are part of the results.
 KEY_COLUMNS = ("policy_id", "scenario_no")
 PREMIUM_COLUMNS = SCENARIO_COLUMNS + (
     "tp_term_flag", "ep_term_flag", "annual_int_rate", "due_a_n1_m12", "tp", "ep",
@@ -52,7 +60,7 @@ PATH_COLUMNS = KEY_COLUMNS + SCENARIO_COLUMNS + (
     "option_a", "acc_ben_coeff", "em_load_pct", "pm_load_rate", "extra_prem_rate",
     "acc_coi_rate", "min_si", "has_special_bonus", "sb_year_offset", "annual_int_rate",
     "due_a_n1_m12",
-) + tuple(f"{name}_first" for name in FLOATING) + _ARRAYS
+) + _ARRAYS
 RESULT_COLUMNS = FIXED_COLUMNS + PREMIUM_COLUMNS + VARIED_COLUMNS
 OUTCOME_TEXTS = (
     codes.NO_WITHDRAWAL, codes.OVER_ACCOUNT, codes.LOW_ACCOUNT, codes.LOW_SI, codes.WITHDRAWN,
@@ -72,23 +80,22 @@ def project_portfolio(
     the source has few, large splits: policies then spread evenly, round-robin,
     while they are still small. Nothing after that shuffles.
     """
-    if partitions:
-        policies = policies.repartition(partitions)
-    return project_terms(accepted(policy_terms(policies, book, options)), book, options)
+    terms = policy_terms(policies, book, options, partitions)
+    return project_terms(accepted(terms), book, options)
 
 
 def project_terms(
     terms: DataFrame, book: RateBook, options: ProjectionOptions = ProjectionOptions()
 ) -> DataFrame:
-    rolled = roll_forward(scenario_paths(terms, book, options))
+    rolled = roll_forward(scenario_paths(terms, book, options), Curves(book))
     return year_results(with_rate_curves(rolled, book))
 
 
 def scenario_paths(
     terms: DataFrame, book: RateBook, options: ProjectionOptions = ProjectionOptions()
 ) -> DataFrame:
-    """One row per policy and scenario, with the arrays the roll-forward reads."""
-    inputs = terms.select(
+    """One row per policy and scenario, with what the roll-forward reads of it."""
+    inputs = with_calendar_rates(terms, book).select(
         "*",
         F.col("em_load").alias("em_load_pct"),
         F.col("pm_load").alias("pm_load_rate"),
@@ -97,9 +104,9 @@ def scenario_paths(
         _withdrawals_by_year().alias(WITHDRAWALS),
     )
     paths = with_scenarios(inputs, options)
-    return with_rate_curves(paths, book).select(
+    return paths.select(
         *KEY_COLUMNS, *SCENARIO_COLUMNS, "product", "gender", "ep_term",
-        *SCALARS, WITHDRAWALS, *CURVE_COLUMNS,
+        *SCALARS, CURVE_NO, WITHDRAWALS, *FLOATING,
     )
 
 

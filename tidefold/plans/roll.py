@@ -18,9 +18,12 @@ from pyspark.sql import types as T
 
 from tidefold.operators.lookups import (
     CURVE_DOMAINS,
+    CURVE_KEYS,
+    CURVE_NO,
+    DENSE,
     FLOATING,
-    GRID_DEFAULTS,
     GRID_KEYS,
+    rate_curves,
 )
 from tidefold.plans.formulas import (
     ACCOUNT_LAYERS,
@@ -29,6 +32,7 @@ from tidefold.plans.formulas import (
     evaluate,
     needed,
 )
+from tidefold.sources.rates import RateBook
 
 SLICE_ROWS = 4096
 
@@ -37,7 +41,8 @@ STATE_COLUMNS = (
     "lb_tav_withdrawal_review", "sb_tav_withdrawal_review",
 )
 WITHDRAWALS = "withdrawal_plan_by_year"
-CURVE_COLUMNS = tuple(GRID_DEFAULTS) + tuple(f"{name}_first" for name in FLOATING)
+# Lists by policy year that a path carries.
+BY_YEAR = (WITHDRAWALS,) + FLOATING
 SCALARS = (
     "term", "entry_age", "rcd_year", "acc_ben_term", "em_load_term", "pm_load_term", "si",
     "tp_1", "ep_1", "big_case_bonus", "tp_term", "ep_paid_term", "risk_flag", "option_a",
@@ -54,37 +59,55 @@ _ACCOUNTS = needed(
 )
 
 
-def roll_forward(paths: DataFrame) -> DataFrame:
-    """Add ``last_year``, the lapse or last year, and the state by year, 0 after it.
+class Curves:
+    """The curves by year and age of all supported products and genders, as matrices.
 
-    Rate curves are dropped from the result; join them again where needed.
+    They are the same for all policies, so they go to executors once, not with each
+    path: a few thousand numbers, whatever the portfolio and the book hold.
     """
-    names = [name for name in paths.columns if name not in CURVE_COLUMNS]
+
+    def __init__(self, book: RateBook):
+        rows = book.derived("curves", lambda: rate_curves(book)).select(
+            "product", "gender", *DENSE).collect()
+        rows.sort(key=lambda r: CURVE_KEYS.index((r["product"], r["gender"])))
+        self.matrices = {name: np.array([r[name] for r in rows]) for name in DENSE}
+
+    def at(self, name: str, number: np.ndarray, key: np.ndarray) -> np.ndarray:
+        """Rates of rows at their keys; accepted policies reach no key outside the domain,
+        and rows past their term, whose key may lie there, are not used."""
+        first, last = CURVE_DOMAINS[GRID_KEYS[name]]
+        return self.matrices[name][number, np.clip(key, first, last) - first]
+
+
+def roll_forward(paths: DataFrame, curves: Curves) -> DataFrame:
+    """Add ``last_year``, the lapse or last year, and the state by year, 0 after it."""
+    names = [name for name in paths.columns if name != CURVE_NO]
     doubles = T.ArrayType(T.DoubleType(), containsNull=False)
     kinds = {name: paths.schema[name].dataType for name in names}
-    kinds[WITHDRAWALS] = doubles
+    kinds.update(dict.fromkeys(BY_YEAR, doubles))
     kinds["last_year"] = T.IntegerType()
     kinds.update(dict.fromkeys(STATE_COLUMNS, doubles))
     # Accepted policies have no null term. Saying so keeps null checks out of
     # the code generated for the result columns, which halves its size.
     schema = T.StructType([T.StructField(name, kind, False) for name, kind in kinds.items()])
+    sent = paths.sparkSession.sparkContext.broadcast(curves)
 
     def roll(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first in range(0, batch.num_rows, SLICE_ROWS):
                 part = batch.slice(first, SLICE_ROWS)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(name) for name in names] + _roll_slice(part),
+                    [part.column(name) for name in names] + _roll_slice(part, sent.value),
                     names=list(kinds),
                 )
 
     return paths.mapInArrow(roll, schema)
 
 
-def _roll_slice(part: pa.RecordBatch) -> list[pa.Array]:
+def _roll_slice(part: pa.RecordBatch, curves: Curves) -> list[pa.Array]:
     values = {name: part.column(name).to_numpy(zero_copy_only=False) for name in SCALARS}
-    curves = {name: _Curve(part, name) for name in GRID_DEFAULTS}
-    withdrawals = _Curve(part, WITHDRAWALS)
+    number = part.column(CURVE_NO).to_numpy(zero_copy_only=False)
+    by_year = {name: _ByYear(part, name) for name in BY_YEAR}
     rows, years = part.num_rows, int(values["term"].max(initial=0))
     lb_span, sb_span = values["lb_review_period"], values["sb_review_period"]
     history = np.zeros((years, rows))
@@ -101,14 +124,14 @@ def _roll_slice(part: pa.RecordBatch) -> list[pa.Array]:
         keys = {
             "year": np.full(rows, year),
             "age": values["entry_age"] - 1 + year,
-            "cal_year": values["rcd_year"] - 1 + year,
         }
         now = dict(
             values, year=year, cont_flag=alive, start_si=si, start_eav=eav, start_tav=tav
         )
-        for name, curve in curves.items():
-            now[name] = curve.at(keys[GRID_KEYS[name]])
-        now["withdrawal_input"] = withdrawals.at(keys["year"])
+        for name in DENSE:
+            now[name] = curves.at(name, number, keys[GRID_KEYS[name]])
+        for name, amounts in by_year.items():
+            now["withdrawal_input" if name == WITHDRAWALS else name] = amounts.at(year)
         for cover in ("acc_ben", "em_load", "pm_load"):
             now[f"{cover}_term_flag"] = year <= values[f"{cover}_term"]
         evaluate(_ACCOUNTS, now)
@@ -128,8 +151,8 @@ def _roll_slice(part: pa.RecordBatch) -> list[pa.Array]:
     in_term = np.arange(years) < terms[:, None]
     offsets = pa.array(np.concatenate(([0], np.cumsum(terms))).astype(np.int32))
     return [pa.array(last_year)] + [
-        pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(by_year.T)[in_term]))
-        for by_year in state.values()
+        pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(yearly.T)[in_term]))
+        for yearly in state.values()
     ]
 
 
@@ -142,25 +165,18 @@ def _review(history: np.ndarray, year: int, span: np.ndarray, due: np.ndarray) -
     return total
 
 
-class _Curve:
-    """A list column read at a key per row."""
+class _ByYear:
+    """A list column with one number for each policy year of its row."""
 
     def __init__(self, part: pa.RecordBatch, name: str):
         lists = part.column(name)
         offsets = lists.offsets.to_numpy()
         self.start, self.length = offsets[:-1], np.diff(offsets)
-        self.rates = lists.values.to_numpy(zero_copy_only=False)
-        self.default = GRID_DEFAULTS.get(name, 0.0)
-        if name in FLOATING:
-            self.first = part.column(f"{name}_first").to_numpy()
-        else:
-            self.first = CURVE_DOMAINS[GRID_KEYS.get(name, "year")][0]
-
-    def at(self, key: np.ndarray) -> np.ndarray:
-        position = key - self.first
-        if not len(self.rates):
-            return np.full(len(key), self.default)
-        inside = (position >= 0) & (position < self.length)
-        # Clipping only keeps the reads in bounds; rows outside take the default.
-        found = self.rates.take(self.start + position, mode="clip")
-        return np.where(inside, found, self.default)
+        self.amounts = lists.values.to_numpy(zero_copy_only=False)
+
+    def at(self, year: int) -> np.ndarray:
+        if not len(self.amounts):
+            return np.zeros(len(self.start))
+        # Clipping only keeps the reads in bounds; rows past their term get 0.
+        found = self.amounts.take(self.start + (year - 1), mode="clip")
+        return np.where(year <= self.length, found, 0.0)

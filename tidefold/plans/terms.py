@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidefold import codes
-from tidefold.functions.dates import age_months, age_years
+from tidefold.functions.dates import age_months, age_years, maturity_age
 from tidefold.functions.premiums import big_case_bonus, crude_premium, modal_amount
 from tidefold.operators.lookups import (
     MODAL_FACTORS,
@@ -50,16 +50,13 @@ def with_ages(flat: DataFrame) -> DataFrame:
     """Entry age and the terms that follow from it."""
     entry_age = age_years(F.col("dob"), F.col("rcd"))
     aged = flat.withColumn("entry_age", entry_age)
-    maturity = F.lit(codes.MATURITY_AGE_OTHERWISE)
-    for option, age in codes.MATURITY_AGE.items():
-        maturity = F.when(F.col("maturity_option") == option, age).otherwise(maturity)
     supported = F.col("product").isin(*[row[0] for row in codes.PRODUCT_TERMS])
     return aged.select(
         "*",
         F.when(
             F.col("entry_age") == 0, age_months(F.col("dob"), F.col("rcd"))
         ).alias("entry_month_age"),
-        F.when(supported, maturity).alias("maturity_age"),
+        F.when(supported, maturity_age(F.col("maturity_option"))).alias("maturity_age"),
     ).select(
         "*",
         (F.col("maturity_age") - F.col("entry_age")).alias("term"),
@@ -116,12 +113,18 @@ def _plans_overlap() -> Column:
 
 
 def policy_terms(
-    policies: DataFrame, book: RateBook, options: ProjectionOptions = ProjectionOptions()
+    policies: DataFrame,
+    book: RateBook,
+    options: ProjectionOptions = ProjectionOptions(),
+    partitions: int | None = None,
 ) -> DataFrame:
     """Terms of every policy and a ``reject_reason``, null if it can be projected.
 
-    All joins have small sides, so policies stay where the scan put them.
+    All joins have small sides, so policies stay where the scan put them, or where
+    ``partitions`` deals them round-robin while they are small.
     """
+    if partitions:
+        policies = policies.repartition(partitions)
     aged = with_product_terms(with_ages(flatten(policies)))
     rated = with_int_rates(
         with_extra_prem_rate(with_prem_rate(with_modal_factors(aged, book), book), book),
@@ -129,17 +132,33 @@ def policy_terms(
         options.zero_rate_annuity_one,
     )
     priced = with_modal_premiums(rated, options)
-    return priced.withColumn("reject_reason", _reject_reason())
+    return priced.withColumn("reject_reason", _reject_reason(book))
 
 
-def _reject_reason() -> Column:
+# Inputs of the projection that a document has to hold.
+REQUIRED = (
+    "policy_id", "gender", "dob", "rcd", "em_load", "em_load_term", "pm_load", "pm_load_term",
+    "si", "ep", "opted_tp_term", "opted_ep_term", "death_tpd_option", "maturity_option", "acc_ben_coeff",
+)
+
+
+def _missing_field() -> Column:
+    """One array and one search: a chain of ORs would be rewritten at length by Catalyst."""
+    holes = F.exists("withdrawal_plan", lambda w: (
+        w.isNull() | w["from"].isNull() | w["to"].isNull() | w["amount"].isNull()))
+    missing = [F.col(name).isNull() for name in ("product", *REQUIRED)]
+    return F.array_contains(F.array(*missing, F.coalesce(holes, F.lit(False))), True)
+
+
+def _reject_reason(book: RateBook) -> Column:
     missing_rate = (
         F.col("int_rate_high").isNull()
         | F.col("int_rate_low").isNull()
         | F.col("int_rate_guaranteed").isNull()
     )
     return (
-        F.when(F.col("entry_age").isNull(), "birth date missing or after contract date")
+        F.when(_missing_field(), "missing field")
+        .when(F.col("entry_age").isNull(), "birth date after contract date")
         .when(F.col("must_pay_period").isNull(), "unsupported product")
         .when(F.col("term") < 1, "no policy year")
         .when(missing_rate, "no interest rate")
@@ -148,6 +167,7 @@ def _reject_reason() -> Column:
         .when(F.col("big_case_bonus").isNull(), "no big-case bonus tier")
         .when(F.col("extra_prem_rate").isNull(), "no extra premium rate")
         .when(_plans_overlap(), "overlapping withdrawal years")
+        .when(F.col("product").isin(*book.total_charges), "excess premium charge of 100%")
     )
 
 

@@ -3,7 +3,8 @@
 Rate tables are the only sides this engine broadcasts. A :class:`RateBook`
 knows each table's row count, taken when the book is opened, and withholds the
 broadcast hint from any table over ``MAX_BROADCAST_ROWS``; Catalyst then joins
-by shuffle.
+by shuffle, where AQE splits skewed keys. Frames derived from tables are judged
+by their own bound.
 """
 
 from __future__ import annotations
@@ -129,10 +130,15 @@ TABLES = {
 
 @dataclass(frozen=True)
 class RateBook:
-    """Rate tables by name, with their row counts."""
+    """Rate tables by name, with their row counts.
+
+    ``total_charges`` names products that charge all of an excess premium in some
+    year, which leaves loads undefined; their policies are rejected.
+    """
 
     tables: dict[str, DataFrame]
     rows: dict[str, int]
+    total_charges: tuple[str, ...] = ()
     _derived: dict[object, DataFrame] = field(default_factory=dict)
 
     @classmethod
@@ -148,7 +154,7 @@ class RateBook:
 
     @classmethod
     def of(cls, tables: dict[str, DataFrame]) -> RateBook:
-        """Count all tables in one job; refuse repeated keys and total charges."""
+        """Count all tables in one job; refuse repeated keys, note total charges."""
         profiles = [
             tables[name].agg(
                 F.lit(name).alias("name"),
@@ -162,9 +168,8 @@ class RateBook:
         repeated = sorted(row["name"] for row in counted if row["n"] != row["n_keys"])
         if repeated:
             raise ValueError(f"repeated or null keys in rate tables: {', '.join(repeated)}")
-        if any(row["takes_all"] for row in counted):
-            raise ValueError("an excess premium charge of 100% leaves loads undefined")
-        return cls(dict(tables), {row["name"]: row["n"] for row in counted})
+        total = sorted({product for row in counted for product in row["takes_all"]})
+        return cls(dict(tables), {row["name"]: row["n"] for row in counted}, tuple(total))
 
     def write_parquet(self, folder: str) -> None:
         for name, table in self.tables.items():
@@ -178,23 +183,26 @@ class RateBook:
         return table
 
     def derived(self, key: object, build: Callable[[], DataFrame]) -> DataFrame:
-        """A small frame computed from rate tables, kept for the book's later queries."""
+        """The plan of a small frame computed from rate tables; nothing is cached."""
         if key not in self._derived:
-            self._derived[key] = build().persist()
+            self._derived[key] = build()
         return self._derived[key]
 
-    def side(self, *names: str, using: DataFrame | None = None) -> DataFrame:
-        """The table, or a frame derived from ``names``, as a join side."""
+    def side(self, *names: str, using: DataFrame | None = None, rows: int | None = None) -> DataFrame:
+        """The table, or a frame derived from ``names``, as a join side.
+
+        ``rows`` bounds a derived frame; without it, it counts as its sources do.
+        """
         frame = self.tables[names[0]] if using is None else using
-        if sum(self.rows[name] for name in names) <= MAX_BROADCAST_ROWS:
+        if (sum(self.rows[name] for name in names) if rows is None else rows) <= MAX_BROADCAST_ROWS:
             return F.broadcast(frame)
         return frame
 
 
 def _takes_all(name: str):
     if name == "alloc_chrg_rate":
-        return F.coalesce(F.bool_or(F.col("ep_rate") >= 1.0), F.lit(False))
-    return F.lit(False)
+        return F.collect_set(F.when(F.col("ep_rate") >= 1.0, F.col("product")))
+    return F.array().cast("array<string>")
 
 
 def load_rate_csv(spark: SparkSession, name: str, path: str) -> DataFrame:
