@@ -153,7 +153,7 @@ def _cut(joined: DataFrame, columns: list[str]) -> DataFrame:
                     names=[f.name for f in target],
                 )
 
-    return source.mapInArrow(run, target)
+    return source.mapInArrow(run, target).select(*columns, *[n.split(" ")[0] for n in ADDED.split(", ")])
 
 
 def remove_repeated_lines(docs: DataFrame) -> DataFrame:
