@@ -17,7 +17,7 @@ from tidefold.session import new_shared_path
 #: A word of every contract here: no space and none of \t \n \v \f \r.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Words that a task remembers before it starts anew; bounds its memory.
-MAX_REMEMBERED = 400_000
+MAX_REMEMBERED = 150_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -106,7 +106,7 @@ def shingle_sets(texts: list[str], width: int, memory: Remembered) -> list[np.nd
     return sets
 
 
-def chunks_of(batch: pa.RecordBatch, column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def chunks_of(batch: pa.RecordBatch, column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with some ``most`` bytes of text each, so that memory is bounded."""
     lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0)
     ends = np.cumsum(lengths.to_numpy(zero_copy_only=False))

@@ -124,11 +124,13 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def links_of_block(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Verified links that join all similar documents of a block, one fewer than documents.
+def links_of_block(ids: np.ndarray, sets: list[np.ndarray], percent: int,
+                   label: np.ndarray | None = None, asking: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Verified links that join the similar documents of a block.
 
-    Candidates share a retained value. A pair whose documents are joined already, over
-    links verified before, needs no comparison.
+    Candidates share a retained value. ``label`` tells documents that are joined already;
+    a pair of those needs no comparison. With ``asking``, only these documents are
+    compared, with those not asking; else all with each other.
     """
     n = len(sets)
     filled = np.full((n, RETAINED), np.iinfo(np.uint64).max, np.uint64)
@@ -136,10 +138,15 @@ def links_of_block(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> lis
     for row, s in zip(filled, sets):
         row[: min(len(s), RETAINED)] = s[:RETAINED]
     full = np.array([len(s) for s in sets])
-    label = np.arange(n)
+    label = np.arange(n) if label is None else np.unique(label, return_inverse=True)[1]
     least, links = least_estimate(percent), []
-    for i in range(1, n):
-        near = (100 * full[:i] >= percent * full[i]) & (100 * full[i] >= percent * full[:i])
+    for i in range(n) if asking is None else np.flatnonzero(asking).tolist():
+        near = label != label[i]
+        if asking is None:
+            near[i:] = False
+        else:
+            near &= ~asking
+        near &= (100 * full >= percent * full[i]) & (100 * full[i] >= percent * full)
         near = np.flatnonzero(near)
         if not len(near):
             continue
@@ -148,8 +155,7 @@ def links_of_block(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> lis
         for j in order.tolist():
             if label[j] != label[i] and linked(sets[i], sets[j], percent):
                 links.append((int(ids[i]), int(ids[j])))
-                old, new = label[i], label[j]
-                label[label == old] = new
+                label[label == label[i]] = label[j]
     return links
 
 
@@ -157,23 +163,28 @@ def _set_of(value) -> np.ndarray:
     return np.frombuffer(value.as_py(), np.uint64)
 
 
-def _links_in_groups(grouped: DataFrame, percent: int) -> DataFrame:
+def _links_in_groups(grouped: DataFrame, percent: int, keys: list[str]) -> DataFrame:
+    """Links of each group of rows with equal ``keys``; ``component`` and ``asking`` as in
+    ``links_of_block``, where the rows have them."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    names = grouped.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, int]] = []
-        for group in key_groups(batches, ["lead", "block"]):
+        for group in key_groups(batches, keys):
             if group.num_rows > 1:
-                ids = group.column("rep").to_numpy()
-                held += links_of_block(ids, [_set_of(v) for v in group.column("set")], percent)
+                held += links_of_block(
+                    group.column("rep").to_numpy(), [_set_of(v) for v in group.column("set")], percent,
+                    group.column("component").to_numpy() if "component" in names else None,
+                    group.column("asking").to_numpy() if "asking" in names else None,
+                )
             if len(held) > 10_000:
                 yield _pairs(held, schema)
                 held = []
         if held:
             yield _pairs(held, schema)
 
-    spread = grouped.repartition("lead", "block").sortWithinPartitions("lead", "block", "rep")
-    return spread.mapInArrow(run, "a long, b long")
+    return grouped.repartition(*keys).sortWithinPartitions(*keys, "rep").mapInArrow(run, "a long, b long")
 
 
 def _pairs(rows: list[tuple[int, int]], schema: pa.Schema) -> pa.RecordBatch:
@@ -215,25 +226,84 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def _between(lists: DataFrame, joined: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a list that lie in different components so far.
+def _labelled(rows: DataFrame, joined: DataFrame) -> DataFrame:
+    """Adds each document's component so far."""
+    return rows.join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn(
+        "component", F.coalesce("component", "rep"))
+
+
+def _block_of(blocks) -> F.Column:
+    return F.pmod(F.xxhash64("rep"), F.greatest(blocks, F.lit(1)).cast("long"))
+
+
+def _numbers_below(n) -> F.Column:
+    return F.explode(F.sequence(F.lit(0).cast("long"), n.cast("long") - 1))
+
+
+def _join_large_groups(large: DataFrame, sets: DataFrame, links: DataFrame, percent: int) -> DataFrame:
+    """More links, so that all documents of groups of several blocks are compared.
+
+    Blocks of one group are components by themselves at first. Delegates of each
+    component (some 16, by hash) meet in new blocks as long as that joins any. What
+    then lies outside a group's largest component is compared with all of the group, in a
+    grid of blocks; documents that are joined already are not compared.
+    """
+    joined = components(links)
+    while True:
+        labelled = _labelled(large, joined)
+        sizes = labelled.groupBy("lead", "component").agg(F.count("*").alias("m"))
+        delegates = labelled.join(sizes, ["lead", "component"]).where(
+            F.pmod(F.xxhash64("rep", F.lit(1)), F.greatest(F.floor(F.col("m") / 16), F.lit(1))) == 0)
+        counts = delegates.groupBy("lead").agg(
+            F.count("*").alias("size"), F.count_distinct("component").alias("k")).where("k > 1")
+        met = delegates.join(counts, "lead").withColumn("block", _block_of(F.ceil(F.col("size") / BLOCK)))
+        more = stored(_links_in_groups(
+            met.select("rep", "lead", "block", "component").join(sets, "rep"), percent, ["lead", "block"]),
+            "links")
+        if not more.count():
+            break
+        links = links.unionByName(more)
+        joined = components(links)
+    labelled = stored(_labelled(large, joined), "labelled")
+    sizes = labelled.groupBy("lead", "component").agg(F.count("*").alias("m"))
+    mains = sizes.groupBy("lead").agg(
+        F.max(F.struct("m", "component")).alias("top"), F.sum("m").alias("size"), F.count("*").alias("k")
+    ).where("k > 1").select(
+        "lead", F.col("top.component").alias("main"), F.ceil(F.col("size") / BLOCK).alias("rows"),
+        F.ceil((F.col("size") - F.col("top.m")) / BLOCK).alias("columns"))
+    open_ = labelled.join(mains, "lead")
+    asked = open_.select(
+        "rep", "lead", "component", F.lit(False).alias("asking"), _block_of(F.col("rows")).alias("r"),
+        _numbers_below(F.col("columns")).alias("c"))
+    asking = open_.where("component <> main").select(
+        "rep", "lead", "component", F.lit(True).alias("asking"), _numbers_below(F.col("rows")).alias("r"),
+        _block_of(F.col("columns")).alias("c"))
+    grid = asked.unionByName(asking).join(sets, "rep")
+    return links.unionByName(stored(_links_in_groups(grid, percent, ["lead", "r", "c"]), "links"))
+
+
+def _between(lists: DataFrame, led: DataFrame, joined: DataFrame, percent: int) -> DataFrame:
+    """Pairs of a list that lie in different groups, and in different components so far.
 
     The largest component of a list is not paired with itself, only with the rest.
     """
-    labelled = lists.join(
-        joined.select(F.col("node").alias("rep"), "component"), "rep", "left"
-    ).withColumn("component", F.coalesce("component", "rep"))
-    counts = labelled.groupBy("value", "component").agg(F.count("*").alias("m"))
-    mixed_lists = counts.groupBy("value").agg(
-        F.max(F.struct("m", "component")).alias("top"), F.count("*").alias("k")
-    ).where("k > 1").select("value", F.col("top.component").alias("main"))
-    open_ = labelled.join(mixed_lists, "value")
+    labelled = _labelled(lists, joined).join(led, "rep")
+    counts = labelled.groupBy("value", "component").agg(
+        F.count("*").alias("m"), F.min("lead").alias("low"), F.max("lead").alias("high"))
+    open_ = labelled.join(
+        counts.groupBy("value").agg(
+            F.max(F.struct("m", "component")).alias("top"), F.count("*").alias("k"),
+            F.min("low").alias("low"), F.max("high").alias("high"),
+        ).where("k > 1 and low < high").select("value", F.col("top.component").alias("main")), "value")
     some = open_.where("component <> main").select(
-        "value", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
+        "value", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"),
+        F.col("lead").alias("la"))
     every = open_.select(
-        "value", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), "main")
+        "value", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"),
+        F.col("lead").alias("lb"), "main")
     return some.join(every, "value").where(
-        (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("main")) | (F.col("a") < F.col("b")))
+        (F.col("la") != F.col("lb")) & (F.col("ca") != F.col("cb"))
+        & ((F.col("cb") == F.col("main")) | (F.col("a") < F.col("b")))
         & (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)
     ).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
@@ -246,11 +316,11 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
        smallest id; from here on only these stand-ins are compared.
     2. Retained values make inverted lists (see ``_lists``); no list is cut.
     3. Each listed document goes to the group of the smallest id that it shares a list
-       with. Groups are worked in blocks of ``BLOCK``: union sketches filter, full sets
+       with, or that a document on its lists does. Groups are worked in blocks of ``BLOCK``: union sketches filter, full sets
        verify, and pairs that are joined already are skipped. So a group of thousands of
-       near copies collapses without a row per pair.
-    4. What the lists still leave between different components is paired, filtered and
-       verified likewise. Every candidate pair is thus verified, or joined over verified
+       near copies collapses without a row per pair (``_join_large_groups``).
+    4. What the lists still leave between different groups and components is paired,
+       filtered and verified likewise. Every candidate pair is thus verified, or joined over verified
        links; components of the links are found by star steps on tables.
 
     A document without words (or with null text) has size 0 and is its own component.
@@ -268,22 +338,37 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     )
     lists = stored(_lists(classes, percent), "lists")
 
-    leads = lists.groupBy("value").agg(F.min("rep").alias("lead"))
-    led = lists.join(leads, "value").groupBy("rep").agg(F.min("lead").alias("lead"))
-    groups = led.groupBy("lead").agg(F.count("*").alias("size"))
-    blocks = F.ceil(F.col("size") / BLOCK).cast("long")
-    members = led.join(groups, "lead").where("rep <> lead").select(
-        "rep", "lead", F.pmod(F.xxhash64("rep"), blocks).alias("block"))
-    # The lead is in each block of its group, so blocks of near copies join over it.
-    heads = groups.select(
-        F.col("lead").alias("rep"), "lead", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"))
-    wanted = members.unionByName(heads).withColumnRenamed("rep", "doc_id")
+    led = lists.select("value", "rep", F.col("rep").alias("lead"))
+    for _ in range(2):  # the second step joins what the first has led to several members
+        leads = led.groupBy("value").agg(F.min("lead").alias("lead"))
+        found = led.join(leads.withColumnRenamed("lead", "low"), "value").groupBy("rep").agg(
+            F.min("low").alias("low"))
+        led = stored(lists.select("value", "rep").join(
+            found.withColumnRenamed("low", "lead"), "rep"), "led")
+    led = led.select("rep", "lead").distinct()
+    # The lead itself belongs to its group, even if its own lists lead it elsewhere.
+    groups = led.where("rep <> lead").groupBy("lead").agg((F.count("*") + 1).alias("size"))
+    blocks = F.ceil(F.col("size") / BLOCK)
+    members = led.where("rep <> lead").join(groups, "lead").select("rep", "lead", _block_of(blocks).alias("block"))
+    # The lead is in each block of its group, so that blocks of near copies join over it.
+    heads = groups.select(F.col("lead").alias("rep"), "lead", _numbers_below(blocks).alias("block"))
+    # One that leads itself and no other is compared later on, so its set is needed, too.
+    alone = led.where("rep = lead").join(groups, "lead", "left_anti").select(
+        "rep", "lead", F.lit(0).cast("long").alias("block"))
+    wanted = members.unionByName(heads).unionByName(alone).withColumnRenamed("rep", "doc_id")
     grouped = stored(_whole_sets(docs, wanted, width), "sets")
-
-    first = stored(_links_in_groups(grouped, percent), "links")
+    sets = grouped.where("rep <> lead or block = 0")  # a lead may still occur twice
+    sets = sets.groupBy("rep").agg(F.first("set").alias("set"))
+
+    first = stored(_links_in_groups(grouped, percent, ["lead", "block"]), "links")
+    large = members.unionByName(heads.where("block = 0")).join(
+        groups.where(F.col("size") > BLOCK).select("lead"), "lead", "left_semi").select("rep", "lead")
+    large = stored(large, "large")
+    if large.head(1):
+        first = _join_large_groups(large, stored(sets.join(
+            large.select("rep").distinct(), "rep", "left_semi"), "sets"), first, percent)
     joined = components(first)
-    pairs = _filtered(_between(lists, joined, percent), classes, percent)
-    sets = grouped.dropDuplicates(["rep"]).select("rep", "set")
+    pairs = _filtered(_between(lists, led, joined, percent), classes, percent)
     second = stored(_verified(pairs, sets, percent), "links")
     links = first.unionByName(second)
     # Rows that repeat an id with another text tie their classes together.
