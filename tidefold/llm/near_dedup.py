@@ -256,14 +256,18 @@ def _join_large_groups(large: DataFrame, sets: DataFrame, links: DataFrame, perc
             F.pmod(F.xxhash64("rep", F.lit(1)), F.greatest(F.floor(F.col("m") / 16), F.lit(1))) == 0)
         counts = delegates.groupBy("lead").agg(
             F.count("*").alias("size"), F.count_distinct("component").alias("k")).where("k > 1")
-        met = delegates.join(counts, "lead").withColumn("block", _block_of(F.ceil(F.col("size") / BLOCK)))
-        more = stored(_links_in_groups(
-            met.select("rep", "lead", "block", "component").join(sets, "rep"), percent, ["lead", "block"]),
-            "links")
-        if not more.count():
+        met = stored(delegates.join(counts, "lead").select(
+            "rep", "lead", "component", _block_of(F.ceil(F.col("size") / BLOCK)).alias("block")), "met")
+        last = met.agg(F.max("block")).first()[0]
+        if last is None:
+            break
+        more = stored(_links_in_groups(met.join(sets, "rep"), percent, ["lead", "block"]), "links")
+        if not more.head(1):
             break
         links = links.unionByName(more)
         joined = components(links)
+        if not last:  # all delegates have met in one block, and would meet there again
+            break
     labelled = stored(_labelled(large, joined), "labelled")
     sizes = labelled.groupBy("lead", "component").agg(F.count("*").alias("m"))
     mains = sizes.groupBy("lead").agg(
