@@ -255,6 +255,14 @@ def test_mixed_documents_hold_what_is_taken(docs):
     assert {i: n for i, n in taken.items() if n} == dict(out)
 
 
+def test_mix_takes_whole_documents(docs):
+    split = collections.Counter(r.source for r in mixing.mix(docs).collect() if r["size"] and r.taken % r["size"])
+    assert max(split.values(), default=0) <= 1
+    whole = collections.Counter(r.text for r in docs.collect())
+    cut = collections.Counter(r.source for r in mixing.mixed_documents(docs).collect() if r.text not in whole)
+    assert max(cut.values(), default=0) <= 1
+
+
 def test_packing_is_a_round_trip(docs, texts, odd, none):
     import public_tokenizers
     from tokenizers import Tokenizer

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import hashlib
 import heapq
 import re
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -118,44 +116,18 @@ def plan(sizes: list[int], names: list, blocks: list[int], share: float, repeats
     return list(zip(goal, quota))
 
 
-def _shard_plan(frame: pd.DataFrame, repeats: int, block_tokens: int, seed: int) -> pd.DataFrame:
-    """Blocks of each shard of one source (``SHARDS`` rows at most), by pass.
-
-    Pass p holds the blocks that begin in [p, p + 1) times the shard's size: ``first_p`` is
-    the number of its first block, ``n_p`` how many it has, ``r_p`` how many are taken,
-    ``o_p`` a seeded offset in [0, n_p).
-    """
-    frame = frame.sort_values("shard")
-    quotas = sainte_lague(
-        frame["shard_size"].astype(float).tolist(), frame["shard_blocks"].tolist(), int(frame["quota"].iloc[0]))
-    rows = []
-    for row, quota in zip(frame.itertuples(index=False), quotas):
-        mark = hashlib.md5(f"{seed}|{row.p_source}|{row.shard}".encode()).hexdigest()
-        firsts = [-(-row.shard_size * p // block_tokens) for p in range(repeats + 1)]
-        values = [row.p_source, row.shard, row.source_size, row.target, row.shard_size]
-        for first, after in zip(firsts[:-1], firsts[1:]):
-            n = after - first
-            values += [first, n, min(n, max(0, quota - first)), int(mark[:8], 16) % max(n, 1)]
-        rows.append(values)
-    names = ["p_source", "p_shard", "source_size", "target", "shard_size"]
-    return pd.DataFrame(rows, columns=names + _pass_columns(repeats))
-
-
-def _pass_columns(repeats: int) -> list[str]:
-    return [f"{c}_{p}" for p in range(repeats) for c in ("first", "n", "r", "o")]
-
-
 def mix(docs: DataFrame, share: float = SHARE, repeats: int = MOST_REPEATS,
         block_tokens: int = BLOCK_TOKENS, shards: int = SHARDS, seed: int = 7) -> DataFrame:
     """Adds ``size``, ``source_size``, ``target`` and ``taken`` to ``doc_id``, ``text``, ``source``.
 
-    Each source's documents are dealt over ``shards`` shards and laid end to end in a
-    seeded order. The line of a shard, repeated ``repeats`` times, is cut into equal
-    blocks of ``block_tokens``. Sainte-Lague hands blocks to sources by weight, then a
-    source's blocks to its shards by size. Within a shard the blocks of each pass are
-    taken whole before those of the next; of the last pass a seeded, evenly spaced
-    choice is taken. So a document's share is arithmetic on its place in the line: no
-    block is ever a row, and only source totals (one row a source) reach the driver.
+    Each source's documents are dealt over ``shards`` shards by a seeded hash and laid end to
+    end, shard after shard, in a seeded order; this line is repeated ``repeats`` times and
+    counted in blocks of ``block_tokens``. Sainte-Lague hands blocks to sources by weight.
+    A source takes its line from the start up to its quota: all documents as often as whole
+    lines fit, and of the last, partial line whole documents in the seeded order. Only the
+    one document in which the quota of a source ends is taken in part. So a document's
+    share is arithmetic on its place in the line: no block is ever a row, and only source
+    totals (one row a source) reach the driver.
 
     Null text and text without words have size 0 and take 0; a null source is a source
     of its own, last in order. Repeated rows count as often as they occur. An empty
@@ -169,28 +141,23 @@ def mix(docs: DataFrame, share: float = SHARE, repeats: int = MOST_REPEATS,
     sized = sized.withColumn(
         "shard", (F.conv(F.substring("mark", 1, 8), 16, 10).cast("long") % shards).cast("int")
     )
-    by_shard = sized.groupBy("source", "shard").agg(F.sum("size").alias("shard_size")).withColumn(
-        "shard_blocks", F.ceil(F.col("shard_size") * repeats / block_tokens).cast("long")
-    )
-    by_source = by_shard.groupBy("source").agg(
-        F.sum("shard_size").alias("source_size"), F.sum("shard_blocks").alias("source_blocks")
-    ).collect()
+    by_shard = sized.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"))
+    by_source = by_shard.groupBy("source").agg(F.sum("shard_size").alias("source_size")).collect()
     planned = plan(
         [r.source_size for r in by_source], [r.source for r in by_source],
-        [r.source_blocks for r in by_source], share, repeats, block_tokens,
+        [-(-r.source_size * repeats // block_tokens) for r in by_source], share, repeats, block_tokens,
     )
     quotas = spark.createDataFrame(
-        [(r.source, r.source_size, float(t), int(q)) for r, (t, q) in zip(by_source, planned)],
+        [(r.source, r.source_size, float(t), min(int(q) * block_tokens, repeats * r.source_size))
+         for r, (t, q) in zip(by_source, planned)],
         "p_source string, source_size long, target double, quota long",
     )
     # One row a source and shard: a dimension, joined with null matching null.
-    shares = by_shard.join(quotas, F.col("source").eqNullSafe(F.col("p_source"))).groupBy(
-        "p_source"
-    ).applyInPandas(
-        lambda frame: _shard_plan(frame, repeats, block_tokens, seed),
-        "p_source string, p_shard int, source_size long, target double, shard_size long, "
-        + ", ".join(f"{c} long" for c in _pass_columns(repeats)),
-    )
+    shards_before = Window.partitionBy("p_source").orderBy("p_shard").rowsBetween(
+        Window.unboundedPreceding, -1)
+    shares = by_shard.join(quotas, F.col("source").eqNullSafe(F.col("p_source"))).select(
+        "p_source", F.col("shard").alias("p_shard"), "source_size", "target", "quota", "shard_size",
+    ).withColumn("before", F.coalesce(F.sum("shard_size").over(shards_before), F.lit(0)))
 
     line = Window.partitionBy("source", "shard").orderBy("mark", "doc_id", "size").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
@@ -199,29 +166,13 @@ def mix(docs: DataFrame, share: float = SHARE, repeats: int = MOST_REPEATS,
         shares,
         F.col("source").eqNullSafe(F.col("p_source")) & (F.col("shard") == F.col("p_shard")),
     )
-
-    def picked_before(p: int, block) -> F.Column:
-        """How many of pass p's first blocks, up to this one, are taken (evenly spaced)."""
-        inside = F.greatest(F.lit(0), F.least(F.col(f"n_{p}"), block - F.col(f"first_{p}")))
-        return F.when(
-            F.col(f"n_{p}") > 0,
-            F.floor((inside * F.col(f"r_{p}") + F.col(f"o_{p}")) / F.greatest(f"n_{p}", F.lit(1))),
-        ).otherwise(F.lit(0)).cast("long")
-
-    def taken_before(place) -> F.Column:
-        block = F.floor(place / block_tokens).cast("long")
-        whole, here = F.lit(0).cast("long"), F.lit(0).cast("long")
-        for p in range(repeats):
-            whole = whole + picked_before(p, block)
-            here = here + picked_before(p, block + 1) - picked_before(p, block)
-        return whole * block_tokens + here * (place - block * block_tokens)
-
-    taken = F.lit(0).cast("long")
-    for p in range(repeats):
-        end = F.col("stop") + F.col("shard_size") * p
-        taken = taken + taken_before(end) - taken_before(end - F.col("size"))
+    one = F.greatest("source_size", F.lit(1))
+    copies = F.floor(F.col("quota") / one)
+    start = F.col("before") + F.col("stop") - F.col("size")
+    rest = F.greatest(F.lit(0), F.least(F.col("size"), F.col("quota") - copies * F.col("source_size") - start))
     return placed.select(
-        "doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "source"
+        "doc_id", "size", "source_size", "target",
+        (F.col("size") * copies + rest).cast("long").alias("taken"), "source",
     )
 
 
@@ -235,8 +186,8 @@ def _first_words(text: str, n: int) -> str:
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs``, with all their columns, as often as the mix takes them: whole
-    copies for whole sizes taken, then the first words for the rest; none that it does not
-    take. Copies carry the id of their document. Documents without words go.
+    copies for whole sizes taken, then the first words for the rest (of one document a
+    source); none that it does not take. Copies carry the id of their document. Documents without words go.
 
     Rows that repeat an id take as much as the row of that id of which most is taken,
     but no more than the repeats of their own text.
