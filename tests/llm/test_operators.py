@@ -132,6 +132,45 @@ def test_line_dedup_finds_shifted_passages(spark, none, odd):
     assert left.count() == 9 and left.where("doc_id = 1").select("text").distinct().count() == 1
 
 
+def test_line_dedup_finds_every_repeated_run(docs, texts):
+    def runs(lines):
+        sizes = [len(line.encode().split()) for line in lines]
+        for a in range(len(lines)):
+            for b in range(a + 1, len(lines) + 1):
+                if sizes[a] and sizes[b - 1] and sum(sizes[a:b]) >= 12:
+                    yield a, b, "\n".join(lines[a:b])
+
+    seen, expected = set(), {}
+    for i in sorted(texts):
+        lines, gone = texts[i].split("\n"), set()
+        for a, b, body in runs(lines):
+            if body in seen:
+                gone.update(range(a, b))
+            seen.add(body)
+        ends = sorted(gone)
+        for a, b in zip(ends, ends[1:]):
+            if not "".join(lines[a + 1 : b]).strip():
+                gone.update(range(a + 1, b))
+        expected[i] = "\n".join(line for k, line in enumerate(lines) if k not in gone)
+    cleaned = line_dedup.remove_repeated_lines(docs, runs=True)
+    assert {r.doc_id: r.text for r in cleaned.collect()} == expected
+
+
+def test_line_dedup_finds_passages_of_short_lines(spark, none, odd):
+    rows, left = [], {}
+    for shape, (lines, width) in enumerate([(1, 15), (4, 15), (5, 12), (6, 10), (8, 8), (10, 15), (60, 1)]):
+        passage = [" ".join(f"p{shape}x{i}y{j}" for j in range(width)) for i in range(lines)]
+        for doc in range(20):
+            own = [[f"d{shape}x{doc}{side}{i} own" for i in range(doc % 3 + 1)] for side in "ab"]
+            key = 100 * shape + doc
+            rows.append((key, "\n".join(own[0] + passage + own[1])))
+            left[key] = rows[-1][1] if not doc else "\n".join(own[0] + own[1])
+    found = line_dedup.remove_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string"), runs=True)
+    assert {r.doc_id: r.text for r in found.collect()} == left
+    assert line_dedup.remove_repeated_lines(none, runs=True).count() == 0
+    assert line_dedup.remove_repeated_lines(odd, runs=True).count() == 9
+
+
 def test_url_rules(spark):
     rows = [
         (1, "http://Sub.Example.NET/en/x?y#z"), (2, "https://net/"), (3, "x://a.example.com/de/1"),

@@ -1,4 +1,4 @@
-"""Line dedup: content-defined chunks of lines; globally repeated ones are removed."""
+"""Line dedup: globally repeated runs of lines, or content-defined chunks of them, are removed."""
 
 from __future__ import annotations
 
@@ -51,6 +51,41 @@ def line_chunks(lines: list[str], memory: Remembered) -> list[tuple[int, int, in
     return found
 
 
+def line_runs(lines: list[str], memory: Remembered) -> list[tuple[int, int, int]]:
+    """The shortest runs of lines with ``LEAST_WORDS`` words from each line on, and up to each.
+
+    Runs depend on their own lines only. Those inside a longer run cover all its lines: one
+    with too few words from itself to the end and from the start to itself lies in the run
+    from the start. Runs begin and end with a line that has words.
+    """
+    places = [i for i, line in enumerate(lines) if memory[line][1]]
+    counts = [memory[lines[i]][1] for i in places]
+    found = set()
+    after = total = 0
+    for i, n in enumerate(counts):
+        while total < LEAST_WORDS and after < len(counts):
+            total += counts[after]
+            after += 1
+        if total < LEAST_WORDS:
+            break
+        found.add((places[i], places[after - 1] + 1, total))
+        total -= n
+    first = total = 0
+    for j, n in enumerate(counts):
+        total += n
+        while total - counts[first] >= LEAST_WORDS:
+            total -= counts[first]
+            first += 1
+        if total >= LEAST_WORDS:
+            found.add((places[first], places[j] + 1, total))
+    return sorted(found)
+
+
+def _spans(lines: list[str], memory: Remembered, runs: bool) -> list[tuple[int, int, int]]:
+    """What may be removed of a text, in order: runs of lines, or chunks that count."""
+    return line_runs(lines, memory) if runs else [c for c in line_chunks(lines, memory) if _countable(c)]
+
+
 def _line_memory() -> Remembered:
     return Remembered(lambda line: (
         xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass")), len(line.encode("utf-8", "surrogatepass").split())))
@@ -70,8 +105,8 @@ def _columns(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
-def _chunk_rows(named: DataFrame) -> DataFrame:
-    """Place and hash of every chunk that may be removed."""
+def _chunk_rows(named: DataFrame, runs: bool) -> DataFrame:
+    """Place and hash of every chunk or run that may be removed."""
     schema = pa.schema([("row", pa.int64()), ("key", pa.int64()), ("chunk", pa.int32()), ("hash", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,7 +118,7 @@ def _chunk_rows(named: DataFrame) -> DataFrame:
                     lines = (text or "").split("\n")
                     rows += [
                         (row, key, k, xxhash.xxh3_64_intdigest(_bytes_of(lines, chunk)) - (1 << 63))
-                        for k, chunk in enumerate(line_chunks(lines, memory)) if _countable(chunk)
+                        for k, chunk in enumerate(_spans(lines, memory, runs))
                     ]
                 memory.trim()
                 yield _columns(rows, schema)
@@ -91,8 +126,8 @@ def _chunk_rows(named: DataFrame) -> DataFrame:
     return named.select("row", "key", "text").mapInArrow(run, "row long, key long, chunk int, hash long")
 
 
-def _bodies(named: DataFrame, suspects: DataFrame) -> DataFrame:
-    """The bytes of suspected chunks."""
+def _bodies(named: DataFrame, suspects: DataFrame, runs: bool) -> DataFrame:
+    """The bytes of suspected chunks or runs."""
     schema = pa.schema([("row", pa.int64()), ("key", pa.int64()), ("chunk", pa.int32()), ("body", pa.binary())])
     wanted = suspects.groupBy("row").agg(F.collect_list("chunk").alias("chunks"))
     joined = named.select("row", "key", "text").join(wanted.hint("shuffle_hash"), "row")
@@ -106,7 +141,7 @@ def _bodies(named: DataFrame, suspects: DataFrame) -> DataFrame:
                     *(part.column(n).to_pylist() for n in ("row", "key", "text", "chunks"))
                 ):
                     lines = text.split("\n")
-                    found = line_chunks(lines, memory)
+                    found = _spans(lines, memory, runs)
                     rows += [(row, key, k, _bytes_of(lines, found[k])) for k in chunks]
                 memory.trim()
                 yield _columns(rows, schema)
@@ -115,22 +150,26 @@ def _bodies(named: DataFrame, suspects: DataFrame) -> DataFrame:
         run, "row long, key long, chunk int, body binary")
 
 
-def _without(text: str, cuts: list[int], memory: Remembered) -> tuple[str, int, int]:
-    """The text without its chunks ``cuts``; lines and words removed."""
+def _without(text: str, cuts: list[int], memory: Remembered, runs: bool) -> tuple[str, int, int]:
+    """The text without its chunks or runs ``cuts``; lines and words removed."""
     lines = text.split("\n")
-    chunks, gone = line_chunks(lines, memory), set(cuts)
-    left = [lines[a:b] for k, (a, b, _) in enumerate(chunks) if k not in gone]
+    spans = _spans(lines, memory, runs)
+    gone = sorted({i for k in cuts for i in range(spans[k][0], spans[k][1])})
+    if runs:  # blank lines between two removed lines go with them
+        gaps = [range(a + 1, b) for a, b in zip(gone, gone[1:])]
+        gone += [i for gap in gaps if not any(memory[lines[i]][1] for i in gap) for i in gap]
+    cut = set(gone)
     return (
-        "\n".join(line for part in left for line in part),
-        sum(b - a for k, (a, b, _) in enumerate(chunks) if k in gone),
-        sum(n for k, (_, _, n) in enumerate(chunks) if k in gone),
+        "\n".join(line for i, line in enumerate(lines) if i not in cut),
+        len(cut),
+        sum(memory[lines[i]][1] for i in cut),
     )
 
 
 ADDED = "n_lines long, removed_lines long, removed_words long"
 
 
-def _cut(joined: DataFrame, columns: list[str]) -> DataFrame:
+def _cut(joined: DataFrame, columns: list[str], runs: bool) -> DataFrame:
     kept = [c for c in columns if c != "text"]
     source = joined.select(*kept, "text", joined.columns[-1])
     target = joined.select(*kept, "text").schema
@@ -144,7 +183,7 @@ def _cut(joined: DataFrame, columns: list[str]) -> DataFrame:
                 rows = []
                 for text, cuts in zip(part.column("text").to_pylist(), part.column(part.num_columns - 1).to_pylist()):
                     n = text.count("\n") + 1 if text else 0
-                    rows.append((*_without(text, cuts, memory), n) if cuts else (text, 0, 0, n))
+                    rows.append((*_without(text, cuts, memory, runs), n) if cuts else (text, 0, 0, n))
                 memory.trim()
                 text, lines, words, n = map(list, zip(*rows))
                 yield pa.record_batch(
@@ -156,8 +195,8 @@ def _cut(joined: DataFrame, columns: list[str]) -> DataFrame:
     return source.mapInArrow(run, target).select(*columns, *[n.split(" ")[0] for n in ADDED.split(", ")])
 
 
-def remove_repeated_lines(docs: DataFrame) -> DataFrame:
-    """``docs`` with repeated chunks cut from ``text``, and ``n_lines``, ``removed_lines``,
+def remove_repeated_lines(docs: DataFrame, runs: bool = False) -> DataFrame:
+    """``docs`` with repeated chunks (or ``runs``) of lines cut from ``text``, and ``n_lines``, ``removed_lines``,
     ``removed_words``; all rows and other columns stay.
 
     1. Each text's lines are cut into chunks; only place and hash of a chunk move.
@@ -169,6 +208,12 @@ def remove_repeated_lines(docs: DataFrame) -> DataFrame:
     Chunks count if they have ``LEAST_WORDS`` words and two lines, or are one line of
     ``LONG_LINE`` words. A chunk that repeats within one text is removed there too.
 
+    With ``runs`` the same is done with overlapping runs instead of chunks (``line_runs``):
+    every line goes that lies in any run of whole lines of ``LEAST_WORDS`` words which
+    occurs before, whatever surrounds it. An equal earlier line is always left; of runs
+    that overlap their own copies (a short line over and over) only the first lines are.
+    Parts of a line are not compared.
+
     Null and empty texts stay as they are; a text all of whose lines repeat becomes empty.
     A null id counts as the smallest. Identical rows are one document and share their
     fate; rows with one id and different texts are told apart by a hash of the text.
@@ -179,11 +224,11 @@ def remove_repeated_lines(docs: DataFrame) -> DataFrame:
     docs = docs.select(*columns)
     narrow = docs.select(
         F.xxhash64("doc_id", "text").alias("row"), F.col("doc_id").cast("long").alias("key"), "text")
-    chunks = stored(_chunk_rows(narrow), "chunks")
+    chunks = stored(_chunk_rows(narrow, runs), "chunks")
     repeated = chunks.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1")
     suspects = stored(
         chunks.join(repeated, "hash", "left_semi").select("row", "chunk").distinct(), "suspects")
-    kept = _bodies(narrow, suspects).groupBy("body").agg(
+    kept = _bodies(narrow, suspects, runs).groupBy("body").agg(
         F.min(F.struct("key", "row", "chunk")).alias("keep")
     ).select(F.col("keep.row").alias("row"), F.col("keep.chunk").alias("chunk"))
     cuts = suspects.join(kept, ["row", "chunk"], "left_anti").groupBy("row").agg(
@@ -193,12 +238,12 @@ def remove_repeated_lines(docs: DataFrame) -> DataFrame:
     joined = docs.withColumn(mark, F.xxhash64("doc_id", "text")).join(
         cuts.withColumnsRenamed({"row": mark, "cuts": list_}), mark, "left"
     ).select(*columns, list_)
-    return _cut(joined, columns)
+    return _cut(joined, columns, runs)
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is left of every document without the chunks of lines seen before."""
-    cleaned = remove_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """What is left of every document without the runs of lines seen before."""
+    cleaned = remove_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), runs=True)
     return cleaned.select(
         "doc_id", "n_lines", "removed_lines", "removed_words", F.sha2("text", 256).alias("text_sha256"),
         F.length("text").alias("n_chars_left"),
