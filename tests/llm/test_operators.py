@@ -340,6 +340,26 @@ def test_neighbours_share_rare_ids():
     assert packing.Neighbours(docs).of(0, np.array([False, True, True, True]), 2)[0] == 2
 
 
+def test_neighbours_equal_brute_force(texts):
+    """All terms count, also those that most documents hold: copies are found in a large group."""
+    with open(packing.default_ranks(), "rb") as file:
+        pieces = packing._encoder(file.read())
+    docs = [np.frombuffer(packing.encode(texts[i], pieces) + b"\1\0", "<u2") for i in sorted(texts)[:80]]
+    docs += [docs[0]] * 60
+    index, n, mean = packing.Neighbours(docs), len(docs), np.mean([len(d) for d in docs])
+    sets = [collections.Counter(d.tolist()) for d in docs]
+    df = collections.Counter(t for c in sets for t in c)
+    unused = np.ones(n, bool)
+    for seed in (0, 5, 100):
+        unused[seed] = False
+        scores = [sum(math.log1p((n - df[t] + 0.5) / (df[t] + 0.5)) * c[t] * 2.2
+                      / (c[t] + 1.2 * (0.25 + 0.75 * len(d) / mean)) for t in sets[seed] if t in c)
+                  for c, d in zip(sets, docs)]
+        found = index.of(seed, unused, 10)
+        best = sorted((s for i, s in enumerate(scores) if unused[i]), reverse=True)[:10]
+        assert [scores[i] for i in found] == pytest.approx(best, rel=1e-4)
+
+
 def test_language_model_counts_and_base(docs, texts, monkeypatch):
     counts, tokens = collections.Counter(), {}
     for i, text in texts.items():

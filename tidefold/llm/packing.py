@@ -20,10 +20,9 @@ WINDOW = 2048
 END = 1
 #: Documents of a shard on average.
 SHARD_DOCS = 4096
-#: BM25 parameters; terms of a seed's query; a term in more than this share of a shard's
-#: documents tells nothing about neighbours and has no list.
+#: BM25 parameters; a term in more than this share of a shard's documents has a column
+#: instead of a list.
 K1, B = 1.2, 0.75
-QUERY_TERMS = 12
 COMMON = 0.1
 
 #: Where words of a text can be encoded one by one: single spaces and line ends only.
@@ -81,52 +80,74 @@ def _encoded(docs: DataFrame, shards: int, ranks: bytes) -> DataFrame:
     return docs.select(shard, "doc_id", "text").mapInArrow(run, "shard int, doc_id long, ids binary")
 
 
+def _postings(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document, term and frequency of each distinct term of each document, in order."""
+    lengths = [len(d) for d in docs]
+    key = np.repeat(np.arange(len(docs)), lengths) << 16 | np.concatenate(docs).astype(np.int64)
+    key.sort()
+    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    return key[starts] >> 16, key[starts] & 0xFFFF, np.diff(np.append(starts, len(key)))
+
+
+class Totals:
+    """Documents, mean length and document frequency of each id over all documents."""
+
+    def __init__(self, n: int, mean: float, df: np.ndarray):
+        self.n, self.mean, self.df = n, mean, df
+
+    @classmethod
+    def of(cls, docs: list[np.ndarray]) -> Totals:
+        return cls(len(docs), sum(map(len, docs)) / len(docs), np.bincount(_postings(docs)[1], minlength=1 << 16))
+
+    def idf(self) -> np.ndarray:
+        return np.log1p((self.n - self.df + 0.5) / (self.df + 0.5))
+
+
 class Neighbours:
     """A BM25 inverted index over the ids of a shard's documents."""
 
-    def __init__(self, docs: list[np.ndarray]):
+    def __init__(self, docs: list[np.ndarray], totals: Totals | None = None):
+        totals = totals or Totals.of(docs)
         n = len(docs)
         lengths = np.array([len(d) for d in docs])
-        flat = np.concatenate(docs).astype(np.int64)
-        key = np.repeat(np.arange(n), lengths) << 16 | flat
-        key.sort()
-        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        tf = np.diff(np.append(starts, len(key)))
-        doc, term = key[starts] >> 16, key[starts] & 0xFFFF
-        df = np.bincount(term, minlength=1 << 16)
-        use = (df[term] > 1) & (df[term] <= max(2, COMMON * n))
+        doc, term, tf = _postings(docs)
+        here = np.bincount(term, minlength=1 << 16)
+        use = here[term] > 1
         doc, term, tf = doc[use], term[use], tf[use]
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[doc] / lengths.mean()))
-        # lists by term; a document's terms by weight
+        weight = totals.idf()[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[doc] / totals.mean))
+        weight = weight.astype(np.float32)
+        # a document's terms; common ones have a column, others a list
+        self.terms = term
+        self.first = np.searchsorted(doc, np.arange(n + 1))
+        common = np.flatnonzero(here > max(2, COMMON * n))
+        self.column = np.full(1 << 16, -1)
+        self.column[common] = np.arange(len(common))
+        self.matrix = np.zeros((n, len(common)), np.float32)
+        wide = self.column[term] >= 0
+        self.matrix[doc[wide], self.column[term[wide]]] = weight[wide]
+        doc, term, weight = doc[~wide], term[~wide], weight[~wide]
         by_term = np.argsort(term, kind="stable")
-        self.docs, self.weights = doc[by_term], weight[by_term].astype(np.float32)
+        self.docs, self.weights = doc[by_term], weight[by_term]
         self.ends = np.searchsorted(term[by_term], np.arange((1 << 16) + 1))
-        by_doc = np.lexsort((term, -weight, doc))
-        self.terms = term[by_doc]
-        self.first = np.searchsorted(doc[by_doc], np.arange(n + 1))
-        self.scores = np.zeros(n, np.float32)
 
     def of(self, seed: int, unused: np.ndarray, most: int) -> list[int]:
-        """Up to ``most`` unused documents by BM25 score against the seed's top terms."""
-        a, b = self.first[seed], self.first[seed + 1]
-        touched = []
-        for term in self.terms[a : min(b, a + QUERY_TERMS)].tolist():
-            rows = slice(self.ends[term], self.ends[term + 1])
-            docs = self.docs[rows]
-            self.scores[docs] += self.weights[rows]
-            touched.append(docs)
-        if not touched:
-            return []
-        found = np.unique(np.concatenate(touched))
-        scores = self.scores[found]
-        self.scores[found] = 0
-        able = unused[found]
-        found, scores = found[able], scores[able]
-        return found[np.lexsort((found, -scores))[:most]].tolist()
-
-
-def pack(docs: list[np.ndarray], window: int = WINDOW) -> list[tuple[int, int, int, int, int]]:
+        """Up to ``most`` unused documents by BM25 score against all terms of the seed."""
+        terms = self.terms[self.first[seed] : self.first[seed + 1]]
+        columns = self.column[terms]
+        asked = np.zeros(self.matrix.shape[1], np.float32)
+        asked[columns[columns >= 0]] = 1
+        rare = terms[columns < 0]
+        start, n = self.ends[rare], self.ends[rare + 1] - self.ends[rare]
+        places = np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
+        scores = self.matrix @ asked + np.bincount(self.docs[places], self.weights[places], len(unused))
+        found = np.flatnonzero(unused & (scores > 0))
+        if len(found) > most:  # all that tie with the last one stay until the order is known
+            least = np.partition(scores[found], len(found) - most)[len(found) - most]
+            found = found[scores[found] >= least]
+        return found[np.lexsort((found, -scores[found]))[:most]].tolist()
+
+
+def pack(docs: list[np.ndarray], window: int = WINDOW, totals: Totals | None = None) -> list[tuple[int, int, int, int, int]]:
     """Pieces (document, start, length, sequence, offset) that fill windows to the last id.
 
     A window begins with what the one before left of its last document, or with the next
@@ -134,7 +155,7 @@ def pack(docs: list[np.ndarray], window: int = WINDOW) -> list[tuple[int, int, i
     those of the last neighbour; without any, the next unused document. The document that
     reaches the end of the window is cut there.
     """
-    index = Neighbours(docs)
+    index = Neighbours(docs, totals)
     unused = np.ones(len(docs), bool)
     pieces, sequence, offset, next_ = [], 0, 0, 0
     queue: list[int] = []
