@@ -360,6 +360,16 @@ def test_neighbours_equal_brute_force(texts):
         assert [scores[i] for i in found] == pytest.approx(best, rel=1e-4)
 
 
+def test_packing_deals_by_content(spark, docs):
+    """Copies of documents with a word changed meet in a shard; hashing keeps 1 in 8 together."""
+    both = docs.select("doc_id", "text").unionByName(
+        docs.select((F.col("doc_id") + 1_000_000).alias("doc_id"), F.concat("text", F.lit(" changed")).alias("text")))
+    rows = packing.pack_documents(both, shard_docs=50).where("start = 0").collect()
+    shard = {r.doc_id: r.sequence_id >> 32 for r in rows}
+    assert len(shard) == 400 and len(set(shard.values())) >= 8
+    assert np.mean([shard[i] == shard[i + 1_000_000] for i in shard if i < 1_000_000]) > 0.8
+
+
 def test_language_model_counts_and_base(docs, texts, monkeypatch):
     counts, tokens = collections.Counter(), {}
     for i, text in texts.items():

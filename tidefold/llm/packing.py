@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidefold.llm.common import Remembered, chunks_of, key_groups, table
+from tidefold.llm.common import Remembered, chunks_of, key_groups, odd_numbers, stored, table
 
 #: Ids of a sequence, and the id that ends a document.
 WINDOW = 2048
@@ -24,6 +24,11 @@ SHARD_DOCS = 4096
 #: instead of a list.
 K1, B = 1.2, 0.75
 COMMON = 0.1
+#: Numbers of a document's projection; documents that the split of shards is found on,
+#: for each shard and at most; bytes of ids worked at once.
+DIMENSIONS = 64
+SPLIT_DOCS, MOST_SPLIT_DOCS = 64, 65_536
+_SLICE = 1 << 21
 
 #: Where words of a text can be encoded one by one: single spaces and line ends only.
 _ODD_SPACE = re.compile(r"[^\S \n]|[ \n][ \n]|[\x00\x1c-\x1f\x85]")
@@ -61,10 +66,10 @@ def encode(text: str, pieces: Remembered) -> bytes:
     return b"".join(map(pieces.__getitem__, parts))
 
 
-def _encoded(docs: DataFrame, shards: int, ranks: bytes) -> DataFrame:
-    """``shard``, ``doc_id`` and ``ids`` (with the end id) of each row."""
+def _encoded(docs: DataFrame, ranks: bytes) -> DataFrame:
+    """``mark`` (a hash of id and text), ``doc_id`` and ``ids`` (with the end id) of each row."""
     sent = docs.sparkSession.sparkContext.broadcast(ranks)
-    schema = pa.schema([("shard", pa.int32()), ("doc_id", pa.int64()), ("ids", pa.binary())])
+    schema = pa.schema([("mark", pa.int64()), ("doc_id", pa.int64()), ("ids", pa.binary())])
     end = np.array([END], "<u2").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,10 +79,10 @@ def _encoded(docs: DataFrame, shards: int, ranks: bytes) -> DataFrame:
                 ids = [encode(t or "", pieces) + end for t in part.column("text").to_pylist()]
                 pieces.trim()
                 yield pa.record_batch(
-                    [part.column("shard"), part.column("doc_id"), pa.array(ids, pa.binary())], schema=schema)
+                    [part.column("mark"), part.column("doc_id"), pa.array(ids, pa.binary())], schema=schema)
 
-    shard = F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).cast("int").alias("shard")
-    return docs.select(shard, "doc_id", "text").mapInArrow(run, "shard int, doc_id long, ids binary")
+    return docs.select(F.xxhash64("doc_id", "text").alias("mark"), "doc_id", "text").mapInArrow(
+        run, "mark long, doc_id long, ids binary")
 
 
 def _postings(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -89,6 +94,12 @@ def _postings(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return key[starts] >> 16, key[starts] & 0xFFFF, np.diff(np.append(starts, len(key)))
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    for batch in batches:
+        for part in chunks_of(batch, "ids", _SLICE):
+            yield part, [np.frombuffer(v.as_py(), "<u2") for v in part.column("ids")]
+
+
 class Totals:
     """Documents, mean length and document frequency of each id over all documents."""
 
@@ -103,6 +114,108 @@ class Totals:
         return np.log1p((self.n - self.df + 0.5) / (self.df + 0.5))
 
 
+def _totals(encoded: DataFrame) -> Totals:
+    """Totals of the table: one row of counts (64 K ids) a partition, summed by id."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df = np.zeros(1 << 16, np.int64)
+        for _, docs in _slices(batches):
+            df += np.bincount(_postings(docs)[1], minlength=1 << 16)
+        term = np.flatnonzero(df)
+        yield pa.record_batch([pa.array(term.astype(np.int32)), pa.array(df[term])], names=["term", "df"])
+
+    n, length = encoded.agg(F.count("*"), F.sum(F.length("ids"))).first()
+    rows = encoded.select("ids").mapInArrow(run, "term int, df long").groupBy("term").agg(
+        F.sum("df").alias("df")).toArrow()
+    df = np.zeros(1 << 16, np.int64)
+    df[rows.column("term").to_numpy()] = rows.column("df").to_numpy()
+    return Totals(n, (length or 0) / 2 / max(n, 1), df)
+
+
+def projections(docs: list[np.ndarray], totals: Totals) -> np.ndarray:
+    """A row of ``DIMENSIONS`` numbers a document: its BM25 weights times a matrix of random
+    signs, of length 1. Its products follow the likeness of the documents' weights."""
+    doc, term, tf = _postings(docs)
+    lengths = np.array([len(d) for d in docs])
+    weight = totals.idf()[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[doc] / totals.mean))
+    ends = np.searchsorted(doc, np.arange(len(docs)))
+    bits = odd_numbers(1 << 16, 11) >> np.uint64(1)
+    signs = np.unpackbits(bits.view(np.uint8).reshape(-1, 8), axis=1).astype(np.float32)[:, :DIMENSIONS] * 2 - 1
+    rows = np.empty((len(docs), DIMENSIONS), np.float32)
+    weight = weight.astype(np.float32)
+    for i, (a, b) in enumerate(zip(ends.tolist(), [*ends[1:].tolist(), len(doc)])):
+        rows[i] = weight[a:b] @ signs[term[a:b]]
+    return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-9)
+
+
+def split_tree(rows: np.ndarray, leaves: int):
+    """A tree of ``leaves`` leaves: rows are parted across their main direction, so that
+    each side has rows in proportion to its leaves. None is a leaf."""
+    if leaves < 2:
+        return None
+    if len(rows) < 2:
+        axis, bound, left = np.ones(rows.shape[1], np.float32), 0.0, np.zeros(len(rows), bool)
+    else:
+        centred = (rows - rows.mean(axis=0)).astype(np.float64)
+        axis = np.linalg.eigh(centred.T @ centred)[1][:, -1].astype(np.float32)
+        along = rows @ axis
+        bound = float(np.quantile(along, (leaves // 2) / leaves))
+        left = along <= bound
+    few = leaves // 2
+    return axis, bound, few, split_tree(rows[left], few), split_tree(rows[~left], leaves - few)
+
+
+def leaf_of(rows: np.ndarray, tree) -> np.ndarray:
+    """Number of the leaf of each row."""
+    found = np.zeros(len(rows), np.int64)
+    if tree is not None and len(rows):
+        axis, bound, few, low, high = tree
+        left = rows @ axis <= bound
+        found[left] = leaf_of(rows[left], low)
+        found[~left] = few + leaf_of(rows[~left], high)
+    return found
+
+
+def _dealt(encoded: DataFrame, totals: Totals, shard_docs: int) -> DataFrame:
+    """``encoded`` with ``shard``: documents of like content have the same one.
+
+    The tree is found on documents of smallest ``mark``; all documents go down it. A leaf
+    of over twice ``shard_docs`` documents, such as a group of copies, is dealt by ``mark``
+    over several shards. Only one number a leaf and the projections of the documents that
+    the tree is found on reach the driver.
+    """
+    context = encoded.sparkSession.sparkContext
+    leaves = -(-totals.n // shard_docs)
+    if leaves < 2:
+        return encoded.withColumn("shard", F.lit(0))
+    sent = context.broadcast(totals)
+
+    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, docs in _slices(batches):
+            rows = projections(docs, sent.value)
+            yield pa.record_batch([part.column("mark"), pa.array([r.tobytes() for r in rows], pa.binary())],
+                                  names=["mark", "row"])
+
+    first = encoded.select("mark", "doc_id").orderBy("mark", "doc_id").limit(
+        min(MOST_SPLIT_DOCS, SPLIT_DOCS * leaves)).select(F.max("mark")).first()[0]
+    few = encoded.where(F.col("mark") <= first).select("mark", "ids").dropDuplicates(["mark"])
+    chosen = sorted((r.mark, r.row) for r in few.mapInArrow(project, "mark long, row binary").collect())
+    tree = context.broadcast(split_tree(np.array([np.frombuffer(r, np.float32) for _, r in chosen]), leaves))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, docs in _slices(batches):
+            leaf = pa.array(leaf_of(projections(docs, sent.value), tree.value))
+            yield pa.record_batch([*part.columns, leaf], names=[*part.schema.names, "leaf"])
+
+    placed = stored(encoded.mapInArrow(deal, "mark long, doc_id long, ids binary, leaf long"), "placed")
+    counts = {r.leaf: r["count"] for r in placed.groupBy("leaf").count().collect()}
+    parts = [max(1, -(-counts.get(leaf, 0) // (2 * shard_docs))) for leaf in range(leaves)]
+    starts = np.concatenate([[0], np.cumsum(parts)[:-1]]).tolist()
+    known = encoded.sparkSession.createDataFrame(
+        list(zip(range(leaves), starts, parts)), "leaf long, first int, parts int")
+    return placed.join(F.broadcast(known), "leaf").select(
+        (F.col("first") + F.pmod("mark", "parts")).cast("int").alias("shard"), "doc_id", "ids")
+
+
 class Neighbours:
     """A BM25 inverted index over the ids of a shard's documents."""
 
@@ -197,9 +310,10 @@ def pack_documents(docs: DataFrame, ranks: str | None = None, shard_docs: int =
                    window: int = WINDOW, with_ids: bool = False) -> DataFrame:
     """One row for each piece of a document in a sequence of at most ``window`` ids.
 
-    Documents are encoded, dealt by hash over shards of some ``shard_docs`` and packed
-    within their shard (see ``pack``), where one BM25 index serves all its seeds. All
-    sequences but the last of a shard are full. Only ids move, two bytes each; a shard
+    Documents are encoded, dealt by content over shards of some ``shard_docs`` (``_dealt``)
+    and packed within their shard (see ``pack``), where one BM25 index with the document
+    frequencies and mean length of all documents serves all its seeds. Every term counts.
+    Neighbours that the dealing puts into other shards are not found. All sequences but the last of a shard are full. Only ids move, two bytes each; a shard
     is some ten MB whatever the corpus holds. ``with_ids`` adds the piece's ids.
 
     Null and empty texts hold the end id alone. Repeated rows are packed as often as they
@@ -209,9 +323,12 @@ def pack_documents(docs: DataFrame, ranks: str | None = None, shard_docs: int =
     """
     with open(ranks or default_ranks(), "rb") as file:
         content = file.read()
-    shards = max(1, -(-docs.count() // shard_docs))
-    encoded = _encoded(docs, shards, content).repartition("shard").sortWithinPartitions(
-        "shard", "doc_id", F.length("ids"))
+    spark = docs.sparkSession
+    encoded = stored(_encoded(docs, content), "encoded")
+    totals = _totals(encoded)
+    sent = spark.sparkContext.broadcast(totals)
+    dealt = _dealt(encoded, totals, shard_docs).select("shard", "doc_id", "ids").repartition(
+        "shard").sortWithinPartitions("shard", "doc_id", F.length("ids"))
     text = SCHEMA + (", ids array<int>" if with_ids else "")
     schema = pa.schema([(c.split(" ")[0], pa.int64()) for c in SCHEMA.split(", ")])
     if with_ids:
@@ -223,14 +340,14 @@ def pack_documents(docs: DataFrame, ranks: str | None = None, shard_docs: int =
             names = group.column("doc_id").to_pylist()
             ids = [np.frombuffer(v.as_py(), "<u2") for v in group.column("ids")]
             rows = []
-            for doc, start, length, sequence, offset in pack(ids, window):
+            for doc, start, length, sequence, offset in pack(ids, window, sent.value):
                 own = ids[doc][start : start + length]
                 row = (names[doc], start, length, zlib.crc32(own.astype("<u4").tobytes()), len(ids[doc]),
                        (shard << 32) + sequence, offset)
                 rows.append((*row, own.tolist()) if with_ids else row)
             yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
-    return encoded.mapInArrow(run, text)
+    return dealt.mapInArrow(run, text)
 
 
 def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
