@@ -440,6 +440,15 @@ def test_fingerprints_of_next_and_edited(docs, texts, odd, none):
     assert order_minhash.fingerprints(none).count() == 0
 
 
+def test_fingerprints_tell_every_edited_text(texts):
+    order = sorted(texts)
+    for i, next_ in zip(order, order[1:]):
+        if len(texts[i]) >= 100:
+            changed = order_minhash.edited(texts[i], texts[next_])
+            near = order_minhash.likeness(*map(order_minhash.fingerprint, (texts[i], changed)))
+            assert near > 0.05, i
+
+
 def test_fingerprints_follow_order_not_only_content():
     text = " ".join(f"word{i}" for i in range(200))
     swapped = " ".join(f"word{(i + 100) % 200}" for i in range(200))

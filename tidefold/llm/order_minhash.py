@@ -15,7 +15,7 @@ from tidefold.llm.common import mixed, odd_numbers, table
 #: Code points of a k-mer, k-mers of a tuple, tuples of a fingerprint.
 K = 6
 TUPLE = 2
-SKETCHES = 16
+SKETCHES = 64
 SEED = 5
 #: Documents in one stretch of the id order, and the most stretches; beyond, they are longer.
 STRETCH = 1024
