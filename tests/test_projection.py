@@ -15,7 +15,7 @@ from tidefold.operators.lookups import DENSE
 from tidefold.operators.reconcile import compare_frames, reconcile
 from tidefold.plans.fixed import fixed_table
 from tidefold.plans.options import ProjectionOptions
-from tidefold.plans.projection import RESULT_COLUMNS, project_portfolio, scenario_paths
+from tidefold.plans.projection import RESULT_COLUMNS, policy_inputs, project_portfolio
 from tidefold.plans.terms import accepted, policy_terms
 from tidefold.sources.rates import TABLES, RateBook, local_table
 from tidefold.sources.sinks import write_result
@@ -218,8 +218,25 @@ def test_charges_of_far_years_change_nothing(spark, book):
 
 
 def test_paths_carry_no_curves(spark, book):
-    paths = scenario_paths(accepted(policy_terms(policies(spark, policy()), book)), book)
-    assert not set(DENSE) & set(paths.columns)
+    inputs = policy_inputs(accepted(policy_terms(policies(spark, policy()), book)))
+    assert not set(DENSE) & set(inputs.columns)
+
+
+def test_one_row_a_policy_goes_to_python(spark, sf, results):
+    """What the workers read is one row a policy; scenarios come after them."""
+    terms = accepted(policy_terms(portfolio(spark, sf), _book(spark)))
+    assert policy_inputs(terms).count() == results.select("policy_id").distinct().count()
+    plan = project_portfolio(portfolio(spark, sf), _book(spark))._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("inline") < plan.index("MapInArrow")
+
+
+def test_rate_tables_are_read_once(spark, book, tmp_path):
+    """After the curves are collected, results take them from a local relation."""
+    book.write_parquet(str(tmp_path / "book"))
+    stored = RateBook.from_parquet(spark, str(tmp_path / "book"))
+    plan = _project(spark, stored)._jdf.queryExecution().executedPlan().toString()
+    assert sum("FileScan" in line for line in plan.split("\n")) == 4  # premiums, loads, modes, interest
+    assert "tp_rate" not in plan and "cal_year#" not in plan.split("MapInArrow")[1]
 
 
 def test_policies_with_holes_do_not_stop_a_portfolio(spark, book):

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -168,8 +169,7 @@ def rate_curves(book: RateBook) -> DataFrame:
     """The yearly rates as arrays, one row per supported product and gender.
 
     A curve holds its rates without holes, by policy year from 1 or by age from 0.
-    Rates by calendar year are a map, as the table's years may lie anywhere; see
-    ``with_calendar_rates``. No curve is null.
+    Rates by calendar year are a map, as the table's years may lie anywhere. No curve is null.
     """
     entries = reduce(DataFrame.unionByName, [
         book.tables[name].select(
@@ -210,36 +210,62 @@ def _dense(name: str, default: float) -> Column:
     return F.transform(keys, lambda key: F.coalesce(F.col(name)[key], F.lit(default)))
 
 
-def _curves(book: RateBook) -> DataFrame:
-    curves = book.derived("curves", lambda: rate_curves(book))
-    return book.side(*[name for name, _, _, _ in GRID_RATES], using=curves, rows=len(CURVE_KEYS))
+class Curves:
+    """The yearly rates of all supported products and genders, read from the book once.
 
+    They are the same for all policies, so they go to executors once, not with each
+    policy: a few thousand numbers, whatever the portfolio holds, and for rates by calendar
+    year as many as the book has.
+    """
 
-def with_rate_curves(policies: DataFrame, book: RateBook) -> DataFrame:
+    def __init__(self, book: RateBook):
+        rows = rate_curves(book).select("product", "gender", *DENSE, *FLOATING).collect()
+        rows.sort(key=lambda r: CURVE_KEYS.index((r["product"], r["gender"])))
+        self.matrices = {name: np.array([r[name] for r in rows]) for name in DENSE}
+        self.dated = {}
+        for name in FLOATING:
+            found = sorted((_dated(i, year), rate) for i, r in enumerate(rows) for year, rate in r[name].items())
+            self.dated[name] = tuple(np.array(c) for c in zip(*found)) if found else (np.array([_dated(0, 0)]), np.array([GRID_DEFAULTS[name]]))
+
+    def at(self, name: str, number: np.ndarray, key: np.ndarray) -> np.ndarray:
+        """Rates of curves at their keys; accepted policies reach no key outside the domain,
+        and rows past their term, whose key may lie there, are not used. A calendar year
+        that the book does not have gets the default."""
+        if name in FLOATING:
+            keys, rates = self.dated[name]
+            wanted = _dated(number.astype(np.int64), key)
+            place = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+            return np.where(keys[place] == wanted, rates[place], GRID_DEFAULTS[name])
+        first, last = CURVE_DOMAINS[GRID_KEYS[name]]
+        return self.matrices[name][number, np.clip(key, first, last) - first]
+
+    def side(self, spark: SparkSession) -> DataFrame:
+        """The curves by year and age as a local relation: no rate table is read again."""
+        doubles = ", ".join(f"{name} array<double>" for name in DENSE)
+        rows = [(*key, *[self.matrices[name][i].tolist() for name in DENSE]) for i, key in enumerate(CURVE_KEYS)]
+        whole = local_table(spark, rows, f"product string, gender int, {doubles}")
+        # Neither curves nor their rates are null; saying so keeps the results' code small.
+        none = F.array(F.lit(0.0))
+        return whole.select("product", "gender", *[
+            F.coalesce(F.transform(name, lambda rate: F.coalesce(rate, F.lit(0.0))), none).alias(name) for name in DENSE])
+
+
+def _dated(number, year):
+    """One number for a curve and a calendar year, in that order."""
+    return number * (1 << 33) + year + (1 << 32)
+
+
+def with_rate_curves(policies: DataFrame, curves: Curves) -> DataFrame:
     """Attach the curves by year and age; policies of unsupported products drop out."""
-    return policies.join(_curves(book).select("product", "gender", *DENSE), ["product", "gender"])
-
+    side = curves.side(policies.sparkSession)
+    return policies.join(F.broadcast(side), ["product", "gender"])
 
-def with_calendar_rates(policies: DataFrame, book: RateBook) -> DataFrame:
-    """Attach rates by calendar year as one amount per policy year, and ``curve_no``.
 
-    Only the years of the policy's own term are looked up, so rows of the table that
-    lie centuries away neither fail nor cost anything in the projection.
-    """
+def with_curve_no(policies: DataFrame) -> DataFrame:
+    """Attach the place of a policy's product and gender in ``CURVE_KEYS``."""
     names = F.array(*[F.lit(f"{product}|{gender}") for product, gender in CURVE_KEYS])
     place = F.array_position(names, F.concat_ws("|", "product", F.col("gender").cast("string"))) - 1
-    side = _curves(book).select(
-        "product", "gender", place.cast("int").alias(CURVE_NO),
-        *[F.col(n).alias(f"map_{n}") for n in FLOATING])
-
-    def by_year(name: str) -> Column:
-        first, last = F.col("rcd_year"), F.col("rcd_year") + F.col("term") - 1
-        near = F.map_filter(f"map_{name}", lambda key, _: key.between(first, last))
-        return F.transform(F.sequence(first, last), lambda key: F.coalesce(
-            F.try_element_at(near, key), F.lit(GRID_DEFAULTS[name])))
-
-    joined = policies.join(side, ["product", "gender"])
-    return joined.withColumns({name: by_year(name) for name in FLOATING}).drop(*[f"map_{n}" for n in FLOATING])
+    return policies.withColumn(CURVE_NO, place.cast("int"))
 
 
 def curve_at(name: str, within: str = "") -> Column:

@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from tidefold import codes
 from tidefold.operators.lookups import (
     CURVE_NO,
+    DENSE,
     FLOATING,
     GRID_KEYS,
+    Curves,
     curve_at,
-    with_calendar_rates,
+    with_curve_no,
     with_rate_curves,
 )
 from tidefold.plans.fixed import FIXED_COLUMNS, TIME_COLUMNS, with_time_columns
@@ -23,7 +25,7 @@ from tidefold.plans.formulas import (
     add_layers,
 )
 from tidefold.plans.options import ProjectionOptions
-from tidefold.plans.roll import SCALARS, STATE_COLUMNS, WITHDRAWALS, Curves, roll_forward
+from tidefold.plans.roll import LAST_YEARS, SCALARS, STATE_COLUMNS, WITHDRAWALS, roll_forward
 from tidefold.plans.scenarios import SCENARIO_COLUMNS, with_scenarios
 from tidefold.plans.terms import accepted, policy_terms, withdrawal_at
 from tidefold.sources.rates import RateBook
@@ -52,10 +54,10 @@ STOPPED_COLUMNS = (
     "alloc_chrg", "alloc", "eav_after_wdrl_and_alloc", "tav_after_wdrl_and_alloc",
     "pav_after_wdrl_and_alloc", "plan_nom_deduction", "plan_deduction",
 )
-_ARRAYS = STATE_COLUMNS + tuple(GRID_KEYS) + (WITHDRAWALS,)
+_ARRAYS = STATE_COLUMNS + DENSE + FLOATING + (WITHDRAWALS,)
 # What a rolled path keeps for its yearly results.
 PATH_COLUMNS = KEY_COLUMNS + SCENARIO_COLUMNS + (
-    "ep_term", "last_year", "term", "entry_age", "rcd_year", "acc_ben_term", "em_load_term",
+    "ep_term", "last_year", "offset", "term", "entry_age", "rcd_year", "acc_ben_term", "em_load_term",
     "pm_load_term", "tp_1", "ep_1", "big_case_bonus", "tp_term", "ep_paid_term", "risk_flag",
     "option_a", "acc_ben_coeff", "em_load_pct", "pm_load_rate", "extra_prem_rate",
     "acc_coi_rate", "min_si", "has_special_bonus", "sb_year_offset", "annual_int_rate",
@@ -87,15 +89,14 @@ def project_portfolio(
 def project_terms(
     terms: DataFrame, book: RateBook, options: ProjectionOptions = ProjectionOptions()
 ) -> DataFrame:
-    rolled = roll_forward(scenario_paths(terms, book, options), Curves(book))
-    return year_results(with_rate_curves(rolled, book))
+    curves = Curves(book)
+    rolled = roll_forward(policy_inputs(terms, options), curves, options)
+    return year_results(with_rate_curves(rolled, curves), options)
 
 
-def scenario_paths(
-    terms: DataFrame, book: RateBook, options: ProjectionOptions = ProjectionOptions()
-) -> DataFrame:
-    """One row per policy and scenario, with what the roll-forward reads of it."""
-    inputs = with_calendar_rates(terms, book).select(
+def policy_inputs(terms: DataFrame, options: ProjectionOptions = ProjectionOptions()) -> DataFrame:
+    """One row per policy, with what the roll-forward and its results read of it."""
+    inputs = with_curve_no(terms).select(
         "*",
         F.col("em_load").alias("em_load_pct"),
         F.col("pm_load").alias("pm_load_rate"),
@@ -103,11 +104,7 @@ def scenario_paths(
         F.lit(options.sb_year_offset).alias("sb_year_offset"),
         _withdrawals_by_year().alias(WITHDRAWALS),
     )
-    paths = with_scenarios(inputs, options)
-    return paths.select(
-        *KEY_COLUMNS, *SCENARIO_COLUMNS, "product", "gender", "ep_term",
-        *SCALARS, CURVE_NO, WITHDRAWALS, *FLOATING,
-    )
+    return inputs.select("policy_id", "product", "gender", *SCALARS, CURVE_NO, WITHDRAWALS)
 
 
 def _withdrawals_by_year() -> Column:
@@ -119,20 +116,25 @@ def _withdrawals_by_year() -> Column:
     )
 
 
-def year_results(rolled: DataFrame) -> DataFrame:
-    """Expand rolled paths to years and compute every result column."""
+def year_results(rolled: DataFrame, options: ProjectionOptions = ProjectionOptions()) -> DataFrame:
+    """Expand rolled policies to scenarios and years and compute every result column."""
+    place = F.col("scenario_no") - 1
+    own = {"last_year": F.col(LAST_YEARS)[place], "offset": place * F.col("term") - 1}
     # A path crosses the expansion as one struct: the code generated for the rows
     # then takes a few arguments, where one per column would keep it from being
     # compiled.
-    paths = rolled.select(F.struct(*PATH_COLUMNS).alias("path"))
-    years = paths.select("path", F.explode(F.sequence(F.lit(1), F.col("path.term"))).alias("year"))
-    scalars = [c for c in PATH_COLUMNS if c not in _ARRAYS]
+    paths = with_scenarios(rolled, options).select(
+        F.struct(*[own.get(name, F.col(name)).alias(name) for name in PATH_COLUMNS]).alias("path"))
+    # The state of a policy is one list over scenarios and years; it is read in place.
+    years = paths.select("path", F.explode(F.sequence(F.lit(1), F.col("path.term"))).alias("year")).withColumn(
+        "state_at", F.col("path.offset") + F.col("year"))
+    scalars = [c for c in PATH_COLUMNS if c not in (*_ARRAYS, "offset")]
     at_year = F.col("year") - 1
     state = with_time_columns(
-        years.select("path", "year", *[F.col(f"path.{name}") for name in scalars])
+        years.select("path", "year", "state_at", *[F.col(f"path.{name}") for name in scalars])
     ).select(
         "year", *scalars, *TIME_COLUMNS[1:],
-        *[F.col(f"path.{name}")[at_year].alias(name) for name in STATE_COLUMNS],
+        *[F.col(f"path.{name}")[F.col("state_at")].alias(name) for name in STATE_COLUMNS],
         *[curve_at(name, within="path.").alias(name) for name in GRID_KEYS],
         F.col(f"path.{WITHDRAWALS}")[at_year].alias("withdrawal_input"),
         (F.col("year") <= F.col("last_year")).alias("cont_flag"),

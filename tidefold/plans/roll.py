@@ -1,10 +1,11 @@
 """The roll-forward: account values carried from year to year until lapse.
 
 A year starts where the last one ended, and bonuses look back over withdrawals
-that were or were not paid, so no window expresses it. Each (policy, scenario)
-row is independent: ``mapInArrow`` steps a slice of rows through the years as
-NumPy vectors, with no shuffle and no grouping. Only the carried state comes
-back; every other result column is a projection of it.
+that were or were not paid, so no window expresses it. Each policy is independent:
+``mapInArrow`` takes one row a policy and steps a slice of policies through the years
+under all scenarios at once, as NumPy arrays of scenarios by policies, with no shuffle
+and no grouping; what no scenario changes is computed once a policy. Only the carried state
+comes back; every other result column is a projection of it.
 """
 
 from __future__ import annotations
@@ -16,15 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tidefold.operators.lookups import (
-    CURVE_DOMAINS,
-    CURVE_KEYS,
-    CURVE_NO,
-    DENSE,
-    FLOATING,
-    GRID_KEYS,
-    rate_curves,
-)
+from tidefold.operators.lookups import CURVE_NO, DENSE, FLOATING, GRID_KEYS, Curves
 from tidefold.plans.formulas import (
     ACCOUNT_LAYERS,
     END_LAYERS,
@@ -32,24 +25,24 @@ from tidefold.plans.formulas import (
     evaluate,
     needed,
 )
-from tidefold.sources.rates import RateBook
+from tidefold.plans.options import ProjectionOptions
+from tidefold.plans.scenarios import SCENARIOS, SOURCE_COLUMNS, scenario_sources
 
-SLICE_ROWS = 4096
+SLICE_POLICIES = 256
 
 STATE_COLUMNS = (
     "start_si", "start_eav", "start_tav",
     "lb_tav_withdrawal_review", "sb_tav_withdrawal_review",
 )
+LAST_YEARS = "last_years"
 WITHDRAWALS = "withdrawal_plan_by_year"
-# Lists by policy year that a path carries.
-BY_YEAR = (WITHDRAWALS,) + FLOATING
-SCALARS = (
+SCALARS = tuple(dict.fromkeys((
     "term", "entry_age", "rcd_year", "acc_ben_term", "em_load_term", "pm_load_term", "si",
-    "tp_1", "ep_1", "big_case_bonus", "tp_term", "ep_paid_term", "risk_flag", "option_a",
+    "tp_1", "ep_1", "big_case_bonus", "option_a",
     "acc_ben_coeff", "em_load_pct", "pm_load_rate", "extra_prem_rate", "acc_coi_rate",
     "min_si", "lb_review_period", "sb_review_period", "has_special_bonus", "sb_year_offset",
-    "annual_int_rate", "due_a_n1_m12",
-)
+    *SOURCE_COLUMNS,
+)))
 
 _END = {"end_si", "end_eav", "end_tav"}
 _TO_END = needed(END_LAYERS, _END)
@@ -59,79 +52,75 @@ _ACCOUNTS = needed(
 )
 
 
-class Curves:
-    """The curves by year and age of all supported products and genders, as matrices.
-
-    They are the same for all policies, so they go to executors once, not with each
-    path: a few thousand numbers, whatever the portfolio and the book hold.
-    """
-
-    def __init__(self, book: RateBook):
-        rows = book.derived("curves", lambda: rate_curves(book)).select(
-            "product", "gender", *DENSE).collect()
-        rows.sort(key=lambda r: CURVE_KEYS.index((r["product"], r["gender"])))
-        self.matrices = {name: np.array([r[name] for r in rows]) for name in DENSE}
-
-    def at(self, name: str, number: np.ndarray, key: np.ndarray) -> np.ndarray:
-        """Rates of rows at their keys; accepted policies reach no key outside the domain,
-        and rows past their term, whose key may lie there, are not used."""
-        first, last = CURVE_DOMAINS[GRID_KEYS[name]]
-        return self.matrices[name][number, np.clip(key, first, last) - first]
-
-
-def roll_forward(paths: DataFrame, curves: Curves) -> DataFrame:
-    """Add ``last_year``, the lapse or last year, and the state by year, 0 after it."""
-    names = [name for name in paths.columns if name != CURVE_NO]
+def roll_forward(
+    policies: DataFrame, curves: Curves, options: ProjectionOptions = ProjectionOptions()
+) -> DataFrame:
+    """Add to each policy its rates by calendar year, one for each policy year, and lists
+    over scenarios, one after the other: ``last_years``, the lapse or last year of each, and
+    the state of each of its policy years, 0 after the last."""
+    names = [name for name in policies.columns if name != CURVE_NO]
     doubles = T.ArrayType(T.DoubleType(), containsNull=False)
-    kinds = {name: paths.schema[name].dataType for name in names}
-    kinds.update(dict.fromkeys(BY_YEAR, doubles))
-    kinds["last_year"] = T.IntegerType()
+    kinds = {name: policies.schema[name].dataType for name in names}
+    kinds[WITHDRAWALS] = doubles
+    kinds.update(dict.fromkeys(FLOATING, doubles))
+    kinds[LAST_YEARS] = T.ArrayType(T.IntegerType(), containsNull=False)
     kinds.update(dict.fromkeys(STATE_COLUMNS, doubles))
     # Accepted policies have no null term. Saying so keeps null checks out of
     # the code generated for the result columns, which halves its size.
     schema = T.StructType([T.StructField(name, kind, False) for name, kind in kinds.items()])
-    sent = paths.sparkSession.sparkContext.broadcast(curves)
+    sent = policies.sparkSession.sparkContext.broadcast(curves)
+    sources = scenario_sources(options)
 
     def roll(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first in range(0, batch.num_rows, SLICE_ROWS):
-                part = batch.slice(first, SLICE_ROWS)
+            for first in range(0, batch.num_rows, SLICE_POLICIES):
+                part = batch.slice(first, SLICE_POLICIES)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(name) for name in names] + _roll_slice(part, sent.value),
+                    [part.column(name) for name in names] + _roll_slice(part, sent.value, sources),
                     names=list(kinds),
                 )
 
-    return paths.mapInArrow(roll, schema)
+    return policies.mapInArrow(roll, schema)
 
 
-def _roll_slice(part: pa.RecordBatch, curves: Curves) -> list[pa.Array]:
+def _roll_slice(part: pa.RecordBatch, curves: Curves, sources: list[dict]) -> list[pa.Array]:
     values = {name: part.column(name).to_numpy(zero_copy_only=False) for name in SCALARS}
     number = part.column(CURVE_NO).to_numpy(zero_copy_only=False)
-    by_year = {name: _ByYear(part, name) for name in BY_YEAR}
-    rows, years = part.num_rows, int(values["term"].max(initial=0))
+    planned = _ByYear(part, WITHDRAWALS)
+    rows, years, shape = part.num_rows, int(values["term"].max(initial=0)), (len(SCENARIOS), part.num_rows)
+    by_scenario = {
+        name: np.stack([values[source[name]] for source in sources])
+        for name in ("annual_int_rate", "due_a_n1_m12", "tp_term", "ep_paid_term")
+    }
+    by_scenario["risk_flag"] = np.array([s["risk_flag"] for s in sources])[:, None]
     lb_span, sb_span = values["lb_review_period"], values["sb_review_period"]
-    history = np.zeros((years, rows))
-    state = {name: np.zeros((years, rows)) for name in STATE_COLUMNS}
-    si, eav, tav = values["si"].astype(float), np.zeros(rows), np.zeros(rows)
-    alive = np.ones(rows, dtype=bool)
-    last_year = np.zeros(rows, dtype=np.int32)
+    history = np.zeros((years, *shape))
+    state = {name: np.zeros((years, *shape)) for name in STATE_COLUMNS}
+    dated = {name: np.zeros((years, rows)) for name in FLOATING}
+    si, eav, tav = values["si"].astype(float), np.zeros(shape), np.zeros(shape)
+    alive = np.ones(shape, dtype=bool)
+    last_year = np.zeros(shape, dtype=np.int32)
 
     for year in range(1, years + 1):
-        alive = alive & (year <= values["term"])
-        if not alive.any():
-            break
-        last_year[alive] = year
         keys = {
             "year": np.full(rows, year),
             "age": values["entry_age"] - 1 + year,
+            "cal_year": values["rcd_year"].astype(np.int64) - 1 + year,
         }
+        for name in FLOATING:
+            dated[name][year - 1] = curves.at(name, number, keys[GRID_KEYS[name]])
+        alive = alive & (year <= values["term"])
+        if not alive.any():
+            continue
+        last_year[alive] = year
         now = dict(
-            values, year=year, cont_flag=alive, start_si=si, start_eav=eav, start_tav=tav
+            values, year=year, cont_flag=alive, start_si=si, start_eav=eav, start_tav=tav, **by_scenario
         )
         for name in DENSE:
             now[name] = curves.at(name, number, keys[GRID_KEYS[name]])
-        for name, amounts in by_year.items():
-            now["withdrawal_input" if name == WITHDRAWALS else name] = amounts.at(year)
+        for name in FLOATING:
+            now[name] = dated[name][year - 1]
+        now["withdrawal_input"] = planned.at(year)
         for cover in ("acc_ben", "em_load", "pm_load"):
             now[f"{cover}_term_flag"] = year <= values[f"{cover}_term"]
         evaluate(_ACCOUNTS, now)
@@ -149,16 +138,23 @@ def _roll_slice(part: pa.RecordBatch, curves: Curves) -> list[pa.Array]:
 
     terms = values["term"]
     in_term = np.arange(years) < terms[:, None]
-    offsets = pa.array(np.concatenate(([0], np.cumsum(terms))).astype(np.int32))
-    return [pa.array(last_year)] + [
-        pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(yearly.T)[in_term]))
-        for yearly in state.values()
+    return [
+        *[_lists(yearly.T[in_term], terms) for yearly in dated.values()],
+        _lists(last_year.T.ravel(), np.full(rows, len(SCENARIOS))),
+        *[_lists(
+            np.ascontiguousarray(yearly.transpose(2, 1, 0))[np.broadcast_to(in_term[:, None], (rows, len(SCENARIOS), years))],
+            terms * len(SCENARIOS)) for yearly in state.values()],
     ]
 
 
+def _lists(values: np.ndarray, lengths: np.ndarray) -> pa.ListArray:
+    offsets = pa.array(np.concatenate(([0], np.cumsum(lengths))).astype(np.int32))
+    return pa.ListArray.from_arrays(offsets, pa.array(values))
+
+
 def _review(history: np.ndarray, year: int, span: np.ndarray, due: np.ndarray) -> np.ndarray:
     """Withdrawals from the target account over the last ``span`` years, oldest first."""
-    total = np.zeros(len(span))
+    total = np.zeros(history.shape[1:])
     if due.any():
         for back in range(min(int(span.max()), year) - 1, -1, -1):
             total = total + np.where(due & (back < span), history[year - 1 - back], 0.0)

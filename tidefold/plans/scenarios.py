@@ -26,6 +26,31 @@ def _grid() -> Column:
     ])
 
 
+# Columns of policy terms that a scenario's value is taken from, by label.
+RATE_SOURCES = {
+    label: {"annual_int_rate": f"int_rate_{label.lower()}", "due_a_n1_m12": f"due_{label.lower()}"}
+    for label in codes.INT_RATE_SCENARIOS
+}
+TERM_SOURCES = dict(zip(codes.TERM_SCENARIOS, (
+    {"tp_term": "term", "ep_term": "term"},
+    {"tp_term": "opted_tp_term", "ep_term": "opted_ep_term"},
+    {"tp_term": "must_pay_period", "ep_term": "must_pay_period"},
+)))
+SOURCE_COLUMNS = tuple(dict.fromkeys(
+    column for sources in (RATE_SOURCES, TERM_SOURCES) for chosen in sources.values() for column in chosen.values()
+))
+
+
+def scenario_sources(options: ProjectionOptions = ProjectionOptions()) -> list[dict]:
+    """For each scenario in order the column of each of its values, and its ``risk_flag``."""
+    found = []
+    for interest, risk, term in SCENARIOS:
+        chosen = {**RATE_SOURCES[interest], **TERM_SOURCES[term]}
+        chosen["ep_paid_term"] = chosen["ep_term" if options.ep_uses_ep_term else "tp_term"]
+        found.append({**chosen, "risk_flag": risk == codes.RISK_SCENARIOS[1]})
+    return found
+
+
 def with_scenarios(
     terms: DataFrame, options: ProjectionOptions = ProjectionOptions()
 ) -> DataFrame:
@@ -33,26 +58,15 @@ def with_scenarios(
     crossed = terms.select("*", F.inline(_grid()))
     return crossed.select(
         "*",
-        _by_rate("int_rate_high", "int_rate_low", "int_rate_guaranteed").alias("annual_int_rate"),
-        _by_rate("due_high", "due_low", "due_guaranteed").alias("due_a_n1_m12"),
-        _by_term("term", "opted_tp_term").alias("tp_term"),
-        _by_term("term", "opted_ep_term").alias("ep_term"),
+        *[_chosen("int_rate_scenario", RATE_SOURCES, name) for name in ("annual_int_rate", "due_a_n1_m12")],
+        *[_chosen("term_scenario", TERM_SOURCES, name) for name in ("tp_term", "ep_term")],
         (F.col("risk_scenario") == codes.RISK_SCENARIOS[1]).alias("risk_flag"),
     ).withColumn("ep_paid_term", F.col("ep_term" if options.ep_uses_ep_term else "tp_term"))
 
 
-def _by_rate(*columns: str) -> Column:
-    high, low, guaranteed = columns
-    return (
-        F.when(F.col("int_rate_scenario") == codes.INT_RATE_SCENARIOS[0], F.col(high))
-        .when(F.col("int_rate_scenario") == codes.INT_RATE_SCENARIOS[1], F.col(low))
-        .otherwise(F.col(guaranteed))
-    )
-
-
-def _by_term(policy: str, opted: str) -> Column:
-    return (
-        F.when(F.col("term_scenario") == codes.TERM_SCENARIOS[0], F.col(policy))
-        .when(F.col("term_scenario") == codes.TERM_SCENARIOS[1], F.col(opted))
-        .otherwise(F.col("must_pay_period"))
-    )
+def _chosen(scenario: str, sources: dict[str, dict[str, str]], name: str) -> Column:
+    *first, last = sources
+    value = F.col(sources[last][name])
+    for label in reversed(first):
+        value = F.when(F.col(scenario) == label, F.col(sources[label][name])).otherwise(value)
+    return value.alias(name)
