@@ -49,10 +49,11 @@ LOG = (
 )
 
 
-def by_path(table: str, columns=(), flags=(), extra=(), where: str = "true", ints=()) -> str:
+def by_path(table: str, columns=(), flags=(), extra=(), where: str = "true", ints=(), nan=()) -> str:
     items = (
         [digest(c) for c in columns] + [int_digest(c) for c in ints]
         + [flag_digest(c) for c in flags] + list(extra)
+        + [f"count_if(isnan({c})) AS {c}_nan" for c in nan]
     )
     return (
         f"SELECT policy_id, scenario_no, {', '.join(items)} FROM {table} WHERE {where} "
@@ -164,17 +165,29 @@ r AS (
 """)
 
 READ = f"""
-SELECT CASE k % 41 WHEN 1 THEN 'malformed document'
-    WHEN 2 THEN CASE WHEN k % 4 < 3 THEN 'unknown code' END WHEN 3 THEN 'missing field' END
-    AS read_error,
-  {', '.join(f"CASE WHEN k % 41 <> 1 THEN {expression} END AS {name}" for name, expression in (
-      ('policy_id', 'policy_id'), ('product', 'product'), ('si', 'si'),
+SELECT layout, read_error, CASE WHEN coalesce(read_error, '') <> 'malformed document' THEN policy_id END AS policy_id,
+  CASE WHEN read_error IS NOT NULL THEN true END AS has_text,
+  {', '.join(f"CASE WHEN read_error IS NULL THEN {expression} END AS {name}" for name, expression in (
+      ('product', 'product'), ('si', 'si'),
       ('dob', "strftime(dob, '%Y-%m-%d')"), ('em_load', 'em'),
       ('n_funds', 'CASE WHEN k % 4 < 3 THEN 1 ELSE 2 END'),
       ('n_withdrawals', 'CAST(coalesce(n, 0) AS INT)'),
       ('n_riders', 'CASE WHEN k % 5 > 0 THEN CAST(k % 3 + 1 AS INT) ELSE 0 END'),
   ))}
-FROM pf LEFT JOIN (SELECT k, count(*) AS n FROM spans GROUP BY k) USING (k)
+FROM (SELECT *, CASE k % 41 WHEN 1 THEN 'malformed document'
+    WHEN 2 THEN CASE WHEN k % 4 < 3 THEN 'unknown code' END WHEN 3 THEN 'missing field' END AS read_error
+  FROM pf) LEFT JOIN (SELECT k, count(*) AS n FROM spans GROUP BY k) USING (k),
+  (VALUES ('lines'), ('several')) layouts(layout)
+"""
+WRITTEN = (
+    f"SELECT int_rate_scenario, scenario_no, {digest('end_pav')}, count(*) AS n FROM results "
+    "GROUP BY int_rate_scenario, scenario_no")
+REVIEWED = """
+SELECT scenario_no, review, count(*) AS n, count_if(passed) AS n_passed, CAST(0 AS BIGINT) AS n_differing FROM (
+  SELECT scenario_no, 'loyalty' AS review, lb_flag AS passed FROM results WHERE deduction_flag AND lb_rate > 0e0
+  UNION ALL
+  SELECT scenario_no, 'special', sb_flag FROM results WHERE deduction_flag AND sb_rate > 0e0)
+GROUP BY scenario_no, review
 """
 
 ROLL_STEPS = {
@@ -221,12 +234,13 @@ def _results(select: str) -> str:
 
 ORACLE = {
     "read_policies": query((PLANS, PORTFOLIO), READ),
-    "scan_rates": _policy(
-        "policy_id, entry_age, " + coi_rate("'UVL01'", "1", "entry_age") + " AS coi_rate"),
+    "scan_rates": _policy(f"{KEYS}, {coi_rate('product', 'gender', 'entry_age')} AS coi_rate"),
     "load_rate_csv": _policy("policy_id, tp_1, tp_12, reject_reason"),
-    "write_result": _results(
-        f"SELECT int_rate_scenario, scenario_no, {digest('end_pav')}, count(*) AS n FROM results "
-        "GROUP BY int_rate_scenario, scenario_no"),
+    "write_result": _results(WRITTEN),
+    "write_result_csv": _results(WRITTEN),
+    "ordered_output": _results(
+        "SELECT int_rate_scenario, CAST(count(*) AS BIGINT) AS n, CAST(0 AS BIGINT) AS rows_back, "
+        "CAST(0 AS BIGINT) AS files_back FROM results GROUP BY int_rate_scenario"),
     "decode_dimensions": query((PORTFOLIO,), (
         "SELECT policy_id, product, gender, [1, 2, 4, 12][CAST(1 + k % 4 AS INT)] AS mode, "
         "1 AS base_flag, product || ' name' AS product_name, "
@@ -300,7 +314,7 @@ ORACLE = {
     "result_defaults": _results(by_path(
         "results", VARIED_DOUBLES + ("tp", "ep"), VARIED_FLAGS,
         (LOG, "count(*) AS n_years"), "NOT cont_flag")),
-    **{name: _results(by_path("results", *step)) for name, step in ROLL_STEPS.items()},
+    **{name: _results(by_path("results", *step, nan=step[0])) for name, step in ROLL_STEPS.items()},
     "withdrawal": _results(by_path(
         "results", ("withdrawal", "eav_withdrawal", "tav_withdrawal", "end_si"), extra=(LOG,))),
     "lapse": _results(by_path("results", extra=(
@@ -326,6 +340,12 @@ ORACLE = {
         + " FROM results WHERE cont_flag GROUP BY ALL"),
     "reconcile": query(GRID_LEVEL, CHECK),
     "compare_frames": query(GRID_LEVEL, "SELECT count(*) > 0 AS equal FROM fixed"),
+    "compare_repeated_keys": query(GRID_LEVEL, (
+        "SELECT policy_id, CAST(count(*) AS BIGINT) AS n, "
+        "CAST(count_if(CAST(policy_id AS BIGINT) % 10 = 2) AS BIGINT) AS n_unpaired, "
+        "CAST(count_if(CAST(policy_id AS BIGINT) % 10 = 1) AS BIGINT) AS n_differing "
+        "FROM fixed GROUP BY policy_id")),
+    "bonus_review_check": _results(REVIEWED),
     "riders": query(RIDER_LEVEL, (
         "SELECT policy_id, position, r.product, entry_age, si, hop2_option, pm_load, "
         "CASE WHEN r.product IN ('ADD01', 'HOP02') THEN 0.083333333e0 "

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from checks.oracle import VARIED_DOUBLES, VARIED_FLAGS
 from tidefold import codes
@@ -15,12 +16,14 @@ from tidefold.functions.dates import age_months, age_years
 from tidefold.operators import lookups
 from tidefold.operators.dimensions import decode_dimensions, decode_int_rate_scenario
 from tidefold.operators.lookups import with_product_terms
-from tidefold.operators.reconcile import compare_frames, reconcile
+from tidefold.operators.reconcile import compare_frames, ranked_pairs, reconcile
 from tidefold.operators.riders import rated_riders
 from tidefold.operators.validation import first_failures, quarantined, validate, violations
 from tidefold.plans.fixed import FIXED_COLUMNS, TIME_COLUMNS, fixed_init, fixed_table
+from tidefold.plans.fixed import fixed_mapping as mapped
 from tidefold.plans.formulas import PREMIUM_LAYERS, add_layers
 from tidefold.plans.projection import OUTCOME_TEXTS, project_portfolio
+from tidefold.plans.review import bonus_reviews, differing
 from tidefold.plans.scenarios import SCENARIO_COLUMNS, with_scenarios
 from tidefold.plans.terms import (
     accepted,
@@ -31,9 +34,9 @@ from tidefold.plans.terms import (
     withdrawal_years,
 )
 from tidefold.session import new_shared_path
-from tidefold.sources.policies import parse_policies
+from tidefold.sources.policies import load_policies, loaded, rejected
 from tidefold.sources.rates import TABLES, RateBook
-from tidefold.sources.sinks import write_result
+from tidefold.sources.sinks import ORDER, write_result
 
 POLICY_KEYS = ("policy_id", "product", "gender", "entry_age")
 
@@ -107,9 +110,11 @@ def flag_digest(name: str) -> Column:
     return F.sum(F.when(F.col(name), F.col("year")).otherwise(0)).cast("bigint").alias(name)
 
 
-def by_path(frame: DataFrame, columns=(), flags=(), extra=()) -> DataFrame:
+def by_path(frame: DataFrame, columns=(), flags=(), extra=(), nan=()) -> DataFrame:
+    """Digests by path; those of ``nan`` columns count NaN apart, which digests take for 0."""
+    holes = [F.count_if(F.isnan(F.col(c))).alias(f"{c}_nan") for c in nan]
     return frame.groupBy("policy_id", "scenario_no").agg(
-        *[path_digest(c) for c in columns], *[flag_digest(c) for c in flags], *extra
+        *[path_digest(c) for c in columns], *[flag_digest(c) for c in flags], *extra, *holes
     )
 
 
@@ -143,7 +148,7 @@ ROLL_STEPS = {
 
 def _roll_step(columns, flags):
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        return by_path(projection(spark, sf), columns, flags)
+        return by_path(projection(spark, sf), columns, flags, nan=columns)
 
     return run
 
@@ -203,8 +208,8 @@ def portfolio_totals(spark: SparkSession, sf: str) -> DataFrame:
 
 # -- sources and sinks -------------------------------------------------------
 
-def read_policies(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents as JSON text, some broken, parsed with their errors."""
+def _documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Every policy as JSON text; some are cut off, have an unknown code or lack a field."""
     k = F.col("id").cast("bigint")
     text = F.to_json(F.struct("id", "owner", "created_date", "base", "rider"))
     broken = (
@@ -213,18 +218,47 @@ def read_policies(spark: SparkSession, sf: str) -> DataFrame:
         .when(k % 41 == 3, F.replace(text, F.lit('"created_date"'), F.lit('"made"')))
         .otherwise(text)
     )
-    read = parse_policies(portfolio(spark, sf).select(broken.alias("value")))
-    whole = F.coalesce(F.col("read_error") != "malformed document", F.lit(True))
-    return read.select("read_error", *[
-        F.when(whole, value).alias(name) for name, value in {
-            "policy_id": F.col("id"), "product": F.col("base.id"), "si": F.col("base.si"),
-            "dob": F.col("base.insured.dob").cast("string"),
-            "em_load": F.col("base.load.em_load"),
-            "n_funds": F.size("base.fund_alloc"),
-            "n_withdrawals": F.coalesce(F.size("base.withdrawal_plan"), F.lit(0)),
-            "n_riders": F.when(F.col("rider").isNull(), 0).otherwise(F.size("rider")),
-        }.items()
-    ])
+    return portfolio(spark, sf).select(k.alias("k"), broken.alias("value"))
+
+
+def _write_documents(documents: DataFrame, folder: str) -> None:
+    """The same documents one to a line, and in files of several lines: lists of some hundred
+    documents, and a file for each document that is cut off."""
+    documents.select("value").write.text(f"{folder}/lines")
+    cut = F.col("k") % 41 == 1
+    listed = documents.groupBy(
+        F.when(cut, F.col("k")).otherwise(-1 - F.floor(F.col("k") / 100)).alias("file")
+    ).agg(F.concat(
+        F.when(F.col("file") < 0, "[\n").otherwise(""),
+        F.array_join(F.sort_array(F.collect_list("value")), ",\n"),
+        F.when(F.col("file") < 0, "\n]").otherwise(""),
+    ).alias("value"))
+    listed.write.partitionBy("file").text(f"{folder}/several")
+
+
+def read_policies(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents written in both layouts, read into a table of policies and one of rejects."""
+    folder = new_shared_path(spark, "documents")
+    _write_documents(_documents(spark, sf), folder)
+    load_policies(spark, f"{folder}/lines", f"{folder}/from-lines")
+    load_policies(spark, f"{folder}/several/file=*", f"{folder}/from-several", multi_line=True)
+    tables = []
+    for layout in ("lines", "several"):
+        good, bad = loaded(spark, f"{folder}/from-{layout}"), rejected(spark, f"{folder}/from-{layout}")
+        tables.append(good.select(
+            F.lit(layout).alias("layout"), F.lit(None).cast("string").alias("read_error"),
+            F.col("id").alias("policy_id"), F.col("base.id").alias("product"), "base.si",
+            F.col("base.insured.dob").cast("string").alias("dob"), "base.load.em_load",
+            F.size("base.fund_alloc").alias("n_funds"),
+            F.coalesce(F.size("base.withdrawal_plan"), F.lit(0)).alias("n_withdrawals"),
+            F.when(F.col("rider").isNull(), 0).otherwise(F.size("rider")).alias("n_riders"),
+            F.lit(None).cast("boolean").alias("has_text"),
+        ))
+        tables.append(bad.select(
+            F.lit(layout).alias("layout"), "read_error",
+            F.when(F.col("read_error") != "malformed document", F.col("id")).alias("policy_id"),
+            (F.length("document") > 150).alias("has_text")))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
 
 
 def _csv_book(spark: SparkSession) -> RateBook:
@@ -252,27 +286,56 @@ def load_rate_csv(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def scan_rates(spark: SparkSession, sf: str) -> DataFrame:
+    """Insurance rates of all policies from storage by product, for the ages at the contract date."""
     folder = new_shared_path(spark, "rate-parquet")
-    demo_book(spark).write_parquet(folder)
+    demo_book(spark).write_parquet(folder, by_product=True)
     book = RateBook.from_parquet(spark, folder)
-    rates = book.scan("coi_rate", product="UVL01", gender=1).select(
-        F.col("age").alias("entry_age"), F.col("rate").alias("coi_rate")
-    )
+    rates = book.scan("coi_rate").select(
+        "product", "gender", F.col("age").alias("entry_age"), F.col("rate").alias("coi_rate"))
     side = book.side("coi_rate", using=rates)
-    return _aged(spark, sf).join(side, "entry_age", "left").select(
-        "policy_id", "entry_age", "coi_rate"
-    )
+    return _aged(spark, sf).join(side, ["product", "gender", "entry_age"], "left").select(
+        *POLICY_KEYS, "coi_rate")
+
+
+def _written(spark: SparkSession, sf: str) -> DataFrame:
+    return projection(spark, sf).select("policy_id", "scenario_no", "int_rate_scenario", "year", "end_pav")
+
+
+def _by_scenario(table: DataFrame) -> DataFrame:
+    return table.groupBy("int_rate_scenario", "scenario_no").agg(digest("end_pav"), F.count("*").alias("n"))
 
 
 def write_and_read_result(spark: SparkSession, sf: str) -> DataFrame:
+    """Results gathered into few files; one folder is then written again, as by a repeated run."""
     path = new_shared_path(spark, "results")
-    kept = projection(spark, sf).select(
-        "policy_id", "scenario_no", "int_rate_scenario", "year", "end_pav"
-    )
-    write_result(kept, path)
-    return spark.read.parquet(path).groupBy("int_rate_scenario", "scenario_no").agg(
-        digest("end_pav"), F.count("*").alias("n")
-    )
+    kept = _written(spark, sf)
+    write_result(kept, path, gathered=True)
+    write_result(kept.where("int_rate_scenario = 'Low'"), path, mode="replace", gathered=True)
+    return _by_scenario(spark.read.parquet(path))
+
+
+def write_and_read_csv(spark: SparkSession, sf: str) -> DataFrame:
+    path = new_shared_path(spark, "results-csv")
+    kept = _written(spark, sf)
+    write_result(kept, path, "csv", gathered=True)
+    return _by_scenario(spark.read.schema(kept.schema).option("header", True).csv(path))
+
+
+def ordered_output(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows and files that do not follow the order of policy, scenario and year."""
+    path = new_shared_path(spark, "results-ordered")
+    write_result(_written(spark, sf), path, ordered=_spread(spark), file_rows=100_000)
+    rows = spark.read.parquet(path).select(
+        "int_rate_scenario", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("at"),
+        F.struct(*ORDER).alias("key"))
+    in_file = Window.partitionBy("int_rate_scenario", "file").orderBy("at")
+    files = rows.withColumn("before", F.lag("key").over(in_file)).groupBy("int_rate_scenario", "file").agg(
+        F.count("*").alias("n"), F.count_if(F.col("before") >= F.col("key")).alias("back"),
+        F.min("key").alias("low"), F.max("key").alias("high"))
+    by_name = Window.partitionBy("int_rate_scenario").orderBy("file")
+    return files.withColumn("before", F.lag("high").over(by_name)).groupBy("int_rate_scenario").agg(
+        F.sum("n").alias("n"), F.sum("back").alias("rows_back"),
+        F.count_if(F.col("before") >= F.col("low")).alias("files_back"))
 
 
 # -- policy level ------------------------------------------------------------
@@ -404,10 +467,8 @@ def fixed(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def fixed_mapping(spark: SparkSession, sf: str) -> DataFrame:
-    """The rate columns as the projection reads them, from arrays."""
-    return projection(spark, sf).where("scenario_no = 1").select(
-        "policy_id", "year", *FIXED_COLUMNS[7:]
-    )
+    """The rate columns that the joins put on the yearly grid."""
+    return mapped(_grid(spark, sf), demo_book(spark)).select("policy_id", "year", *FIXED_COLUMNS[7:])
 
 
 def _path_query(*columns: str):
@@ -470,11 +531,35 @@ def equal_frames(spark: SparkSession, sf: str) -> DataFrame:
     return compare_frames(by_join, by_array, ["policy_id", "year"])
 
 
+def repeated_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """Rates of each policy, a key of many rows, against a copy within the tolerance, but for
+    policies that were changed or left out."""
+    rates = fixed(spark, sf).select("policy_id", "coi_rate", "lb_rate", "pol_term_flag")
+    k = F.col("policy_id").cast("bigint")
+    copy = rates.where(k % 10 != 2).withColumn("coi_rate", F.when(k % 10 == 1, F.col("coi_rate") + 1.0).otherwise(
+        F.col("coi_rate") * (1 + 1e-12)))
+    return ranked_pairs(rates, copy, ["policy_id"]).groupBy("policy_id").agg(
+        F.sum("rows").alias("n"), F.sum(F.when(F.col("unpaired"), F.col("rows")).otherwise(0)).alias("n_unpaired"),
+        F.sum(F.when(F.col("differs"), F.col("rows")).otherwise(0)).alias("n_differing"))
+
+
+def bonus_review_check(spark: SparkSession, sf: str) -> DataFrame:
+    """Bonus reviews recomputed by windows over the results, and those that do not agree."""
+    reviews = bonus_reviews(projection(spark, sf), accepted(_terms(spark, sf)))
+    wrong = differing(reviews).select("policy_id", "scenario_no", "year", "review", F.lit(1).alias("wrong"))
+    return reviews.join(wrong, ["policy_id", "scenario_no", "year", "review"], "left").groupBy(
+        "scenario_no", "review").agg(
+        F.count("*").alias("n"), F.count_if("passed_again").alias("n_passed"),
+        F.count_if(F.col("wrong") == 1).alias("n_differing"))
+
+
 QUERIES = {
     "read_policies": read_policies,
     "scan_rates": scan_rates,
     "load_rate_csv": load_rate_csv,
     "write_result": write_and_read_result,
+    "write_result_csv": write_and_read_csv,
+    "ordered_output": ordered_output,
     "decode_dimensions": dimensions,
     "prem_rate": prem_rate,
     "extra_prem_rate": extra_prem_rate,
@@ -529,5 +614,7 @@ QUERIES = {
     "portfolio_totals": portfolio_totals,
     "reconcile": reconciliation,
     "compare_frames": equal_frames,
+    "compare_repeated_keys": repeated_keys,
+    "bonus_review_check": bonus_review_check,
     "riders": rider_table,
 }

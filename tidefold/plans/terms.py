@@ -18,7 +18,7 @@ from tidefold.operators.lookups import (
     with_product_terms,
 )
 from tidefold.plans.options import ProjectionOptions
-from tidefold.sources.rates import RateBook
+from tidefold.sources.rates import ANY_PRODUCT, RateBook
 
 
 def code_of(column: Column, mapping: dict[str, int]) -> Column:
@@ -168,6 +168,10 @@ def _reject_reason(book: RateBook) -> Column:
         .when(F.col("extra_prem_rate").isNull(), "no extra premium rate")
         .when(_plans_overlap(), "overlapping withdrawal years")
         .when(F.col("product").isin(*book.total_charges), "excess premium charge of 100%")
+        .when(
+            F.col("product").isin(*book.unread) | F.lit(ANY_PRODUCT in book.unread),
+            "unreadable rate row",
+        )
     )
 
 

@@ -66,11 +66,36 @@ def loadable(policies: DataFrame) -> DataFrame:
 
 
 def unreadable(policies: DataFrame) -> DataFrame:
+    """Id (null if not even that could be read), reason and text of documents with a ``read_error``."""
+    read = F.to_json(F.struct(*[F.col(f.name) for f in POLICY_SCHEMA.fields]))
     return policies.where(F.col("read_error").isNotNull()).select(
-        "id", "read_error", F.col(CORRUPT).alias("document")
+        "id", "read_error", F.coalesce(F.col(CORRUPT), read).alias("document")
     )
 
 
+def load_policies(spark: SparkSession, path: str, target: str, multi_line: bool = False) -> None:
+    """Read documents once and write two tables: ``target/state=loaded`` with the good
+    policies, ``target/state=rejected`` with id, reason and text of the others."""
+    read = read_policies(spark, path, multi_line)
+    fields = [f.name for f in POLICY_SCHEMA.fields]
+    good, text = F.col("read_error").isNull(), F.to_json(F.struct(*fields))
+    read.select(
+        F.when(good, "loaded").otherwise("rejected").alias("state"),
+        F.col("id"), *[F.when(good, F.col(name)).alias(name) for name in fields if name != "id"],
+        "read_error", F.when(~good, F.coalesce(F.col(CORRUPT), text)).alias("document"),
+    ).write.partitionBy("state").parquet(target)
+
+
+def loaded(spark: SparkSession, target: str) -> DataFrame:
+    """Good policies of a table that :func:`load_policies` wrote."""
+    return spark.read.schema(POLICY_SCHEMA).parquet(f"{target}/state=loaded")
+
+
+def rejected(spark: SparkSession, target: str) -> DataFrame:
+    """Id, reason and text of the documents that :func:`load_policies` set aside."""
+    return spark.read.schema("id string, read_error string, document string").parquet(f"{target}/state=rejected")
+
+
 def _with_read_error(raw: DataFrame) -> DataFrame:
     return raw.withColumn(
         "read_error",

@@ -10,7 +10,7 @@ by their own bound.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 import pyarrow as pa
@@ -19,6 +19,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MAX_BROADCAST_ROWS = 1_000_000
+#: Stands for all products where a bad row does not tell its own.
+ANY_PRODUCT = "*"
+CORRUPT = "_corrupt_record"
 
 
 @dataclass(frozen=True)
@@ -133,24 +136,45 @@ class RateBook:
     """Rate tables by name, with their row counts.
 
     ``total_charges`` names products that charge all of an excess premium in some
-    year, which leaves loads undefined; their policies are rejected.
+    year, which leaves loads undefined; their policies are rejected. So are those of
+    ``unread`` products, which have a row that could not be read (``ANY_PRODUCT``: a row
+    whose product could not be read either).
     """
 
     tables: dict[str, DataFrame]
     rows: dict[str, int]
     total_charges: tuple[str, ...] = ()
+    unread: tuple[str, ...] = ()
     _derived: dict[object, DataFrame] = field(default_factory=dict)
 
     @classmethod
-    def from_csv(cls, spark: SparkSession, folder: str, files: dict[str, str] | None = None) -> RateBook:
-        """Load ``<folder>/<stem>.csv`` for every table; ``files`` overrides paths."""
+    def from_csv(
+        cls, spark: SparkSession, folder: str, files: dict[str, str] | None = None,
+        rejects: str | None = None,
+    ) -> RateBook:
+        """Load ``<folder>/<stem>.csv`` for every table; ``files`` overrides paths.
+
+        A row that does not parse refuses the book. With ``rejects``, a new folder, the
+        rows that do are written there as a table each, and the others to ``rejects/unread``:
+        rate table, product, what could be read, text. Policies of their products are rejected.
+        """
         paths = {name: f"{folder}/{table.file}.csv" for name, table in TABLES.items()}
         paths.update(files or {})
-        return cls.of({name: load_rate_csv(spark, name, path) for name, path in paths.items()})
+        if rejects is None:
+            return cls.of({name: load_rate_csv(spark, name, path) for name, path in paths.items()})
+        for name, path in paths.items():
+            # Spark checks only the columns that are read, so rows are sorted out once, on writing all.
+            read = _csv(spark, TABLES[name], path, "PERMISSIVE")
+            _in_layout(TABLES[name], read.where(F.col(CORRUPT).isNull())).write.parquet(f"{rejects}/{name}")
+            _unread(name, read).write.mode("append").parquet(f"{rejects}/unread")
+        broken = spark.read.parquet(f"{rejects}/unread").agg(
+            F.collect_set(F.coalesce("product", F.lit(ANY_PRODUCT)))).first()[0]
+        return replace(cls.from_parquet(spark, rejects), unread=tuple(sorted(broken)))
 
     @classmethod
     def from_parquet(cls, spark: SparkSession, folder: str) -> RateBook:
-        return cls.of({name: spark.read.parquet(f"{folder}/{name}") for name in TABLES})
+        return cls.of({
+            name: spark.read.schema(table.columns).parquet(f"{folder}/{name}") for name, table in TABLES.items()})
 
     @classmethod
     def of(cls, tables: dict[str, DataFrame]) -> RateBook:
@@ -171,9 +195,13 @@ class RateBook:
         total = sorted({product for row in counted for product in row["takes_all"]})
         return cls(dict(tables), {row["name"]: row["n"] for row in counted}, tuple(total))
 
-    def write_parquet(self, folder: str) -> None:
+    def write_parquet(self, folder: str, by_product: bool = False) -> None:
+        """One table each; ``by_product`` makes a folder a product, which scans and joins prune."""
         for name, table in self.tables.items():
-            table.write.mode("errorifexists").parquet(f"{folder}/{name}")
+            writer = table.write.mode("errorifexists")
+            if by_product and "product" in TABLES[name].key:
+                writer = writer.partitionBy("product")
+            writer.parquet(f"{folder}/{name}")
 
     def scan(self, name: str, **keys) -> DataFrame:
         """One table filtered on key values; the filters reach a Parquet scan."""
@@ -207,18 +235,33 @@ def _takes_all(name: str):
 
 def load_rate_csv(spark: SparkSession, name: str, path: str) -> DataFrame:
     """One CSV file, its header checked, trimmed, renamed and cut to its columns."""
-    table = TABLES[name]
-    frame = (
-        spark.read.schema(table.header)
+    return _in_layout(TABLES[name], _csv(spark, TABLES[name], path, "FAILFAST"))
+
+
+def _in_layout(table: RateTable, read: DataFrame) -> DataFrame:
+    return read.withColumnsRenamed(dict(table.renames)).select(*T.StructType.fromDDL(table.columns).fieldNames())
+
+
+def _unread(name: str, read: DataFrame) -> DataFrame:
+    fields = T.StructType.fromDDL(TABLES[name].header).fieldNames()
+    product = F.col("product") if "product" in fields else F.lit(None).cast("string")
+    return read.where(F.col(CORRUPT).isNotNull()).select(
+        F.lit(name).alias("name"), product.alias("product"),
+        F.to_json(F.struct(*fields)).alias("values"), F.col(CORRUPT).alias("text"))
+
+
+def _csv(spark: SparkSession, table: RateTable, path: str, mode: str) -> DataFrame:
+    schema = table.header if mode == "FAILFAST" else f"{table.header}, {CORRUPT} string"
+    return (
+        spark.read.schema(schema)
         .option("header", True)
         .option("enforceSchema", False)
         .option("ignoreLeadingWhiteSpace", True)
         .option("ignoreTrailingWhiteSpace", True)
-        .option("mode", "FAILFAST")
+        .option("mode", mode)
+        .option("columnNameOfCorruptRecord", CORRUPT)
         .csv(path)
-        .withColumnsRenamed(dict(table.renames))
     )
-    return frame.select(*T.StructType.fromDDL(table.columns).fieldNames())
 
 
 def local_table(spark: SparkSession, rows, schema: str) -> DataFrame:

@@ -1,17 +1,39 @@
 """Result sinks."""
 
+from __future__ import annotations
+
 from pyspark.sql import DataFrame
 
+#: Order of results within and across files, where it is asked for.
+ORDER = ("policy_id", "scenario_no", "year")
+FOLDER = "int_rate_scenario"
+#: Rows of a file at most: some 100 MB of all columns.
+FILE_ROWS = 1_000_000
+
 
 def write_result(
-    result: DataFrame, path: str, file_format: str = "parquet", mode: str = "errorifexists"
+    result: DataFrame, path: str, file_format: str = "parquet", mode: str = "errorifexists",
+    file_rows: int = FILE_ROWS, gathered: bool = False, ordered: int | None = None,
 ) -> None:
     """Write results as Parquet or CSV, one folder per interest scenario.
 
-    Projection tasks hold all scenarios, so each writes one file per folder; no
-    shuffle gathers a scenario first.
+    Projection tasks hold all scenarios, so each writes one file per folder, without a
+    shuffle. ``gathered`` moves rows first, so that 20,000 tasks do not write 60,000 files:
+    rows are rebalanced by folder into parts of Spark's advisory size, and large
+    folders are split over several. ``ordered`` gives that many ranges of policy, scenario and
+    year instead: files of a folder follow each other in that order, and so do their
+    rows. No file has more than ``file_rows`` rows.
+
+    ``mode`` is Spark's, or ``replace``: folders that the result has rows for are replaced as
+    a whole, others stay, so a run that is repeated leaves the same table.
     """
-    writer = result.write.mode(mode).partitionBy("int_rate_scenario").format(file_format)
+    if ordered:
+        result = result.repartitionByRange(ordered, *ORDER).sortWithinPartitions(FOLDER, *ORDER)
+    elif gathered:
+        result = result.hint("rebalance", FOLDER)
+    writer = result.write.partitionBy(FOLDER).format(file_format).option("maxRecordsPerFile", file_rows)
+    if mode == "replace":
+        writer, mode = writer.option("partitionOverwriteMode", "dynamic"), "overwrite"
     if file_format == "csv":
         writer = writer.option("header", True)
-    writer.save(path)
+    writer.mode(mode).save(path)
