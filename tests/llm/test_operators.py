@@ -240,6 +240,24 @@ def test_search_of_odd_rows(odd, none):
     assert search.search(none, queries).count() == 0
 
 
+def test_search_over_many_shards_is_exact_and_skips(spark, docs, texts):
+    """Several rounds of shards give what one shard does; blocks that cannot win are not read."""
+    queries = docs.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query"), "text")
+    one, many = (sorted(map(tuple, search.search(docs, queries, shard_docs=d).collect())) for d in (1000, 7))
+    assert one == many and len(one) == 100
+    assert search._rounds(30) == [(0, 1), (1, 4), (4, 16), (16, 30)]
+    memory = search.word_memory()
+    shard = search.Shard([texts[i] for i in sorted(texts)], np.array(sorted(texts)), 300.0, memory)
+    held = len(shard.doc)
+    flat = np.unique(search.word_hashes([texts[20]], memory)[0])
+    ids, scores = shard.top(flat, np.ones(len(flat)), 3, 0.0)
+    shard.read = 0
+    again = shard.top(flat, np.ones(len(flat)), 3, float(scores[-1]))
+    assert again[0].tolist() == ids.tolist() and 0 < shard.read < held
+    shard.read = 0
+    assert not len(shard.top(flat, np.ones(len(flat)), 3, float(scores[0]) * 100)[0]) and not shard.read
+
+
 def test_quality_on_held_out_rows(spark, docs, labels, odd, none):
     scored = quality.score_quality(docs, labels)
     rows = {r.doc_id: r for r in scored.collect()}
