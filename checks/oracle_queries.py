@@ -138,9 +138,40 @@ RULES = (
     ("withdrawal_start", "plan[1][1] < CASE f_product WHEN 'ILP02' THEN 0 ELSE 2 END"),
     ("default_fund", "f_product LIKE 'UVL%' AND (len(funds) <> 1 OR funds[1][1] <> 'F000')"),
 )
+# Published wording of the rules.
+MESSAGES = {
+    "owner_ssn": "Owner SSN is not 12 characters.",
+    "insured_ssn": "Insured SSN is not 12 characters.",
+    "em_load_step": "EM load is not a multiple of 0.25.",
+    "em_load_range": "EM load is not within 0 and 2.5.",
+    "em_load_term_range": "EM load term is negative.",
+    "pm_load_range": "PM load is not within 0 and 15.",
+    "pm_load_term_range": "PM load term is negative.",
+    "si_range": "Sum insured is negative.",
+    "ep_range": "EP is negative.",
+    "opted_tp_term_range": "Opted TP term is negative.",
+    "opted_ep_term_range": "Opted EP term is negative.",
+    "maturity_option_range": "Maturity option is not 1 or 2.",
+    "acc_ben_coeff_range": "Accident coefficient is not within 1 and 5.",
+    "fund_pct_range": "A fund percentage is not within 0 and 100.",
+    "fund_empty": "Fund allocation is empty.",
+    "fund_tp_total": "TP fund allocation is not 100% in total.",
+    "fund_ep_total": "EP fund allocation is not 100% in total.",
+    "withdrawal_range": "A withdrawal year or amount is negative.",
+    "withdrawal_reversed": "A withdrawal starts after it ends.",
+    "withdrawal_order": "A withdrawal starts before the previous one has ended.",
+    "term_unknown": "Unsupported product, or birth date after contract date.",
+    "tp_term": "Opted TP term exceeds the policy term.",
+    "ep_term": "Opted EP term exceeds the opted TP term.",
+    "must_pay": "Opted EP term is under the must-pay period.",
+    "em_load_term": "EM load term exceeds the policy term.",
+    "pm_load_term": "PM load term exceeds the policy term.",
+    "withdrawal_start": "The first withdrawal is too early.",
+    "default_fund": "The product takes exactly one fund, F000.",
+}
 CROSSING = 20
 VIOLATED = "broken AS (" + " UNION ALL ".join(
-    f"SELECT policy_id, {i} AS place, '{rule}' AS rule FROM checked WHERE {condition}"
+    f"SELECT policy_id, {i} AS place, '{rule}' AS rule, '{MESSAGES[rule]}' AS message FROM checked WHERE {condition}"
     for i, (rule, condition) in enumerate(RULES)
 ) + ")"
 FLAWED_LEVEL = (PLANS, PORTFOLIO, FLAWED, VIOLATED)
@@ -292,7 +323,22 @@ ORACLE = {
     "rejects": query(
         POLICY_LEVEL,
         "SELECT policy_id, reject_reason FROM judged WHERE reject_reason IS NOT NULL"),
-    "violations": query(FLAWED_LEVEL, "SELECT policy_id, rule FROM broken"),
+    "rejects_all_reasons": query(POLICY_LEVEL, """
+        SELECT policy_id, reject_reason, 'policies' AS flawed FROM (
+          SELECT policy_id, CASE k % 11 WHEN 1 THEN 'missing field' WHEN 2 THEN 'birth date after contract date'
+            WHEN 3 THEN 'unsupported product' WHEN 4 THEN 'no policy year'
+            ELSE coalesce(reject_reason, CASE WHEN k % 11 = 5 AND term >= 8 THEN 'overlapping withdrawal years' END)
+            END AS reject_reason FROM judged)
+        WHERE reject_reason IS NOT NULL
+        UNION ALL
+        SELECT policy_id, reject_reason, 'rates' FROM (
+          SELECT policy_id, CASE WHEN product = 'ILP01' THEN 'no interest rate'
+            WHEN product = 'UVL02' THEN 'modal factors incomplete'
+            WHEN product = 'UVL03' AND entry_age >= 40 THEN 'no premium rate'
+            WHEN extra_prem_rate IS NULL THEN 'no extra premium rate'
+            WHEN product = 'UVL03' THEN 'excess premium charge of 100%' ELSE 'unreadable rate row'
+            END AS reject_reason FROM judged)"""),
+    "violations": query(FLAWED_LEVEL, "SELECT policy_id, rule, message FROM broken"),
     "first_failure": query(FLAWED_LEVEL, (
         "SELECT policy_id, f.rule AS first_failure FROM checked LEFT JOIN ("
         f"SELECT policy_id, arg_min(rule, place) AS rule FROM broken WHERE place >= {CROSSING} "

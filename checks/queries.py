@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import lru_cache, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -426,12 +427,49 @@ def rejected_policies(spark: SparkSession, sf: str) -> DataFrame:
     return rejects(_terms(spark, sf))
 
 
+def _holed_book(spark: SparkSession) -> RateBook:
+    """The demo book without some rates, with a charge of 100% and a product whose rates were not all read."""
+    tables = demo_book(spark).tables
+    charges, product = tables["alloc_chrg_rate"], F.col("product")
+    whole = (product == "UVL03") & (F.col("year") == 30)
+    holed = dict(
+        tables,
+        int_rate=tables["int_rate"].where(product != "ILP01"),
+        modal_factor=tables["modal_factor"].where((product != "UVL02") | (F.col("mode") != 12)),
+        prem_rate=tables["prem_rate"].where((product != "UVL03") | (F.col("age") < 40)),
+        alloc_chrg_rate=charges.withColumn("ep_rate", F.when(whole, 1.0).otherwise(F.col("ep_rate"))),
+    )
+    return replace(RateBook.of(holed), unread=("UVL01",))
+
+
+def rejected_for_every_reason(spark: SparkSession, sf: str) -> DataFrame:
+    """Rejects of a portfolio with holes under whole rates, and of the plain one under rates with holes."""
+    base, insured = F.col("base"), F.col("base")["insured"]
+    flaw = F.col("id").cast("bigint") % 11
+    born = F.when(flaw == 2, F.date_add(base["rcd"], 1)).when(
+        flaw == 4, F.date_sub(base["rcd"], 25_600)).otherwise(insured["dob"])
+    overlapping = F.array(*[
+        F.struct(F.lit(a).alias("from"), F.lit(b).alias("to"), F.lit(5e6).alias("amount")) for a, b in ((4, 8), (8, 9))])
+    holes = (
+        base.withField("si", F.when(flaw != 1, base["si"]))
+        .withField("insured", insured.withField("dob", born))
+        .withField("id", F.when(flaw == 3, "ILP02").otherwise(base["id"]))
+        .withField("maturity_option", F.when(flaw == 4, 2).otherwise(base["maturity_option"]))
+        .withField("withdrawal_plan", F.when(flaw == 5, overlapping).otherwise(base["withdrawal_plan"]))
+    )
+    plain, spread = portfolio(spark, sf), _spread(spark)
+    of_policies = rejects(policy_terms(plain.withColumn("base", holes), demo_book(spark), partitions=spread))
+    of_rates = rejects(policy_terms(plain, _holed_book(spark), partitions=spread))
+    return of_policies.withColumn("flawed", F.lit("policies")).unionByName(
+        of_rates.withColumn("flawed", F.lit("rates")))
+
+
 def _validated(spark: SparkSession, sf: str) -> DataFrame:
     return validate(flawed_portfolio(spark, sf), partitions=_spread(spark))
 
 
 def broken_rules(spark: SparkSession, sf: str) -> DataFrame:
-    return violations(_validated(spark, sf)).select("policy_id", "rule")
+    return violations(_validated(spark, sf)).select("policy_id", "rule", "message")
 
 
 def first_broken_rule(spark: SparkSession, sf: str) -> DataFrame:
@@ -591,6 +629,7 @@ QUERIES = {
         "int_rate_high", "reject_reason",
     ),
     "rejects": rejected_policies,
+    "rejects_all_reasons": rejected_for_every_reason,
     "violations": broken_rules,
     "first_failure": first_broken_rule,
     "quarantine": quarantine,
