@@ -132,12 +132,13 @@ def test_line_dedup_finds_shifted_passages(spark, none, odd):
     assert left.count() == 9 and left.where("doc_id = 1").select("text").distinct().count() == 1
 
 
-def test_line_dedup_finds_every_repeated_run(docs, texts):
+def repeated_lines(texts, least):
+    """Lines of each text that lie in a run of whole lines of ``least`` words which occurs before."""
     def runs(lines):
         sizes = [len(line.encode().split()) for line in lines]
         for a in range(len(lines)):
             for b in range(a + 1, len(lines) + 1):
-                if sizes[a] and sizes[b - 1] and sum(sizes[a:b]) >= 12:
+                if sizes[a] and sizes[b - 1] and sum(sizes[a:b]) >= least:
                     yield a, b, "\n".join(lines[a:b])
 
     seen, expected = set(), {}
@@ -151,9 +152,63 @@ def test_line_dedup_finds_every_repeated_run(docs, texts):
         for a, b in zip(ends, ends[1:]):
             if not "".join(lines[a + 1 : b]).strip():
                 gone.update(range(a + 1, b))
-        expected[i] = "\n".join(line for k, line in enumerate(lines) if k not in gone)
+        expected[i] = gone
+    return expected
+
+
+def without(texts, gone):
+    return {i: "\n".join(line for k, line in enumerate(text.split("\n")) if k not in gone[i]) for i, text in texts.items()}
+
+
+def test_line_dedup_finds_every_repeated_run(docs, texts):
     cleaned = line_dedup.remove_repeated_lines(docs, runs=True)
-    assert {r.doc_id: r.text for r in cleaned.collect()} == expected
+    assert {r.doc_id: r.text for r in cleaned.collect()} == without(texts, repeated_lines(texts, 12))
+
+
+def test_passages_equal_brute_force(docs, texts):
+    """All that repeats with 50 words goes, nothing goes that does not repeat, and chunks decide between."""
+    memory, seen, spans = line_dedup._line_memory(), collections.Counter(), {}
+    for i in sorted(texts):
+        lines = texts[i].split("\n")
+        chunks = line_dedup.passage_chunks(lines, memory)
+        spans[i] = [(c, "\n".join(lines[slice(*c)])) for c in chunks]
+        seen.update(body for _, body in spans[i])
+    for i in spans:
+        lines = texts[i].split("\n")
+        again = {c for c, body in spans[i] if seen[body] > 1}
+        spans[i] += [(c, ("longer", "\n".join(lines[slice(*c)])))
+                     for c in line_dedup.chunk_extensions(lines, memory, again)]
+    met, gone = set(), {i: set() for i in spans}
+    for i in sorted(spans):
+        for span, body in sorted(spans[i], key=lambda found: found[0]):
+            if body in met:
+                gone[i].update(range(*span))
+            met.add(body)
+        ends, lines = sorted(gone[i]), texts[i].split("\n")
+        for a, b in zip(ends, ends[1:]):
+            if not "".join(lines[a + 1 : b]).strip():
+                gone[i].update(range(a + 1, b))
+    cleaned = line_dedup.remove_repeated_passages(docs)
+    assert {r.doc_id: r.text for r in cleaned.collect()} == without(texts, gone)
+    assert cleaned.columns[: len(docs.columns)] == docs.columns
+    least, most = repeated_lines(texts, 50), repeated_lines(texts, 12)
+    assert any(least.values()) and all(least[i] <= gone[i] <= most[i] for i in texts)
+
+
+def test_passages_of_50_words_hold_a_common_chunk():
+    draw = np.random.default_rng(5)
+    for trial in range(2000):
+        sizes = []
+        while sum(sizes) < 50:
+            sizes.append(int(draw.integers(1, 60 if trial % 4 == 0 else 20)))
+        passage = [" ".join(f"p{trial}x{i}y{j}" for j in range(n)) for i, n in enumerate(sizes)]
+        found = []
+        for side in "ab":
+            own = [" ".join(f"{side}{k}z{j}" for j in range(int(draw.integers(1, 15)))) for k in range(8)]
+            lines = own[:4] + passage + own[4:]
+            chunks = line_dedup.passage_chunks(lines, line_dedup._line_memory())
+            found.append({(a - 4, b - 4) for a, b in chunks if 4 <= a and b <= 4 + len(passage)})
+        assert found[0] & found[1], sizes
 
 
 def test_line_dedup_finds_passages_of_short_lines(spark, none, odd):
@@ -169,6 +224,15 @@ def test_line_dedup_finds_passages_of_short_lines(spark, none, odd):
     assert {r.doc_id: r.text for r in found.collect()} == left
     assert line_dedup.remove_repeated_lines(none, runs=True).count() == 0
     assert line_dedup.remove_repeated_lines(odd, runs=True).count() == 9
+    longer = {k: text for k, text in left.items() if k >= 100}  # a single line of 15 words is no passage
+    found = line_dedup.remove_repeated_passages(
+        spark.createDataFrame([r for r in rows if r[0] >= 100], "doc_id long, text string"))
+    assert {r.doc_id: r.text for r in found.collect()} == longer
+    assert line_dedup.remove_repeated_passages(none).count() == 0
+    kept = line_dedup.remove_repeated_passages(odd)
+    assert kept.count() == 9 and kept.where("doc_id = 1").select("text").distinct().count() == 1
+    assert kept.where("doc_id is null").first().text == "no id at all here"
+    assert kept.select("hash").distinct().first()[0] == 1
 
 
 def test_url_rules(spark):
