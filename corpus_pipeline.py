@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidefold.llm.common import stored, table
-from tidefold.llm.line_dedup import remove_repeated_lines
+from tidefold.llm.line_dedup import remove_repeated_passages
 from tidefold.llm.mixing import mixed_documents
 from tidefold.llm.near_dedup import near_duplicates
 from tidefold.llm.packing import pack_documents
@@ -21,11 +21,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without runs of lines that an earlier one has; ``n_chars`` is counted anew.
+    """Documents without passages of lines that an earlier one has; ``n_chars`` is counted anew.
 
     A document that had text and has none left is gone.
     """
-    cleaned = remove_repeated_lines(docs, runs=True)
+    cleaned = remove_repeated_passages(docs)
     left = cleaned.where((F.col("removed_lines") == 0) | (F.length(F.btrim("text", F.lit(" \t\r\n\v\f"))) > 0))
     changed = F.col("removed_lines") > 0
     return left.withColumn(
