@@ -368,6 +368,54 @@ def test_mix_meets_its_targets(docs, odd, none):
     assert mixing.mix(none).count() == 0
 
 
+def test_mix_equals_brute_force(spark):
+    """Targets by repeated sharing, seats one by one to sources and to shards, then documents in a shard's order."""
+    draw = np.random.default_rng(3)
+    rows = [(i, " ".join(["w"] * int(draw.integers(0, 90))), [None, "a", "b", "c", "d"][min(i % 9, 4)]) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    marks = {r.doc_id: r.mark for r in docs.select("doc_id", F.xxhash64(F.lit(7), "doc_id", "text").alias("mark")).collect()}
+    sizes = {i: len(text.split()) for i, text, _ in rows}
+    names = ["a", "b", "c", "d", None]
+    own = {n: [i for i, _, source in rows if source == n] for n in names}
+    held = {n: sum(sizes[i] for i in own[n]) for n in names}
+    weight = dict(zip(names, (3, 1, 2, 3, 1)))
+    goal = {}
+    while len(goal) < len(names):
+        left, open_ = 1.5 * sum(held.values()) - sum(goal.values()), [n for n in names if n not in goal]
+        fair = {n: left * weight[n] / sum(weight[m] for m in open_) for n in open_}
+        full = [n for n in open_ if fair[n] > 2 * held[n]]
+        goal.update({n: 2 * held[n] for n in full} or fair)
+
+    def seats(weights, most, n):
+        given = [0] * len(weights)
+        for _ in range(n):
+            able = [k for k in range(len(weights)) if weights[k] and given[k] < most[k]]
+            given[max(able, key=lambda k: (weights[k] / (2 * given[k] + 1), -k))] += 1
+        return given
+
+    found = {r.doc_id: r for r in mixing.mix(docs, shard_docs=40).collect()}
+    cut = 0
+    for n in names:
+        count = -(-len(own[n]) // 40)
+        shards = [sorted((i for i in own[n] if marks[i] % count == k), key=lambda i: marks[i]) for k in range(count)]
+        line = [sum(sizes[i] for i in shard) for shard in shards]
+        taken = sum(found[i].taken for i in own[n])
+        assert found[own[n][0]].target == pytest.approx(goal[n]) and abs(taken - goal[n]) <= 16 * (count + 1)
+        if goal[n] < 2 * held[n]:  # the blocks of a source come from all its taken words
+            given = seats(line, [-(-2 * x // 16) for x in line], round(taken / 16))
+            quotas = [min(16 * q, 2 * x) for q, x in zip(given, line)]
+        else:
+            quotas = [2 * x for x in line]
+        for shard, quota, whole in zip(shards, quotas, line):
+            left = quota % whole if whole else 0
+            for i in shard:
+                rest = min(sizes[i], left)
+                assert found[i].taken == sizes[i] * (quota // max(whole, 1)) + rest
+                left -= rest
+                cut += 0 < rest < sizes[i]
+    assert cut and any(len(own[n]) > 80 for n in names)
+
+
 def test_mixed_documents_hold_what_is_taken(docs):
     taken = {r.doc_id: r.taken for r in mixing.mix(docs).collect()}
     out = collections.Counter()

@@ -6,17 +6,18 @@ import heapq
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidefold.llm.common import WORD, chunks_of, table, words
+from tidefold.llm.common import WORD, chunks_of, stored, table, words
 
-#: Tokens of a block, shards of a source, share of all tokens that the mix holds,
+#: Tokens of a block, documents of a shard, share of all tokens that the mix holds,
 #: and how often a source may be repeated.
 BLOCK_TOKENS = 16
-SHARDS = 64
+SHARD_DOCS = 16_384
 SHARE = 1.5
 MOST_REPEATS = 2
 #: Weights of sources in order; they repeat.
@@ -116,60 +117,74 @@ def plan(sizes: list[int], names: list, blocks: list[int], share: float, repeats
     return list(zip(goal, quota))
 
 
+def shard_quotas(by_shard: DataFrame, repeats: int, block_tokens: int) -> DataFrame:
+    """Tokens that each shard gives: its source's blocks, handed to shards by highest quotients
+    of their sizes. Each source is one group of one row a shard."""
+
+    def hand_out(shards: pd.DataFrame) -> pd.DataFrame:
+        shards = shards.sort_values("shard")
+        sizes = shards["shard_size"].tolist()
+        most = [-(-n * repeats // block_tokens) for n in sizes]
+        blocks = int(shards["blocks"].iloc[0])
+        if blocks * block_tokens >= repeats * sum(sizes):  # all there is: last blocks of shards are short
+            blocks = sum(most)
+        blocks = sainte_lague([float(n) for n in sizes], most, blocks)
+        return pd.DataFrame({
+            "q_source": shards["source"], "q_shard": shards["shard"], "shard_size": sizes,
+            "quota": [min(q * block_tokens, repeats * n) for q, n in zip(blocks, sizes)],
+        })
+
+    return by_shard.groupBy("source").applyInPandas(
+        hand_out, "q_source string, q_shard long, shard_size long, quota long")
+
+
 def mix(docs: DataFrame, share: float = SHARE, repeats: int = MOST_REPEATS,
-        block_tokens: int = BLOCK_TOKENS, shards: int = SHARDS, seed: int = 7) -> DataFrame:
+        block_tokens: int = BLOCK_TOKENS, shard_docs: int = SHARD_DOCS, seed: int = 7) -> DataFrame:
     """Adds ``size``, ``source_size``, ``target`` and ``taken`` to ``doc_id``, ``text``, ``source``.
 
-    Each source's documents are dealt over ``shards`` shards by a seeded hash and laid end to
-    end, shard after shard, in a seeded order; this line is repeated ``repeats`` times and
-    counted in blocks of ``block_tokens``. Sainte-Lague hands blocks to sources by weight.
-    A source takes its line from the start up to its quota: all documents as often as whole
-    lines fit, and of the last, partial line whole documents in the seeded order. Only the
-    one document in which the quota of a source ends is taken in part. So a document's
-    share is arithmetic on its place in the line: no block is ever a row, and only source
-    totals (one row a source) reach the driver.
+    Sainte-Lague hands blocks of ``block_tokens`` to sources by weight, and each source's
+    blocks to its shards by size, as integers. Shards hold some ``shard_docs`` documents each, however many a source has,
+    dealt by a seeded hash of id and text. A shard's documents are laid end to end in a
+    seeded order, and the blocks of this line, repeated ``repeats`` times, are taken up to the shard's
+    quota: all documents as often as the whole line fits, and of the last, partial line whole
+    documents. Only the one document in which a shard's quota ends is taken in part.
+    So a document's share is arithmetic on its place in the line: no block is ever a row.
+    Only source totals (one row a source) reach the driver.
 
     Null text and text without words have size 0 and take 0; a null source is a source
-    of its own, last in order. Repeated rows count as often as they occur. An empty
-    table gives no rows. Other columns of ``docs`` are not used.
+    of its own, last in order. Repeated rows count as often as they occur; rows equal in
+    id and text share a shard, rows without id do not. An empty table gives no rows. Other
+    columns of ``docs`` are not used.
     """
     spark = docs.sparkSession
-    sized = docs.select(
+    sized = stored(docs.select(
         "doc_id", "source",
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-    ).withColumn("mark", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("doc_id").cast("string"))))
-    sized = sized.withColumn(
-        "shard", (F.conv(F.substring("mark", 1, 8), 16, 10).cast("long") % shards).cast("int")
-    )
-    by_shard = sized.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"))
-    by_source = by_shard.groupBy("source").agg(F.sum("shard_size").alias("source_size")).collect()
+        F.xxhash64(F.lit(seed), "doc_id", "text").alias("mark"),
+    ), "sizes")
+    by_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")).collect()
     planned = plan(
         [r.source_size for r in by_source], [r.source for r in by_source],
         [-(-r.source_size * repeats // block_tokens) for r in by_source], share, repeats, block_tokens,
     )
-    quotas = spark.createDataFrame(
-        [(r.source, r.source_size, float(t), min(int(q) * block_tokens, repeats * r.source_size))
+    sources = spark.createDataFrame(
+        [(r.source, r.source_size, float(t), int(q), -(-r.n // shard_docs))
          for r, (t, q) in zip(by_source, planned)],
-        "p_source string, source_size long, target double, quota long",
+        "p_source string, source_size long, target double, blocks long, shards long",
     )
-    # One row a source and shard: a dimension, joined with null matching null.
-    shards_before = Window.partitionBy("p_source").orderBy("p_shard").rowsBetween(
-        Window.unboundedPreceding, -1)
-    shares = by_shard.join(quotas, F.col("source").eqNullSafe(F.col("p_source"))).select(
-        "p_source", F.col("shard").alias("p_shard"), "source_size", "target", "quota", "shard_size",
-    ).withColumn("before", F.coalesce(F.sum("shard_size").over(shards_before), F.lit(0)))
-
+    dealt = sized.join(sources, F.col("source").eqNullSafe(F.col("p_source"))).withColumn(
+        "shard", F.pmod("mark", "shards"))
+    quotas = shard_quotas(
+        dealt.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"), F.first("blocks").alias("blocks")),
+        repeats, block_tokens)
     line = Window.partitionBy("source", "shard").orderBy("mark", "doc_id", "size").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
-    placed = sized.withColumn("stop", F.sum("size").over(line)).join(
-        shares,
-        F.col("source").eqNullSafe(F.col("p_source")) & (F.col("shard") == F.col("p_shard")),
-    )
-    one = F.greatest("source_size", F.lit(1))
-    copies = F.floor(F.col("quota") / one)
-    start = F.col("before") + F.col("stop") - F.col("size")
-    rest = F.greatest(F.lit(0), F.least(F.col("size"), F.col("quota") - copies * F.col("source_size") - start))
+    placed = dealt.withColumn("stop", F.sum("size").over(line)).join(
+        quotas, F.col("source").eqNullSafe(F.col("q_source")) & (F.col("shard") == F.col("q_shard")))
+    copies = F.floor(F.col("quota") / F.greatest("shard_size", F.lit(1)))
+    left = F.col("quota") - copies * F.col("shard_size") - (F.col("stop") - F.col("size"))
+    rest = F.greatest(F.lit(0), F.least(F.col("size"), left))
     return placed.select(
         "doc_id", "size", "source_size", "target",
         (F.col("size") * copies + rest).cast("long").alias("taken"), "source",
@@ -187,7 +202,7 @@ def _first_words(text: str, n: int) -> str:
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs``, with all their columns, as often as the mix takes them: whole
     copies for whole sizes taken, then the first words for the rest (of one document a
-    source); none that it does not take. Copies carry the id of their document. Documents without words go.
+    shard); none that it does not take. Copies carry the id of their document. Documents without words go.
 
     Rows that repeat an id take as much as the row of that id of which most is taken,
     but no more than the repeats of their own text.
