@@ -361,14 +361,14 @@ def _hash_of(lines: list[str], span: tuple[int, int]) -> int:
 def _repeated(found: DataFrame, name: str) -> DataFrame:
     """The spans of each text whose hash occurs more than once."""
     often = found.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1")
-    spans = found.join(often, "hash", "left_semi").select("row", "key", "span").distinct()
-    return stored(spans.groupBy("row", "key").agg(F.collect_list("span").alias("spans")), name)
+    spans = found.join(often, "hash", "left_semi")
+    return stored(spans.groupBy("row", "key").agg(F.collect_set("span").alias("spans")), name)
 
 
 def _copies(bodies: DataFrame) -> DataFrame:
     """All spans but the first of those that are equal byte by byte."""
     first = bodies.groupBy("body").agg(F.min(F.struct("key", "row", "span")).alias("keep")).select("keep.*")
-    return bodies.select("row", "key", "span").distinct().join(first, ["row", "key", "span"], "left_anti")
+    return bodies.select("row", "key", "span").join(first, ["row", "key", "span"], "left_anti")
 
 
 def remove_repeated_passages(docs: DataFrame) -> DataFrame:
@@ -421,7 +421,7 @@ def remove_repeated_passages(docs: DataFrame) -> DataFrame:
     cuts = _copies(near.where("body is not null")).unionByName(_copies(_found(texts(longer), bodies)))
     # Names longer than any column of the documents clash with none.
     names = ["_" * max(map(len, columns)) + n for n in ("row", "key", "cuts")]
-    cuts = cuts.groupBy("row", "key").agg(F.collect_list("span").alias("cuts")).toDF(*names)
+    cuts = cuts.groupBy("row", "key").agg(F.collect_set("span").alias("cuts")).toDF(*names)
     joined = docs.withColumns({names[0]: row, names[1]: key}).join(cuts, names[:2], "left").select(*columns, names[2])
     return _cut(joined, columns, lambda lines, memory, cut: [*map(_span, cut)], True)
 
