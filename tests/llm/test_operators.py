@@ -465,6 +465,31 @@ def test_words_are_encoded_as_in_their_text(text):
     assert packing.encode(text, pieces) == pieces.function(text)
 
 
+def test_shards_of_packing_are_bounded(spark, docs, monkeypatch):
+    """A leaf of long texts or of equal rows is dealt over several shards; nothing is lost."""
+    rows = [(7, "the same words again and again " * 20, "en")] * 300 + [
+        (100 + i, f"long {i} " * 4000, "en") for i in range(20)]
+    same = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(2)
+    monkeypatch.setattr(packing, "SHARD_BYTES", 1 << 16)
+    found = packing.pack_documents(same, shard_docs=40).collect()
+    assert collections.Counter(r.doc_id for r in found if r.start == 0) == collections.Counter(r[0] for r in rows)
+    for id_, n in ((7, 300), (100, 1)):
+        assert sum(r.length for r in found if r.doc_id == id_) == n * next(r.doc_tokens for r in found if r.doc_id == id_)
+    shards = collections.Counter(r.sequence_id >> 32 for r in found if r.doc_id == 7 and r.start == 0)
+    assert len(shards) > 2 and max(shards.values()) <= 120
+
+
+def test_texts_are_encoded_together_as_alone(texts):
+    import pyarrow as pa
+
+    with open(packing.default_ranks(), "rb") as file:
+        encoder = packing._encoder(file.read())
+    all_ = [*texts.values(), None, "", "a", "\na", " a", "a\n", "\n", "a  b", "'s it's\n's", "　x y", "1a ,,.\n."]
+    found = packing.encode_texts(pa.array(all_, pa.string()), encoder, b"\1\0").to_pylist()
+    assert found == [encoder.function(t or "") + b"\1\0" for t in all_]
+    assert packing.encode_texts(pa.array([], pa.string()), encoder).to_pylist() == []
+
+
 def test_neighbours_share_rare_ids():
     docs = [np.array(d, np.uint16) for d in ([5, 900, 901], [6, 7, 8], [900, 9, 901], [5, 6, 7])]
     assert packing.Neighbours(docs).of(0, np.array([False, True, True, True]), 2)[0] == 2

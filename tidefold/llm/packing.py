@@ -3,17 +3,17 @@
 from __future__ import annotations
 
 import base64
-import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidefold.llm.common import Remembered, chunks_of, key_groups, odd_numbers, stored, table
+from tidefold.llm.common import chunks_of, key_groups, odd_numbers, stored, table
 
 #: Ids of a sequence, and the id that ends a document.
 WINDOW = 2048
@@ -30,8 +30,18 @@ DIMENSIONS = 64
 SPLIT_DOCS, MOST_SPLIT_DOCS = 64, 65_536
 _SLICE = 1 << 21
 
-#: Where words of a text can be encoded one by one: single spaces and line ends only.
-_ODD_SPACE = re.compile(r"[^\S \n]|[ \n][ \n]|[\x00\x1c-\x1f\x85]")
+#: Bytes of ids of a shard, about, but for a longer document; bytes of text encoded at once.
+SHARD_BYTES = 16 << 20
+#: Shards of a task, where they are more than the session's partitions.
+TASK_SHARDS = 16
+_TEXT_SLICE = 8 << 20
+
+#: Texts whose words cannot be encoded one by one (RE2): with control characters, spaces
+#: other than the single one and the line end, or several of these in a row.
+_ODD_SPACE = (
+    r"[\x00-\x09\x0b-\x1f\x7f-\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+    r"|[ \n][ \n]"
+)
 
 
 def default_ranks() -> str:
@@ -41,29 +51,89 @@ def default_ranks() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-@lru_cache(maxsize=2)
-def _encoder(ranks: bytes):
-    import public_tokenizers
-    import tiktoken
+class Encoder:
+    """The vocabulary, with the bytes that each id stands for."""
+
+    def __init__(self, ranks: bytes):
+        import public_tokenizers
+        import tiktoken
+
+        parsed = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
+        if max(parsed.values()) >= 1 << 16:
+            raise ValueError("ids are kept in 16 bits")
+        self.encoding = tiktoken.Encoding(
+            "public", pat_str=public_tokenizers.PATTERN, mergeable_ranks=parsed, special_tokens={})
+        self.sizes = np.zeros(1 << 16, np.int64)
+        self.sizes[list(parsed.values())] = list(map(len, parsed))
+
+    def function(self, text: str) -> bytes:
+        """Ids of a text as unsigned 16-bit numbers."""
+        return np.array(self.encoding.encode_ordinary(text), "<u2").tobytes()
+
+    def words(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words end to end, and the number of ids of each word.
+
+        Words begin with their space or are parted by a line end, so one text holds them
+        all; the bytes of the ids tell where a word ends.
+        """
+        parted = pc.if_else(pc.starts_with(distinct, " "), distinct, pc.binary_join_element_wise("\n", distinct, ""))
+        text = pc.binary_join(pa.ListArray.from_arrays([0, len(parted)], parted), "")[0].as_py()
+        ids = np.array(self.encoding.encode_ordinary(text), np.int64)
+        ends = np.cumsum(pc.binary_length(parted).to_numpy(zero_copy_only=False))
+        last = np.searchsorted(np.cumsum(self.sizes[ids]), ends, side="left") + 1
+        last[ends == 0] = 0
+        spaced = pc.starts_with(distinct, " ").to_numpy(zero_copy_only=False)
+        first = np.concatenate([[0], last[:-1]])
+        keep = np.ones(len(ids), bool)
+        keep[first[~spaced]] = False  # the line ends between words
+        return ids[keep].astype("<u2"), last - first - ~spaced
+
 
-    parsed = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
-    if max(parsed.values()) >= 1 << 16:
-        raise ValueError("ids are kept in 16 bits")
-    encoding = tiktoken.Encoding(
-        "public", pat_str=public_tokenizers.PATTERN, mergeable_ranks=parsed, special_tokens={})
-    return Remembered(lambda piece: np.array(encoding.encode_ordinary(piece), "<u2").tobytes())
+@lru_cache(maxsize=2)
+def _encoder(ranks: bytes) -> Encoder:
+    return Encoder(ranks)
 
 
-def encode(text: str, pieces: Remembered) -> bytes:
-    """Ids of a text as unsigned 16-bit numbers.
+def encode_texts(texts: pa.Array, encoder: Encoder, end: bytes = b"") -> pa.Array:
+    """Ids of each text as unsigned 16-bit numbers, then ``end``; null is empty.
 
     The vocabulary's pattern never joins what lies on both sides of a single space or
-    line end, so words (with the space ahead) are encoded once and remembered.
+    line end, so the distinct words (with the space ahead) of all texts are encoded once.
+    Texts with other spaces are encoded whole.
     """
-    if _ODD_SPACE.search(text):
-        return pieces.function(text)
-    parts = text.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00")
-    return b"".join(map(pieces.__getitem__, parts))
+    texts = pc.fill_null(texts, "")
+    odd = pc.match_substring_regex(texts, _ODD_SPACE)
+    plain = pc.if_else(odd, "", texts)
+    marked = pc.replace_substring(pc.replace_substring(plain, " ", "\x00 "), "\n", "\x00\n\x00")
+    split = pc.split_pattern(marked, "\x00")
+    coded = split.flatten().dictionary_encode()
+    number = coded.indices.to_numpy(zero_copy_only=False)
+    distinct = coded.dictionary
+    # the empty word and the line end itself are no words to part
+    line = pc.equal(distinct, "\n")
+    own = pc.invert(pc.or_(line, pc.equal(distinct, "")))
+    ids, counts = np.empty(0, "<u2"), np.zeros(len(distinct), np.int64)
+    if pc.any(own).as_py():
+        ids, counts[own.to_numpy(zero_copy_only=False)] = encoder.words(distinct.filter(own))
+    starts = np.cumsum(counts) - counts
+    for at in np.flatnonzero(line.to_numpy(zero_copy_only=False)):
+        alone = np.frombuffer(encoder.function("\n"), "<u2")
+        starts[at], counts[at] = len(ids), len(alone)
+        ids = np.concatenate([ids, alone])
+    lengths = counts[number]
+    ends = np.cumsum(lengths)
+    flat = ids[np.repeat(starts[number] - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+    bounds = np.concatenate([[0], ends])[split.offsets.to_numpy()].tolist()
+    whole = odd.to_numpy(zero_copy_only=False)
+    found = [flat[2 * a : 2 * b] + end for a, b in zip(bounds[:-1], bounds[1:])]
+    for i in np.flatnonzero(whole).tolist():
+        found[i] = encoder.function(texts[i].as_py()) + end
+    return pa.array(found, pa.binary())
+
+
+def encode(text: str, encoder: Encoder) -> bytes:
+    """Ids of one text as unsigned 16-bit numbers."""
+    return encode_texts(pa.array([text], pa.string()), encoder)[0].as_py()
 
 
 def _encoded(docs: DataFrame, ranks: bytes) -> DataFrame:
@@ -73,13 +143,11 @@ def _encoded(docs: DataFrame, ranks: bytes) -> DataFrame:
     end = np.array([END], "<u2").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = _encoder(sent.value)
+        encoder = _encoder(sent.value)
         for batch in batches:
-            for part in chunks_of(batch, "text"):
-                ids = [encode(t or "", pieces) + end for t in part.column("text").to_pylist()]
-                pieces.trim()
-                yield pa.record_batch(
-                    [part.column("mark"), part.column("doc_id"), pa.array(ids, pa.binary())], schema=schema)
+            for part in chunks_of(batch, "text", _TEXT_SLICE):
+                ids = encode_texts(part.column("text"), encoder, end)
+                yield pa.record_batch([part.column("mark"), part.column("doc_id"), ids], schema=schema)
 
     return docs.select(F.xxhash64("doc_id", "text").alias("mark"), "doc_id", "text").mapInArrow(
         run, "mark long, doc_id long, ids binary")
@@ -175,18 +243,20 @@ def leaf_of(rows: np.ndarray, tree) -> np.ndarray:
     return found
 
 
-def _dealt(encoded: DataFrame, totals: Totals, shard_docs: int) -> DataFrame:
+def _dealt(encoded: DataFrame, totals: Totals, shard_docs: int) -> tuple[DataFrame, int]:
     """``encoded`` with ``shard``: documents of like content have the same one.
 
-    The tree is found on documents of smallest ``mark``; all documents go down it. A leaf
-    of over twice ``shard_docs`` documents, such as a group of copies, is dealt by ``mark``
-    over several shards. Only one number a leaf and the projections of the documents that
-    the tree is found on reach the driver.
+    The tree is found on documents of smallest ``mark``; all documents go down it, once to
+    count and once to move, so that ids are kept in one table only. A leaf of over twice
+    ``shard_docs`` documents or ``SHARD_BYTES``, such as a group of copies, is dealt by
+    ``mark`` over several shards, and rows of one mark in turn. Only two numbers a leaf and
+    the projections of the documents that the tree is found on reach the driver. The
+    second result is the number of shards.
     """
     context = encoded.sparkSession.sparkContext
     leaves = -(-totals.n // shard_docs)
     if leaves < 2:
-        return encoded.withColumn("shard", F.lit(0))
+        return encoded.select(F.lit(0).alias("shard"), "doc_id", "ids"), 1
     sent = context.broadcast(totals)
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,19 +271,38 @@ def _dealt(encoded: DataFrame, totals: Totals, shard_docs: int) -> DataFrame:
     chosen = sorted((r.mark, r.row) for r in few.mapInArrow(project, "mark long, row binary").collect())
     tree = context.broadcast(split_tree(np.array([np.frombuffer(r, np.float32) for _, r in chosen]), leaves))
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def leaves_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
         for part, docs in _slices(batches):
-            leaf = pa.array(leaf_of(projections(docs, sent.value), tree.value))
-            yield pa.record_batch([*part.columns, leaf], names=[*part.schema.names, "leaf"])
+            yield part, leaf_of(projections(docs, sent.value), tree.value)
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        docs, size = np.zeros(leaves, np.int64), np.zeros(leaves, np.int64)
+        for part, leaf in leaves_of(batches):
+            docs += np.bincount(leaf, minlength=leaves)
+            np.add.at(size, leaf, pc.binary_length(part.column("ids")).to_numpy(zero_copy_only=False))
+        some = np.flatnonzero(docs)
+        yield pa.record_batch([pa.array(some), pa.array(docs[some]), pa.array(size[some])],
+                              names=["leaf", "docs", "size"])
+
+    parts = np.ones(leaves, np.int64)
+    for r in encoded.select("ids").mapInArrow(fill, "leaf long, docs long, size long").groupBy("leaf").agg(
+            F.sum("docs").alias("docs"), F.sum("size").alias("size")).collect():
+        parts[r["leaf"]] = max(1, -(-r["docs"] // (2 * shard_docs)), -(-r["size"] // SHARD_BYTES))
+    shares = context.broadcast((np.cumsum(parts) - parts, parts))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        starts, parts = shares.value
+        for part, leaf in leaves_of(batches):
+            mark = part.column("mark").to_numpy()
+            order = np.argsort(mark, kind="stable")
+            first = np.searchsorted(mark[order], mark[order], side="left")
+            repeat = np.empty(len(mark), np.int64)
+            repeat[order] = np.arange(len(mark)) - first
+            shard = starts[leaf] + (mark % parts[leaf] + repeat) % parts[leaf]
+            yield pa.record_batch([pa.array(shard.astype(np.int32)), part.column("doc_id"), part.column("ids")],
+                                  names=["shard", "doc_id", "ids"])
 
-    placed = stored(encoded.mapInArrow(deal, "mark long, doc_id long, ids binary, leaf long"), "placed")
-    counts = {r.leaf: r["count"] for r in placed.groupBy("leaf").count().collect()}
-    parts = [max(1, -(-counts.get(leaf, 0) // (2 * shard_docs))) for leaf in range(leaves)]
-    starts = np.concatenate([[0], np.cumsum(parts)[:-1]]).tolist()
-    known = encoded.sparkSession.createDataFrame(
-        list(zip(range(leaves), starts, parts)), "leaf long, first int, parts int")
-    return placed.join(F.broadcast(known), "leaf").select(
-        (F.col("first") + F.pmod("mark", "parts")).cast("int").alias("shard"), "doc_id", "ids")
+    return encoded.mapInArrow(deal, "shard int, doc_id long, ids binary"), int(parts.sum())
 
 
 class Neighbours:
@@ -314,7 +403,7 @@ def pack_documents(docs: DataFrame, ranks: str | None = None, shard_docs: int =
     and packed within their shard (see ``pack``), where one BM25 index with the document
     frequencies and mean length of all documents serves all its seeds. Every term counts.
     Neighbours that the dealing puts into other shards are not found. All sequences but the last of a shard are full. Only ids move, two bytes each; a shard
-    is some ten MB whatever the corpus holds. ``with_ids`` adds the piece's ids.
+    has some 16 MB of ids, or one longer document. ``with_ids`` adds the piece's ids.
 
     Null and empty texts hold the end id alone. Repeated rows are packed as often as they
     occur, a null id is kept. ``sequence_id`` is shard * 2^32 + number. Other columns are
@@ -327,8 +416,10 @@ def pack_documents(docs: DataFrame, ranks: str | None = None, shard_docs: int =
     encoded = stored(_encoded(docs, content), "encoded")
     totals = _totals(encoded)
     sent = spark.sparkContext.broadcast(totals)
-    dealt = _dealt(encoded, totals, shard_docs).select("shard", "doc_id", "ids").repartition(
-        "shard").sortWithinPartitions("shard", "doc_id", F.length("ids"))
+    dealt, shards = _dealt(encoded, totals, shard_docs)
+    least = shards // TASK_SHARDS
+    many = (least,) if least > int(spark.conf.get("spark.sql.shuffle.partitions")) else ()
+    dealt = dealt.repartition(*many, "shard").sortWithinPartitions("shard", "doc_id", F.length("ids"))
     text = SCHEMA + (", ids array<int>" if with_ids else "")
     schema = pa.schema([(c.split(" ")[0], pa.int64()) for c in SCHEMA.split(", ")])
     if with_ids:
