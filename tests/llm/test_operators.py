@@ -296,6 +296,51 @@ def test_preference_pairs(spark):
     assert found[2].prompt == "" and found[2].chosen == "<|user|>\nq<|end|>\n" and found[2].rejected == ""
 
 
+def _brute_pairs(chosen, rejected):
+    def turns(rows):
+        found = collections.defaultdict(list)
+        for pair, turn, role, text in rows:
+            if pair is not None:
+                found[pair].append((turn is not None, turn or 0, role or "user", text or ""))
+        return {p: [t[2:] for t in sorted(v)] for p, v in found.items()}
+
+    def side(rest):
+        text, spans = "", []
+        for role, said in rest:
+            text += f"<|{role}|>\n"
+            if role == "assistant":
+                spans.append((len(text), len(text) + len(said) + len("<|end|>")))
+            text += said + "<|end|>\n"
+        return text, spans
+
+    left, right = turns(chosen), turns(rejected)
+    for pair in left.keys() | right.keys():
+        a, b = left.get(pair, []), right.get(pair, [])
+        n = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+        yield pair, (n, side(a[:n])[0], *side(a[n:]), *side(b[n:]))
+
+
+def test_preference_pairs_equal_brute_force(spark):
+    """Ties, repeated rows, nulls, thousands of turns, very long ones, sides without rows, extra columns."""
+    kind = "pair_id long, turn long, role string, text string"
+    many = [(1, i, ("user", "assistant")[i % 2], f"turn {i} é") for i in range(3000)]
+    chosen = many + [
+        (2, 0, "user", "q"), (2, 0, "user", "q"), (2, 0, "assistant", "b"), (2, None, "assistant", "first"),
+        (3, 1, "assistant", LONG), (4, 0, "user", "same"), (4, 1, "assistant", "same"), (5, 0, None, None),
+        (None, 0, "assistant", "none"),
+    ]
+    rejected = many[:2000] + [(1, 2000, "assistant", "else"), (2, 0, "user", "q"), (2, 0, "assistant", "b"),
+                              (3, 1, "assistant", LONG + "!"), (4, 0, "user", "same"), (4, 1, "assistant", "same"),
+                              (6, 9, "assistant", "")]
+    clash = {"prompt": F.lit(1), "stop": F.lit("x"), "chosen_turns": F.lit(None)}
+    found = chat.format_preferences(*(
+        spark.createDataFrame(rows, kind).repartition(3).withColumns(clash) for rows in (chosen, rejected)))
+    assert {r.pair_id: (r.shared_turns, r.prompt, r.chosen, [tuple(s) for s in r.chosen_mask], r.rejected,
+                        [tuple(s) for s in r.rejected_mask]) for r in found.collect()} == dict(_brute_pairs(chosen, rejected))
+    empty = spark.createDataFrame([], kind)
+    assert chat.format_preferences(empty, empty).count() == 0
+
+
 def test_search_of_odd_rows(odd, none):
     queries = odd.select(F.col("doc_id").alias("query"), "text")
     found = search.search(odd, queries, k=3)

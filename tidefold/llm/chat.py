@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidefold.llm.common import table
@@ -12,12 +12,24 @@ OPEN, BEGIN, END, AFTER = "<|", "|>\n", "<|end|>", "\n"
 TRAINED_ROLE = "assistant"
 
 
+#: Code points that a turn has besides its role and text.
+_FIXED = len(OPEN + BEGIN + END + AFTER)
+_TURNS = "array<struct<role:string,text:string,stop:int>>"
+
+
 def _turns(rows: DataFrame, name: str) -> DataFrame:
-    """The turns of each pair in order, as an array."""
-    turn = F.struct(
-        F.col("turn"), F.coalesce("role", F.lit("user")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.where("pair_id is not null").groupBy("pair_id").agg(
-        F.transform(F.sort_array(F.collect_list(turn)), lambda t: F.struct(t.role, t.text)).alias(name))
+    """The turns of each pair in order, as an array; ``stop`` is where the rendered turn ends.
+
+    The running sum and the grouping share one shuffle by pair.
+    """
+    known = rows.where("pair_id is not null").select(
+        "pair_id", "turn", F.coalesce("role", F.lit("user")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    so_far = Window.partitionBy("pair_id").orderBy("turn", "role", "text").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    stop = F.sum(F.length("role") + F.length("text") + _FIXED).over(so_far).cast("int")
+    return known.withColumn("stop", stop).groupBy("pair_id").agg(F.transform(
+        F.sort_array(F.collect_list(F.struct("turn", "role", "text", "stop"))),
+        lambda t: F.struct(t.role, t.text, t.stop)).alias(name))
 
 
 def _rendered(turns: Column) -> Column:
@@ -25,17 +37,12 @@ def _rendered(turns: Column) -> Column:
         turns, lambda t: F.concat(F.lit(OPEN), t.role, F.lit(BEGIN), t.text, F.lit(END + AFTER))), "")
 
 
-def _mask(turns: Column) -> Column:
-    """Spans [start, stop) of code points of the rendered turns on which a model is trained."""
-    fixed = len(OPEN + BEGIN + END + AFTER)
-    ends = F.transform(turns, lambda t, i: F.aggregate(
-        F.slice(turns, F.lit(1), i + 1), F.lit(0),
-        lambda sum_, u: sum_ + F.length(u.role) + F.length(u.text) + fixed))
-    spans = F.zip_with(turns, ends, lambda t, end: F.struct(
-        t.role.alias("role"), (end - len(AFTER + END) - F.length(t.text)).alias("start"),
-        (end - len(AFTER)).alias("stop")))
-    return F.transform(
-        F.filter(spans, lambda s: s.role == TRAINED_ROLE), lambda s: F.struct(s.start, s.stop))
+def _mask(turns: Column, before: Column) -> Column:
+    """Spans [start, stop) of code points of the rendered turns on which a model is trained,
+    counted from ``before``, the place where the first of them begins."""
+    return F.transform(F.filter(turns, lambda t: t.role == TRAINED_ROLE), lambda t: F.struct(
+        (t.stop - before - len(AFTER + END) - F.length(t.text)).alias("start"),
+        (t.stop - before - len(AFTER)).alias("stop")))
 
 
 def format_preferences(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
@@ -52,20 +59,21 @@ def format_preferences(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
     empty; equal conversations are all prompt. Other columns are not read.
     """
     pairs = _turns(chosen, "chosen_turns").join(_turns(rejected, "rejected_turns"), "pair_id", "full")
-    empty = F.array().cast("array<struct<role:string,text:string>>")
+    empty = F.array().cast(_TURNS)
     pairs = pairs.withColumns({n: F.coalesce(n, empty) for n in ("chosen_turns", "rejected_turns")})
     differs = F.array_position(F.zip_with(
         "chosen_turns", "rejected_turns", lambda a, b: F.coalesce((a.role == b.role) & (a.text == b.text), F.lit(False))), False)
     shared = F.when(differs == 0, F.size("chosen_turns")).otherwise(differs - 1).cast("int")
     pairs = pairs.withColumn("shared_turns", shared)
     none = F.array().cast("array<struct<start:int,stop:int>>")
+    before = F.when(shared > 0, F.element_at("chosen_turns", F.col("shared_turns")).stop).otherwise(0)
     columns = []
     for name in ("chosen", "rejected"):
         turns = F.col(f"{name}_turns")
         rest, some = F.slice(turns, F.col("shared_turns") + 1, F.size(turns)), F.size(turns) > F.col("shared_turns")
         columns += [
             F.when(some, _rendered(rest)).otherwise("").alias(name),
-            F.when(some, _mask(rest)).otherwise(none).alias(f"{name}_mask"),
+            F.when(some, _mask(rest, before)).otherwise(none).alias(f"{name}_mask"),
         ]
     prompt = _rendered(F.slice("chosen_turns", F.lit(1), F.col("shared_turns")))
     return pairs.select("pair_id", "shared_turns", prompt.alias("prompt"), *columns)
