@@ -33,9 +33,15 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the smallest id."""
+    """One document of each group of near duplicates: the smallest id.
+
+    Of rows equal in id and text one stays, with the least language, source and length.
+    """
     gone = near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    left = docs.join(gone, "doc_id", "left_anti")
+    rest = [c for c in COLUMNS if c not in ("doc_id", "text")]
+    return left.groupBy("doc_id", "text").agg(F.min(F.struct(*rest)).alias("rest")).select(
+        "doc_id", "text", "rest.*").select(*COLUMNS)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
