@@ -254,6 +254,23 @@ def test_url_rules(spark):
         }
 
 
+def test_urls_of_odd_rows(spark):
+    """Repeated rows, very long URLs, nulls; thousands of rules over several passes; no rows."""
+    long = "http://a.example.net/en/" + "x-y/" * 50_000
+    rows = [(1, long), (1, long), (2, "http://"), (2, "://"), (None, "http://h77.test/a"), (3, "http://x.h4999.test/b"), (4, "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string").withColumns({"rule": F.lit(1), "s_rule": F.lit("clash")})
+    many = list(urls.SITE_RULES) + [urls.Rule(f"h{i}.test/", "block", urls.SITE) for i in range(5000)]
+    for most in (700, 10_000):
+        found = collections.Counter(
+            (r.page_id, r.host, len(r.path), r.rule, r.verdict) for r in urls.filter_urls(pages, many, max_rules=most).collect())
+        assert found == collections.Counter([
+            (1, "a.example.net", 200_004, "example.net/en/", "allow"), (1, "a.example.net", 200_004, "example.net/en/", "allow"),
+            (2, "", 0, None, "allow"), (2, "", 0, None, "allow"), (None, "h77.test", 2, "h77.test/", "block"),
+            (3, "x.h4999.test", 2, "h4999.test/", "block"), (4, "", 0, None, "allow"),
+        ])
+    assert urls.filter_urls(pages.limit(0)).count() == 0
+
+
 def test_rules_are_kept_under_their_rarest_token():
     rules = list(enumerate(urls.SITE_RULES + urls.PATTERN_RULES))
     index, rest = urls.token_index(rules)
