@@ -2,11 +2,14 @@
 
 The roll-forward looks back while it runs. Afterwards its withdrawals are known, so the same
 sums are windows: one frame of the last so many years for each review period that
-products have. All frames share one partitioning and order, so results move and sort once.
+products have. All frames share one partitioning and order, and only years with a withdrawal
+or a review move: the others add nothing to a sum.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,11 +36,21 @@ def withdrawn_within(period: str) -> Column:
     path = Window.partitionBy("policy_id", "scenario_no").orderBy("year")
     total = F.lit(None).cast("double")
     for span in _spans(period):
-        recent = F.sum("tav_withdrawal").over(path.rowsBetween(1 - span, 0))
+        recent = F.sum("tav_withdrawal").over(path.rangeBetween(1 - span, 0))
         total = F.when(F.col(period) == span, recent).otherwise(total)
     return total
 
 
+def _due(rate: str) -> Column:
+    return F.col("deduction_flag") & (F.col(rate) > 0.0)
+
+
+def _claims(review: str) -> list[Column]:
+    """What makes a year's review one to look at: it is due, or results say that it was."""
+    _, rate, found, flag, bonus = REVIEWS[review]
+    return [_due(rate), F.col(flag), F.col(found) != 0.0, F.col(bonus) != 0.0]
+
+
 def bonus_reviews(results: DataFrame, terms: DataFrame) -> DataFrame:
     """``policy_id``, ``scenario_no``, ``year``, ``review`` and, as found in ``results`` and as
     recomputed, the withdrawals reviewed, the flag and the bonus; one row a review that is due
@@ -47,13 +60,18 @@ def bonus_reviews(results: DataFrame, terms: DataFrame) -> DataFrame:
     terms has no recomputed values.
     """
     periods = [period for period, *_ in REVIEWS.values()]
-    own = terms.select("policy_id", F.col("tp_1").alias("annual_premium"), *periods)
+    # A task's share of the terms fits in memory, so the years need no sort to meet them.
+    own = terms.select("policy_id", F.col("tp_1").alias("annual_premium"), *periods).hint("shuffle_hash")
     names = [name for _, *rest in REVIEWS.values() for name in rest]
-    joined = results.select(*KEYS, "tav_withdrawal", "deduction_flag", *names).join(own, "policy_id", "left")
+    read = [claim for review in REVIEWS for claim in _claims(review)]
+    withdrawn = F.col("tav_withdrawal").isNull() | (F.col("tav_withdrawal") != 0.0)
+    # Through a generator: as a filter, the formulas of results would be put into the condition.
+    kept = F.when(reduce(Column.__or__, read, withdrawn), F.array(F.struct(*KEYS, "tav_withdrawal", "deduction_flag", *names)))
+    joined = results.select(F.inline(kept)).join(own, "policy_id", "left")
     totals = joined.select("*", *[withdrawn_within(period).alias(f"total_{period}") for period in periods])
     reviews = []
     for review, (period, rate, found, flag, bonus) in REVIEWS.items():
-        due = F.col("deduction_flag") & (F.col(rate) > 0.0)
+        due = _due(rate)
         total = F.when(due, F.col(f"total_{period}")).otherwise(0.0)
         passed = due & (total == 0.0)
         reviews.append(F.struct(
@@ -67,10 +85,12 @@ def bonus_reviews(results: DataFrame, terms: DataFrame) -> DataFrame:
     return totals.select(*KEYS, F.inline(F.array(*reviews))).where(claimed)
 
 
-def differing(reviews: DataFrame) -> DataFrame:
-    """Reviews whose results are not those recomputed from the withdrawals."""
+def differing(reviews: DataFrame, mark: str | None = None) -> DataFrame:
+    """Reviews whose results are not those recomputed from the withdrawals; with ``mark`` all
+    reviews, and a column of that name that is true for these."""
     def far(name: str) -> Column:
         a, b = F.col(name), F.col(f"{name}_again")
         return F.coalesce(F.abs(a - b) > TOLERANCE * F.greatest(F.abs(a), F.abs(b)), F.lit(True))
 
-    return reviews.where(far("withdrawn") | far("bonus") | ~F.col("passed").eqNullSafe(F.col("passed_again")))
+    wrong = far("withdrawn") | far("bonus") | ~F.col("passed").eqNullSafe(F.col("passed_again"))
+    return reviews.withColumn(mark, wrong) if mark else reviews.where(wrong)
