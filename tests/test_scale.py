@@ -1,11 +1,15 @@
 """Work that must not grow beyond what a query needs: rows that move, sorts, passes."""
 
+import glob
+
 from pyspark.sql import functions as F
 
 from checks import queries
-from checks.queries import projection
+from checks.queries import WRITTEN, demo_book, portfolio, projection
+from tidefold.plans.projection import project_portfolio
 from tidefold.plans.review import bonus_reviews, differing
 from tidefold.plans.terms import accepted
+from tidefold.sources.sinks import order_breaks, write_result
 
 
 def test_reviews_need_only_years_with_a_withdrawal_or_a_review(spark, sf):
@@ -21,3 +25,36 @@ def test_reviews_need_only_years_with_a_withdrawal_or_a_review(spark, sf):
     marked = differing(changed, mark="wrong")
     assert marked.count() == whole.count()
     assert marked.where("wrong").count() == differing(changed).count() == whole.where("review = 'loyalty'").count()
+
+
+def test_gathered_tasks_write_their_rows_without_moving_or_sorting_them(spark, sf, tmp_path):
+    made = projection(spark, sf).where("year <= 3").select(*WRITTEN, F.monotonically_increasing_id().alias("made"))
+    assert made.rdd.getNumPartitions() > 2
+    path = str(tmp_path / "results")
+    write_result(made, path, gathered=2)
+    assert len(glob.glob(f"{path}/*/part-*")) == 6
+    rows = spark.read.parquet(path).selectExpr("_metadata.file_path as f", "_metadata.row_index as i", "made")
+    backwards = rows.selectExpr("*", "lag(made) over (partition by f order by i) as before").where("before >= made")
+    assert backwards.count() == 0 and rows.count() == made.count()
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
+    write_result(made, str(tmp_path / "csv"), "csv", gathered=2, compression="gzip")
+    assert len(glob.glob(f"{tmp_path}/csv/*/part-*.csv.gz")) == 6
+    assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == made.count()
+
+
+def test_order_comes_from_the_policies_and_breaks_are_found(spark, sf, tmp_path):
+    some = project_portfolio(portfolio(spark, sf), demo_book(spark), ordered=5).where("year <= 20").select(*WRITTEN)
+    n = some.count() // 3
+    write_result(some, str(tmp_path / "made"), in_order=True, file_rows=700)
+    write_result(projection(spark, sf).where("year <= 20").select(*WRITTEN), str(tmp_path / "sorted"), ordered=3, file_rows=700)
+    for folder in ("made", "sorted"):
+        found = order_breaks(spark, str(tmp_path / folder)).collect()
+        assert {tuple(r) for r in found} == {(s, n, 0, 0) for s in ("High", "Low", "Guaranteed")}
+    made = spark.read.parquet(str(tmp_path / "made"))
+    assert made.exceptAll(spark.read.parquet(str(tmp_path / "sorted")).select(made.columns)).count() == 0
+    rows = [("p1", 1, 1), ("p1", 1, 3), ("p1", 1, 2), ("p1", 1, 2), ("p0", 9, 9), ("p2", 1, 1)]
+    one = spark.createDataFrame([(*r, "Low") for r in rows], "policy_id string, scenario_no int, year int, int_rate_scenario string")
+    write_result(one.coalesce(1), str(tmp_path / "planted"), in_order=True)
+    assert [tuple(r) for r in order_breaks(spark, str(tmp_path / "planted")).collect()] == [("Low", 6, 3, 0)]
+    write_result(one.coalesce(1), str(tmp_path / "files"), in_order=True, file_rows=2)
+    assert [tuple(r) for r in order_breaks(spark, str(tmp_path / "files")).collect()] == [("Low", 6, 1, 2)]
