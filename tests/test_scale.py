@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from checks import queries
 from checks.queries import WRITTEN, demo_book, portfolio, projection
+from tidefold.operators.reconcile import compare_frames, ranked_pairs
 from tidefold.plans.projection import project_portfolio
 from tidefold.plans.review import bonus_reviews, differing
 from tidefold.plans.terms import accepted
@@ -58,3 +59,12 @@ def test_order_comes_from_the_policies_and_breaks_are_found(spark, sf, tmp_path)
     assert [tuple(r) for r in order_breaks(spark, str(tmp_path / "planted")).collect()] == [("Low", 6, 3, 0)]
     write_result(one.coalesce(1), str(tmp_path / "files"), in_order=True, file_rows=2)
     assert [tuple(r) for r in order_breaks(spark, str(tmp_path / "files")).collect()] == [("Low", 6, 1, 2)]
+
+
+def test_compared_rows_move_by_key_once(spark):
+    left = spark.range(1000).selectExpr("id % 100 as k", "cast(id % 7 as double) as v")
+    pairs = ranked_pairs(left, left.repartition(3), ["k"])
+    assert pairs.agg(F.sum("rows"), F.count_if(F.col("unpaired") | F.col("differs"))).first() == (1000, 0)
+    shown = pairs._jdf.queryExecution().executedPlan().toString()
+    assert shown.count("Exchange hashpartitioning") == 2
+    assert compare_frames(left, left, ["k"]).first()["equal"]

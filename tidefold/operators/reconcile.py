@@ -118,7 +118,8 @@ def ranked_pairs(
         (f for f in left.schema.fields if f.name not in keys), key=lambda f: isinstance(f.dataType, FLOATS))
     stacked = left.select("*", F.lit(SIDES[0]).alias("side")).unionByName(
         right.select("*", F.lit(SIDES[1]).alias("side")))
-    counted = stacked.groupBy(*left.columns, "side").agg(F.count("*").alias("n"))
+    # Counted rows move once, by key; windows and groups after that find them in place.
+    counted = stacked.groupBy(*left.columns, "side").agg(F.count("*").alias("n")).repartition(*keys)
     order = [F.col(f.name).asc_nulls_first() for f in values]
     own = Window.partitionBy(*keys, "side").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     ended = counted.withColumn("end", F.sum("n").over(own)).select(
