@@ -3,10 +3,12 @@
 import collections
 import hashlib
 import math
+import tracemalloc
 import zlib
 
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -384,6 +386,45 @@ def test_search_over_many_shards_is_exact_and_skips(spark, docs, texts):
     assert not len(shard.top(flat, np.ones(len(flat)), 3, float(scores[0]) * 100)[0]) and not shard.read
 
 
+def test_queries_that_read_a_shard_together_find_what_each_finds():
+    """Common and rare lists, several blocks, queries with and without a score to reach."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{w}" for w in rng.zipf(1.3, rng.integers(0, 60)) % 500) for _ in range(700)]
+    memory = search.word_memory()
+    shard = search.Shard(pa.chunked_array([texts[:300], texts[300:]]), np.arange(700), 30.0, memory)
+    assert 0 < shard.dense.shape[2] < len(shard.terms) and shard.blocks > search.FIRST_BLOCKS
+    sets = [np.unique(search.word_hashes([t], memory)[0]) for t in texts[:40]]
+    weights = [rng.random(len(terms)) + 0.1 for terms in sets]
+    flat, counts = search.word_hashes(texts, memory)
+    brute = []
+    for terms, weight in zip(sets, weights):
+        scores, weight_of = [], dict(zip(terms.tolist(), weight.tolist()))
+        for i, (end, n) in enumerate(zip(np.cumsum(counts), counts)):
+            tf = collections.Counter(w for w in flat[end - n : end].tolist() if w in weight_of)
+            part = {w: t * 2.2 / (t + 1.2 * (0.25 + 0.75 * n / 30.0)) for w, t in tf.items()}
+            scores.append((-round(sum(weight_of[w] * part[w] for w in tf), 6), i))
+        brute.append([(i, -s) for s, i in sorted(s for s in scores if s[0] < 0)[:5]])
+    least = np.array([found[-1][1] if i % 2 and found else 0.0 for i, found in enumerate(brute)])
+    ends = np.append(0, np.cumsum([len(s) for s in sets]))
+    together = shard.top_of_each(ends, np.concatenate(sets), np.concatenate(weights), 5, least)
+    for found, (ids, scores) in zip(brute, together):
+        assert [i for i, _ in found] == ids.tolist()
+        assert np.allclose([s for _, s in found], scores, atol=2e-6)
+
+
+def test_memory_of_building_a_shard():
+    """No Python object for each word: building stays under 60 bytes a word, all results included."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"word{w}" for w in rng.integers(0, 20_000, 400)) for _ in range(1000)]
+    search.Shard(texts[:10], np.arange(10), 400.0, search.word_memory())  # imports are not counted
+    tracemalloc.start()
+    try:
+        shard = search.Shard(texts, np.arange(1000), 400.0, search.word_memory())
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(shard.ids) == 1000 and peak < 60 * 400_000
+
 def test_quality_on_held_out_rows(spark, docs, labels, odd, none):
     scored = quality.score_quality(docs, labels)
     rows = {r.doc_id: r for r in scored.collect()}
