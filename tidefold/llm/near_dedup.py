@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidefold.llm.common import (
-    binary, chunks_of, components, key_groups, mixed, shingle_sets, stored, table, word_memory,
+    binary, chunks_of, forest, key_groups, mixed, shingle_sets, stored, table, word_memory,
 )
 
 #: Words of a shingle and least similarity in percent, where nothing else is asked for.
@@ -226,9 +226,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def _labelled(rows: DataFrame, joined: DataFrame) -> DataFrame:
+def _labelled(rows: DataFrame, found: DataFrame) -> DataFrame:
     """Adds each document's component so far."""
-    return rows.join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn(
+    return rows.join(found.select(F.col("a").alias("rep"), F.col("b").alias("component")), "rep", "left").withColumn(
         "component", F.coalesce("component", "rep"))
 
 
@@ -240,17 +240,17 @@ def _numbers_below(n) -> F.Column:
     return F.explode(F.sequence(F.lit(0).cast("long"), n.cast("long") - 1))
 
 
-def _join_large_groups(large: DataFrame, sets: DataFrame, links: DataFrame, percent: int) -> DataFrame:
-    """More links, so that all documents of groups of several blocks are compared.
+def _join_large_groups(large: DataFrame, sets: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """The forest ``found``, joined further so that all documents of groups of several blocks are compared.
 
     Blocks of one group are components by themselves at first. Delegates of each
     component (some 16, by hash) meet in new blocks as long as that joins any. What
     then lies outside a group's largest component is compared with all of the group, in a
     grid of blocks; documents that are joined already are not compared.
     """
-    joined = components(links)
-    while True:
-        labelled = _labelled(large, joined)
+    again = True
+    while again:
+        labelled = stored(_labelled(large, found), "labelled")
         sizes = labelled.groupBy("lead", "component").agg(F.count("*").alias("m"))
         delegates = labelled.join(sizes, ["lead", "component"]).where(
             F.pmod(F.xxhash64("rep", F.lit(1)), F.greatest(F.floor(F.col("m") / 16), F.lit(1))) == 0)
@@ -264,18 +264,18 @@ def _join_large_groups(large: DataFrame, sets: DataFrame, links: DataFrame, perc
         more = stored(_links_in_groups(met.join(sets, "rep"), percent, ["lead", "block"]), "links")
         if not more.head(1):
             break
-        links = links.unionByName(more)
-        joined = components(links)
-        if not last:  # all delegates have met in one block, and would meet there again
-            break
-    labelled = stored(_labelled(large, joined), "labelled")
+        found = forest(found.unionByName(more))
+        labelled = _labelled(large, found)
+        again = last > 0  # else all delegates have met in one block, and would meet there again
     sizes = labelled.groupBy("lead", "component").agg(F.count("*").alias("m"))
     mains = sizes.groupBy("lead").agg(
         F.max(F.struct("m", "component")).alias("top"), F.sum("m").alias("size"), F.count("*").alias("k")
     ).where("k > 1").select(
         "lead", F.col("top.component").alias("main"), F.ceil(F.col("size") / BLOCK).alias("rows"),
         F.ceil((F.col("size") - F.col("top.m")) / BLOCK).alias("columns"))
-    open_ = labelled.join(mains, "lead")
+    open_ = stored(labelled.join(mains, "lead"), "open")
+    if not open_.head(1):
+        return found
     asked = open_.select(
         "rep", "lead", "component", F.lit(False).alias("asking"), _block_of(F.col("rows")).alias("r"),
         _numbers_below(F.col("columns")).alias("c"))
@@ -283,22 +283,22 @@ def _join_large_groups(large: DataFrame, sets: DataFrame, links: DataFrame, perc
         "rep", "lead", "component", F.lit(True).alias("asking"), _numbers_below(F.col("rows")).alias("r"),
         _block_of(F.col("columns")).alias("c"))
     grid = asked.unionByName(asking).join(sets, "rep")
-    return links.unionByName(stored(_links_in_groups(grid, percent, ["lead", "r", "c"]), "links"))
+    return forest(found.unionByName(stored(_links_in_groups(grid, percent, ["lead", "r", "c"]), "links")))
 
 
-def _between(lists: DataFrame, led: DataFrame, joined: DataFrame, percent: int) -> DataFrame:
+def _between(lists: DataFrame, led: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     """Pairs of a list that lie in different groups, and in different components so far.
 
     The largest component of a list is not paired with itself, only with the rest.
     """
-    labelled = _labelled(lists, joined).join(led, "rep")
+    labelled = lists.join(_labelled(led, found), "rep")
     counts = labelled.groupBy("value", "component").agg(
         F.count("*").alias("m"), F.min("lead").alias("low"), F.max("lead").alias("high"))
-    open_ = labelled.join(
+    open_ = stored(labelled.join(
         counts.groupBy("value").agg(
             F.max(F.struct("m", "component")).alias("top"), F.count("*").alias("k"),
             F.min("low").alias("low"), F.max("high").alias("high"),
-        ).where("k > 1 and low < high").select("value", F.col("top.component").alias("main")), "value")
+        ).where("k > 1 and low < high").select("value", F.col("top.component").alias("main")), "value"), "open")
     some = open_.where("component <> main").select(
         "value", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"),
         F.col("lead").alias("la"))
@@ -343,42 +343,39 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     lists = stored(_lists(classes, percent), "lists")
 
     led = lists.select("value", "rep", F.col("rep").alias("lead"))
-    for _ in range(2):  # the second step joins what the first has led to several members
-        leads = led.groupBy("value").agg(F.min("lead").alias("lead"))
-        found = led.join(leads.withColumnRenamed("lead", "low"), "value").groupBy("rep").agg(
-            F.min("low").alias("low"))
-        led = stored(lists.select("value", "rep").join(
-            found.withColumnRenamed("low", "lead"), "rep"), "led")
-    led = led.select("rep", "lead").distinct()
-    # The lead itself belongs to its group, even if its own lists lead it elsewhere.
+    for step in range(2):  # the second step joins what the first has led to several members
+        leads = led.groupBy("value").agg(F.min("lead").alias("low"))
+        led = led.join(leads, "value").groupBy("rep").agg(F.min("low").alias("lead"))
+        led = stored(led if step else lists.select("value", "rep").join(led, "rep"), "led")
     groups = led.where("rep <> lead").groupBy("lead").agg((F.count("*") + 1).alias("size"))
-    blocks = F.ceil(F.col("size") / BLOCK)
-    members = led.where("rep <> lead").join(groups, "lead").select("rep", "lead", _block_of(blocks).alias("block"))
-    # The lead is in each block of its group, so that blocks of near copies join over it.
-    heads = groups.select(F.col("lead").alias("rep"), "lead", _numbers_below(blocks).alias("block"))
-    # One that leads itself and no other is compared later on, so its set is needed, too.
-    alone = led.where("rep = lead").join(groups, "lead", "left_anti").select(
-        "rep", "lead", F.lit(0).cast("long").alias("block"))
-    wanted = members.unionByName(heads).unionByName(alone).withColumnRenamed("rep", "doc_id")
+    members = led.where("rep <> lead").join(groups, "lead").select(
+        "rep", "lead", "size", _block_of(F.ceil(F.col("size") / BLOCK)).alias("block"), F.lit(1).cast("long").alias("once"))
+    # A lead belongs to its group, even if its own lists lead it elsewhere, and is in each of its blocks,
+    # so that blocks of near copies join over it. One that leads itself and no other is compared later
+    # on, so its set is needed, too. ``once`` marks one row of each document.
+    own = led.where("rep = lead").select("lead", F.lit(True).alias("own"))
+    heads = groups.join(own, "lead", "full").withColumn("size", F.coalesce("size", F.lit(1).cast("long"))).select(
+        F.col("lead").alias("rep"), "lead", "size", _numbers_below(F.ceil(F.col("size") / BLOCK)).alias("block"),
+        "own").withColumn("once", (F.col("own").isNotNull() & (F.col("block") == 0)).cast("long")).drop("own")
+    wanted = members.unionByName(heads).withColumnRenamed("rep", "doc_id")
     grouped = stored(_whole_sets(docs, wanted, width), "sets")
-    sets = grouped.where("rep <> lead or block = 0")  # a lead may still occur twice
-    sets = sets.groupBy("rep").agg(F.first("set").alias("set"))
+    sets = grouped.where("once = 1").select("rep", "set")
 
-    first = stored(_links_in_groups(grouped, percent, ["lead", "block"]), "links")
-    large = members.unionByName(heads.where("block = 0")).join(
-        groups.where(F.col("size") > BLOCK).select("lead"), "lead", "left_semi").select("rep", "lead")
-    large = stored(large, "large")
+    found = forest(stored(_links_in_groups(grouped, percent, ["lead", "block"]), "links"))
+    large = stored(grouped.where(
+        (F.col("size") > BLOCK) & ((F.col("rep") != F.col("lead")) | (F.col("block") == 0))
+    ).select("rep", "lead").distinct(), "large")
     if large.head(1):
-        first = _join_large_groups(large, stored(sets.join(
-            large.select("rep").distinct(), "rep", "left_semi"), "sets"), first, percent)
-    joined = components(first)
-    pairs = _filtered(_between(lists, led, joined, percent), classes, percent)
-    second = stored(_verified(pairs, sets, percent), "links")
-    links = first.unionByName(second)
+        found = _join_large_groups(large, stored(sets.join(
+            large.select("rep").distinct(), "rep", "left_semi"), "sets"), found, percent)
+    pairs = stored(_between(lists, led, found, percent), "pairs")
+    if pairs.head(1):
+        pairs = stored(_filtered(pairs, classes, percent), "pairs")
+        found = found.unionByName(stored(_verified(pairs, sets, percent), "links"))
     # Rows that repeat an id with another text tie their classes together.
-    ties = filled.join(classes, ["n", "d1", "d2"]).where("doc_id <> rep").select(
+    ties = filled.join(classes.select("n", "d1", "d2", "rep"), ["n", "d1", "d2"]).where("doc_id <> rep").select(
         F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    found = components(links.unionByName(ties.distinct()))
+    found = forest(found.unionByName(ties)).withColumnsRenamed({"a": "node", "b": "component"})
     return sketched.join(
         found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left"
     ).select(
