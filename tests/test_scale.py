@@ -6,10 +6,14 @@ from pyspark.sql import functions as F
 
 from checks import queries
 from checks.queries import WRITTEN, demo_book, portfolio, projection
+from tidefold.operators.lookups import Curves
 from tidefold.operators.reconcile import compare_frames, ranked_pairs
-from tidefold.plans.projection import project_portfolio
+from tidefold.plans import roll
+from tidefold.plans.formulas import evaluate
+from tidefold.plans.projection import policy_inputs, project_portfolio
 from tidefold.plans.review import bonus_reviews, differing
-from tidefold.plans.terms import accepted
+from tidefold.plans.scenarios import SCENARIOS, scenario_sources
+from tidefold.plans.terms import accepted, policy_terms
 from tidefold.sources.sinks import order_breaks, write_result
 
 
@@ -68,3 +72,20 @@ def test_compared_rows_move_by_key_once(spark):
     shown = pairs._jdf.queryExecution().executedPlan().toString()
     assert shown.count("Exchange hashpartitioning") == 2
     assert compare_frames(left, left, ["k"]).first()["equal"]
+
+
+def test_paths_leave_the_roll_forward_when_they_lapse(spark, sf, book, monkeypatch):
+    """Years after lapse are neither stepped through nor sent back."""
+    inputs = policy_inputs(accepted(policy_terms(portfolio(spark, sf), book)))
+    part, widths = inputs.toArrow().combine_chunks().to_batches()[0], []
+
+    def counted(formulas, values):
+        widths.append(values["start_eav"].size)
+        evaluate(formulas, values)
+
+    monkeypatch.setattr(roll, "evaluate", counted)
+    columns = roll._roll_slice(part, Curves(book), scenario_sources())
+    lived = columns[-len(roll.STATE_COLUMNS) - 2].values.to_numpy()
+    assert 0 < lived.sum() < len(SCENARIOS) * part.column("term").to_numpy().sum()
+    assert sum(widths) == 2 * lived.sum()
+    assert all(len(column.values) == lived.sum() for column in columns[-len(roll.STATE_COLUMNS):])
