@@ -47,6 +47,29 @@ def test_gathered_tasks_write_their_rows_without_moving_or_sorting_them(spark, s
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == made.count()
 
 
+def test_whole_results_are_written_and_read_back(spark, sf, monkeypatch):
+    paths = []
+
+    def kept(result, path, *args, **options):
+        paths.append(path)
+        write_result(result, path, *args, **options)
+
+    monkeypatch.setattr(queries, "write_result", kept)
+    whole = set(projection(spark, sf).columns)
+    back = queries.write_and_read_result(spark, sf)
+    queries.write_and_read_csv(spark, sf)
+    assert set(spark.read.parquet(paths[0]).columns) == whole and len(whole) == 84
+    assert set(spark.read.option("header", True).csv(paths[-1]).columns) == whole
+    assert whole <= set(back.columns)
+
+
+def test_large_digests_are_exact(spark):
+    rows = [(1, 2.5), (7, -3.004), (100, 9.2e14), (100, 9.1e14), (3, float("nan"))] * 40
+    made = spark.createDataFrame(rows, "year int, v double")
+    both = made.agg(queries.digest("v").alias("a"), queries.large_digest("v").alias("b")).first()
+    assert both.a == both.b > 2.0**63
+
+
 def test_order_comes_from_the_policies_and_breaks_are_found(spark, sf, tmp_path):
     some = project_portfolio(portfolio(spark, sf), demo_book(spark), ordered=5).where("year <= 20").select(*WRITTEN)
     n = some.count() // 3
