@@ -10,6 +10,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tidefold.llm import (
@@ -658,6 +659,39 @@ def test_language_model_of_odd_rows(odd, none):
     assert pitman_yor.score_texts(none).count() == 0
 
 
+def test_language_model_tells_all_contexts_apart(spark, monkeypatch):
+    """Two words of one class of 2^16, as contexts were once, keep their own followers in all buckets."""
+    seen = {}
+    for i in range(100_000):
+        key = xxhash.xxh3_64_intdigest(f"w{i}".encode()) >> 7 & 0xFFFF
+        if key in seen:
+            break
+        seen[key] = i
+    a, b = f"w{seen[key]}", f"w{i}"
+    ids = [i for i in range(3000) if zlib.crc32(str(i).encode()) % 10]
+    out = [i for i in range(3000) if not zlib.crc32(str(i).encode()) % 10]
+    rows = [(i, f"{a} x" if k % 2 else f"{b} y") for k, i in enumerate(ids[:400])]
+    rows += [(out[0], f"{a} x"), (out[1], f"{a} y"), (out[2], f"{b} y"), (out[3], f"{b} x")]
+    made = spark.createDataFrame(rows, "doc_id long, text string")
+    for size in (4_000_000, 200):
+        monkeypatch.setattr(pitman_yor, "BUCKET_TOKENS", size)
+        score = {r.doc_id: r.score for r in pitman_yor.score_texts(made).where("held_out").collect()}
+        assert score[out[0]] > score[out[1]] + 1 and score[out[2]] > score[out[3]] + 1
+
+
+def test_language_model_arrays_and_sums():
+    random = np.random.default_rng(3)
+    for values in (np.empty(0, np.uint64), random.integers(0, 1 << 63, 50).astype(np.uint64), np.array([3, 1], np.uint16)):
+        for steps in (False, True):
+            back = pitman_yor.opened(pitman_yor.squeezed(values, steps), values.dtype.type, steps)
+            assert back.dtype == values.dtype and back.tolist() == values.tolist()
+    size, pack, doc = np.array([2, 1, 3], np.uint32), np.array([0, 1, 0, 1, 1, 1], np.uint32), np.array([4, 0, 4, 0, 0, 7], np.uint16)
+    data = [pitman_yor.squeezed(x, s) for x, s in ((size, False), (pack, True), (doc, False), (np.array([8, 9]), False))]
+    documents, sums, names = pitman_yor._by_document(data, (np.array([True, False, True]), np.array([1.0, 10.0, 100.0])))
+    assert documents.tolist() == [4, 1 << 16, 1 << 16 | 7] and names.tolist() == [8, 9]
+    assert sums[0].tolist() == [1, 3, 1] and sums[1].tolist() == [11 << 32, 201 << 32, 100 << 32]
+
+
 def test_gibbs_seating_follows_the_model():
     """Mean tables of a restaurant of one dish against seating customers one by one."""
     random, c, pull, d = np.random.default_rng(5), 12, 1.3, 0.6
