@@ -14,6 +14,7 @@ from tidefold.plans.projection import policy_inputs, project_portfolio
 from tidefold.plans.review import bonus_reviews, differing
 from tidefold.plans.scenarios import SCENARIOS, scenario_sources
 from tidefold.plans.terms import accepted, policy_terms
+from tidefold.sources import sinks
 from tidefold.sources.sinks import order_breaks, write_result
 
 
@@ -88,6 +89,24 @@ def test_order_comes_from_the_policies_and_breaks_are_found(spark, sf, tmp_path)
     assert [tuple(r) for r in order_breaks(spark, str(tmp_path / "files")).collect()] == [("Low", 6, 1, 2)]
 
 
+def test_order_of_rows_is_checked_without_python_unless_torn(spark, tmp_path, monkeypatch):
+    sent = []
+    monkeypatch.setattr(sinks, "_by_row", lambda rows, f=sinks._by_row: sent.append(1) or f(rows))
+
+    def breaks(name, rows):
+        made = spark.createDataFrame([(*r, "Low") for r in rows], "policy_id string, scenario_no int, year int, int_rate_scenario string")
+        write_result(made.coalesce(1), str(tmp_path / name), in_order=True)
+        return [tuple(r) for r in order_breaks(spark, str(tmp_path / name)).collect()]
+
+    paths = [("p1", 1, y) for y in range(1, 9)] + [("p1", 2, y) for y in range(1, 5)] + [("p2", 1, 1)]
+    assert breaks("whole", paths) == [("Low", 13, 0, 0)]
+    assert breaks("turned", paths[8:] + paths[:8]) == [("Low", 13, 1, 0)]
+    assert breaks("again", paths + paths) == [("Low", 26, 1, 0)]
+    assert breaks("skipped", [("p1", 1, 1), ("p1", 1, 3), ("p1", 1, 2)]) == [("Low", 3, 1, 0)] and not sent
+    torn = [("p1", 1, 1), ("p0", 5, 5), ("p1", 1, 3), ("p1", 1, 4)]
+    assert breaks("torn", torn) == [("Low", 4, 1, 0)] and sent
+
+
 def test_compared_rows_move_by_key_once(spark):
     left = spark.range(1000).selectExpr("id % 100 as k", "cast(id % 7 as double) as v")
     pairs = ranked_pairs(left, left.repartition(3), ["k"])
